@@ -1,0 +1 @@
+"""No streaming operators: every computation here is a batch job over finished tables."""
