@@ -37,16 +37,19 @@ class Query:
         return f"SELECT {cols} FROM ({self.sql}) AS result_rows"
 
 
+DIGITS = {"d": 6, "e": 3}  # 'e' is for values far above one, where six decimals exceed double precision
+
+
 def _spark_output(name: str, kind: str):
     c = F.col(f"`{name}`")
-    if kind == "d":
-        return (F.round(c.cast("double"), 6) + F.lit(0.0)).alias(name)
+    if kind in DIGITS:
+        return (F.round(c.cast("double"), DIGITS[kind]) + F.lit(0.0)).alias(name)
     return c.cast({"l": "long", "s": "string", "b": "boolean"}[kind]).alias(name)
 
 
 def _duck_output(name: str, kind: str) -> str:
-    if kind == "d":
-        return f'round(CAST("{name}" AS DOUBLE), 6) + 0.0 AS "{name}"'
+    if kind in DIGITS:
+        return f'round(CAST("{name}" AS DOUBLE), {DIGITS[kind]}) + 0.0 AS "{name}"'
     return f'CAST("{name}" AS {dict(l="BIGINT", s="VARCHAR", b="BOOLEAN")[kind]}) AS "{name}"'
 
 
@@ -54,7 +57,7 @@ REGISTRY: dict[str, Query] = {}
 
 
 def query(name: str, columns: str, sql: str | None = None):
-    """Register ``fn(tables)``; ``columns`` reads 'name:kind ...' with kinds d, l, s, b."""
+    """Register ``fn(tables)``; ``columns`` reads 'name:kind ...' with kinds d, e, l, s, b."""
 
     def wrap(fn):
         if name in REGISTRY:
