@@ -1,3 +1,3 @@
 """All registered queries."""
 from graticule.catalog.registry import REGISTRY  # noqa: F401
-from graticule.catalog import contracts, joins, maps, projections, sequences, spectra, summaries  # noqa: F401
+from graticule.catalog import contracts, joins, maps, pairs, projections, sequences, spectra, summaries  # noqa: F401
