@@ -103,8 +103,8 @@ def ordinal(df: DataFrame, by: Sequence[str], order: Sequence[Column], bucket: S
     )
     inside = Window.partitionBy(*by, *keys).orderBy(*order)
     return (
-        rows.withColumn("_r", F.row_number().over(inside))
+        rows.withColumn("_in_bucket", F.row_number().over(inside))
         .join(offsets, [*by, *keys])
-        .withColumn(name, (F.col("_offset") + F.col("_r")).cast("long"))
-        .drop("_offset", "_r", *keys)
+        .withColumn(name, (F.col("_offset") + F.col("_in_bucket")).cast("long"))
+        .drop("_offset", "_in_bucket", *keys)
     )
