@@ -6,6 +6,19 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once per row and use it in ``body`` any number of times.
+
+    A plain column reused inside a lambda would be inlined and evaluated per array element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def shifted(values: Column, by: Column) -> Column:
+    """values - by, with ``by`` evaluated once per row.  Free of nested lambdas, so the result may feed a pandas UDF."""
+    return F.zip_with(values, F.array_repeat(by, F.size(values)), lambda v, m: v - m)
+
+
 def finite_sorted(values: Column) -> Column:
     return F.sort_array(F.filter(values, lambda v: v.isNotNull()))
 
@@ -20,7 +33,7 @@ def sorted_quantile(ordered: Column, p: float) -> Column:
 
 
 def array_quantile(values: Column, p: float) -> Column:
-    return sorted_quantile(finite_sorted(values), p)
+    return let(finite_sorted(values), lambda ordered: sorted_quantile(ordered, p))
 
 
 def array_median(values: Column) -> Column:
@@ -32,8 +45,13 @@ def array_sum(values: Column) -> Column:
 
 
 def array_mean(values: Column) -> Column:
-    present = F.filter(values, lambda v: v.isNotNull())
-    return F.when(F.size(present) > 0, array_sum(present) / F.size(present))
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("n"))
+    step = lambda a, v: F.struct((a["s"] + F.coalesce(v, F.lit(0.0))).alias("s"), (a["n"] + v.isNotNull().cast("double")).alias("n"))
+    return F.aggregate(values, start, step, lambda a: F.when(a["n"] > 0, a["s"] / a["n"]))
+
+
+def central_moment(values: Column, mean: Column, p: int) -> Column:
+    return mean_of(values, lambda v: F.pow(v - mean, p) if p > 2 else (v - mean) * (v - mean))
 
 
 def mean_of(values: Column, f: Callable[[Column], Column]) -> Column:

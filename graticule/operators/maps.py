@@ -21,7 +21,7 @@ def cells(maps: DataFrame, value: str = "z", keep: tuple[str, ...] = ("map_id",
     """Long cell table (map, r, c, value)."""
     pos = F.col("_pos")
     return (
-        maps.select(*keep, "n_cols", F.posexplode(value).alias("_pos", value))
+        maps.select(*keep, "n_cols", F.posexplode_outer(value).alias("_pos", value)).where("_pos IS NOT NULL")
         .select(*keep, F.floor(pos / F.col("n_cols")).cast("long").alias("r"),
                 (pos % F.col("n_cols")).cast("long").alias("c"), value)
     )
@@ -38,42 +38,36 @@ def arrays_from_cells(cell_table: DataFrame) -> DataFrame:
 
 def residualised(maps: DataFrame) -> DataFrame:
     """Adds the map median, the depth (its negative) and replaces z by z - median."""
-    return (
-        masked(maps).withColumn("median_z", A.array_median(F.col("z")))
-        .withColumn("depth", -F.col("median_z"))
-        .withColumn("z", F.transform("z", lambda v: v - F.col("median_z")))
-    )
+    with_median = masked(maps).withColumn("median_z", A.array_median(F.col("z")))
+    return with_median.withColumns({"depth": -F.col("median_z"), "z": A.shifted(F.col("z"), F.col("median_z"))})
 
 
 def moments(residuals: DataFrame) -> DataFrame:
     """Sq, Sa, population skewness and excess kurtosis of the residual."""
-    mu = A.array_mean(F.col("z"))
-    m2 = A.mean_of(F.col("z"), lambda v: (v - F.col("_mu")) * (v - F.col("_mu")))
-    m3 = A.mean_of(F.col("z"), lambda v: F.pow(v - F.col("_mu"), 3))
-    m4 = A.mean_of(F.col("z"), lambda v: F.pow(v - F.col("_mu"), 4))
-    return (
-        residuals.withColumn("_mu", mu).withColumns({"_m2": m2, "_m3": m3, "_m4": m4})
-        .select("map_id", "label", F.sqrt(A.mean_of(F.col("z"), lambda v: v * v)).alias("sq"), A.mean_of(F.col("z"), F.abs).alias("sa"),
-                (F.col("_m3") / F.pow("_m2", 1.5)).alias("skew"), (F.col("_m4") / (F.col("_m2") * F.col("_m2")) - 3).alias("kurt"))
-    )
+    z = F.col("z")
+    central = A.let(A.array_mean(z), lambda mu: F.struct(*[A.central_moment(z, mu, p).alias(f"m{p}") for p in (2, 3, 4)]))
+    return residuals.withColumn("_c", central).select(
+        "map_id", "label", F.sqrt(A.mean_of(z, lambda v: v * v)).alias("sq"), A.mean_of(z, F.abs).alias("sa"),
+        (F.col("_c.m3") / F.pow("_c.m2", 1.5)).alias("skew"), (F.col("_c.m4") / (F.col("_c.m2") * F.col("_c.m2")) - 3).alias("kurt"))
 
 
 def ranges(residuals: DataFrame) -> DataFrame:
-    s = F.col("_s")
-    q = lambda p: A.sorted_quantile(s, p)
-    rows = residuals.withColumn("_s", A.finite_sorted(F.col("z"))).withColumn("_mu", A.array_mean(F.col("z")))
-    return rows.select(
-        "map_id", (q(0.98) - q(0.02)).alias("p98_p2"), (q(1.0) - q(0.0)).alias("span"), (-q(0.0)).alias("deepest"),
-        (q(0.75) - q(0.25)).alias("iqr"), (q(0.95) - q(0.05)).alias("tail"),
-        F.sqrt(A.mean_of(F.col("z"), lambda v: (v - F.col("_mu")) * (v - F.col("_mu")))).alias("centred_rms"))
+    z = F.col("z")
+    probs = {"p02": 0.02, "p98": 0.98, "lo": 0.0, "hi": 1.0, "p25": 0.25, "p75": 0.75, "p05": 0.05, "p95": 0.95}
+    q = A.let(A.finite_sorted(z), lambda s: F.struct(*[A.sorted_quantile(s, p).alias(n) for n, p in probs.items()]))
+    spread = A.let(A.array_mean(z), lambda mu: F.sqrt(A.central_moment(z, mu, 2)))
+    return residuals.withColumn("_q", q).select(
+        "map_id", (F.col("_q.p98") - F.col("_q.p02")).alias("p98_p2"), (F.col("_q.hi") - F.col("_q.lo")).alias("span"), (-F.col("_q.lo")).alias("deepest"),
+        (F.col("_q.p75") - F.col("_q.p25")).alias("iqr"), (F.col("_q.p95") - F.col("_q.p05")).alias("tail"), spread.alias("centred_rms"))
 
 
 def mad_outliers(residuals: DataFrame, k: float = 3.5) -> DataFrame:
     """Count of cells below -k robust sigmas, per million cells of the grid."""
-    rows = residuals.withColumn("_m", A.array_median(F.col("z"))).withColumn(
-        "sigma", 1.4826 * A.array_median(F.transform("z", lambda v: F.abs(v - F.col("_m")))))
-    low = F.size(F.filter("z", lambda v: v < -k * F.col("sigma")))
-    return rows.select("map_id", "sigma", low.alias("n_low"), (low * 1e6 / (F.col("n_rows") * F.col("n_cols"))).alias("per_million"))
+    z = F.col("z")
+    sigma = A.let(A.array_median(z), lambda m: 1.4826 * A.array_median(F.transform(z, lambda v: F.abs(v - m))))
+    found = A.let(sigma, lambda s: F.struct(s.alias("sigma"), F.size(F.filter(z, lambda v: v < -k * s)).alias("n")))
+    return residuals.withColumn("_f", found).select(
+        "map_id", "_f.sigma", F.col("_f.n").alias("n_low"), (F.col("_f.n") * 1e6 / (F.col("n_rows") * F.col("n_cols"))).alias("per_million"))
 
 
 def _at(r: Column, c: Column) -> Column:
@@ -117,7 +111,7 @@ def gradient_stats(maps: DataFrame, pitch: float) -> DataFrame:
 
 def zone_stats(maps: DataFrame, pitch: float, core_half: float, ring_width: float) -> DataFrame:
     """Gradient medians of the centre square and of the edge ring; missing cells use the map median."""
-    filled = masked(maps).withColumn("_m", A.array_median(F.col("z"))).withColumn("z", F.transform("z", lambda v: F.coalesce(v, F.col("_m"))))
+    filled = masked(maps).withColumn("z", A.let(A.array_median(F.col("z")), lambda m: F.transform("z", lambda v: F.coalesce(v, m))))
     rows, cols = F.col("n_rows"), F.col("n_cols")
     yy = lambda i: (F.floor(i / cols) + 0.5) * pitch - rows * pitch / 2
     xx = lambda i: ((i % cols) + 0.5) * pitch - cols * pitch / 2

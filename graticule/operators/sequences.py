@@ -90,9 +90,9 @@ def _runs_of(flags: Column) -> Column:
 def threshold_widths(signals: DataFrame, key: str, value: str, dx: float, levels: Sequence[float]) -> DataFrame:
     """Widest run above q * max per level, with sub-sample boundaries and censoring at ends and gaps."""
     top = F.array_max(value)
-    rows = signals.withColumn("_top", top).where("_top > 0").withColumn("_d", F.transform(value, lambda v: v / F.col("_top"))) \
+    rows = signals.where(top > 0).withColumn("_d", A.let(top, lambda m: F.transform(value, lambda v: v / m))) \
         .withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in levels])))
-    rows = rows.withColumn("_flags", F.transform("_d", lambda v: F.coalesce(v >= F.col("q"), F.lit(False)))).withColumn("_runs", _runs_of(F.col("_flags")))
+    rows = rows.withColumn("_flags", F.transform("_d", lambda v: F.coalesce(v >= F.col("q"), F.lit(False)))).withColumn("_runs", A.let(F.col("_flags"), _runs_of))
     at = lambda k: F.get("_d", k.cast("int"))
     before = lambda i: F.when(i > 0, at(i - 1))
 
@@ -109,9 +109,8 @@ def threshold_widths(signals: DataFrame, key: str, value: str, dx: float, levels
 def _slope(values: Column, i: Column, j: Column, dx: float) -> Column:
     n = (j - i + 1).cast("double")
     seg = F.slice(values, (i + 1).cast("int"), (j - i + 1).cast("int"))
-    mid = (n - 1) / 2
-    mean = A.array_mean(seg)
-    sxy = F.aggregate(F.transform(seg, lambda v, k: (k - mid) * (v - mean)), F.lit(0.0), lambda a, v: a + v)
+    mid = (n - 1) / 2  # offsets from the middle sum to zero, so the values need no centring
+    sxy = A.array_sum(F.transform(seg, lambda v, k: (k - mid) * v))
     sxx = n * (n * n - 1) / 12
     return F.when(n >= 2, sxy / sxx / dx)
 
@@ -121,11 +120,10 @@ def section_features(signals: DataFrame, key: str, value: str, dx: float, affect
     v = F.col(value)
     n = F.size(v)
     rows = signals.withColumn("_top", F.array_max(v)).where("_top > 0").withColumn("_k", (F.array_position(v, F.col("_top")) - 1).cast("int")) \
-        .withColumn("_runs", _runs_of(F.transform(v, lambda x: x >= 0.5 * F.col("_top")))) \
+        .withColumn("_runs", A.let(F.col("_top"), lambda m: A.let(F.transform(v, lambda x: x >= 0.5 * m), _runs_of))) \
         .withColumn("_best", F.array_max(F.transform("_runs", lambda r: F.struct((r["i1"] - r["i0"]).alias("l"), (-r["i0"]).alias("o"), r["i0"].alias("i0"), r["i1"].alias("i1"))))) \
         .withColumn("_in", F.col("_k").between(F.col("_best.i0"), F.col("_best.i1"))) \
-        .withColumn("_aff", F.array_max(F.transform(_runs_of(F.transform(v, lambda x: F.abs(x) > affected)), lambda r: r["i1"] - r["i0"]))) \
-        .withColumn("_mu", A.array_mean(v))
+        .withColumn("_aff", F.array_max(F.transform(A.let(F.transform(v, lambda x: F.abs(x) > affected), _runs_of), lambda r: r["i1"] - r["i0"])))
     i0, i1, k, inside = F.col("_best.i0"), F.col("_best.i1"), F.col("_k"), F.col("_in")
     left = F.slice(v, F.lit(1), F.when(inside, i0).otherwise(k))
     right_from = F.when(inside, i1).otherwise(k) + 2
@@ -133,14 +131,14 @@ def section_features(signals: DataFrame, key: str, value: str, dx: float, affect
     trough = lambda part: F.greatest(F.lit(0.0), -F.coalesce(F.array_min(part), F.lit(0.0)))
     sep = F.when(inside & (F.array_min(left) < 0) & (F.array_min(right) < 0),
                  ((right_from - 1 + F.array_position(right, F.array_min(right)) - 1) - (F.array_position(left, F.array_min(left)) - 1)) * dx)
-    moment = lambda p: A.mean_of(v, lambda x: F.pow(x - F.col("_mu"), p))
+    skewness = A.let(A.array_mean(v), lambda mu: A.central_moment(v, mu, 3) / F.pow(A.central_moment(v, mu, 2), 1.5))
     area = A.array_sum(F.transform(v, lambda x: F.greatest(x, F.lit(0.0)))) * dx
     return rows.select(
         key, area.alias("area"), (area / F.col("_top")).alias("eq_width"), F.coalesce(F.col("_aff") * dx + dx, F.lit(0.0)).alias("affected"),
         trough(left).alias("ridge_left"), trough(right).alias("ridge_right"),
         F.when(inside, ((i1 - k) - (k - i0)) * dx / F.greatest((i1 - i0) * dx, F.lit(1e-12))).alias("asymmetry"),
         F.when(inside, _slope(v, i0, k, dx)).alias("left_slope"), F.when(inside, _slope(v, k, i1, dx)).alias("right_slope"),
-        sep.alias("separation"), (moment(3) / F.pow(moment(2), 1.5)).alias("skewness"))
+        sep.alias("separation"), skewness.alias("skewness"))
 
 
 def holm(df: DataFrame, by: Sequence[str], p: str, tie: str, name: str) -> DataFrame:

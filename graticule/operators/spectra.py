@@ -1,5 +1,8 @@
 """Spectral descriptors.
 
+``posexplode_outer`` is used after a transform on purpose: the inner form lets the optimizer infer
+a size filter that would evaluate the transform a second time.
+
 The transforms are narrow Arrow-batched matrix products; everything after them is grouped by
 map id directly above the explode, so partial aggregation reduces every map to a handful of
 rows before anything is shuffled.
@@ -27,7 +30,7 @@ def dct_table(maps: DataFrame, rows: int, cols: int, pitch: float) -> DataFrame:
     fx = (k % cols) / F.lit(2.0 * cols * pitch)
     return (
         maps.select("map_id", "label", T.dct2(F.col("z"), rows, cols).alias("_c"))
-        .select("map_id", "label", F.posexplode("_c").alias("_k", "coef"))
+        .select("map_id", "label", F.posexplode_outer("_c").alias("_k", "coef")).where("_k IS NOT NULL")
         .select("map_id", "label", F.floor(k / cols).cast("long").alias("u"), (k % cols).cast("long").alias("v"), "coef",
                 F.when(k > 0, 1 / F.hypot(fy, fx)).alias("lam"))
     )
@@ -112,8 +115,7 @@ def bandpass(maps: DataFrame, rows: int, cols: int, pitch: float, bands=BANDS) -
 
 
 def population_variance(values: Column) -> Column:
-    mean = A.array_mean(values)
-    return A.array_mean(F.transform(values, lambda v: v * v)) - mean * mean
+    return A.let(A.array_mean(values), lambda mu: A.central_moment(values, mu, 2))
 
 
 def difference_bands(maps: DataFrame, rows: int, cols: int, sigmas: list[float]) -> DataFrame:
@@ -142,7 +144,7 @@ def power_table(maps: DataFrame, rows: int, cols: int, pitch: float) -> DataFram
     signed = lambda q, n: F.when(q < (n + 1) // 2, q).otherwise(q - n) / F.lit(n * pitch)
     return (
         maps.select("map_id", "label", T.hann_power(F.col("z"), rows, cols).alias("_p"))
-        .select("map_id", "label", F.posexplode("_p").alias("_k", "power"))
+        .select("map_id", "label", F.posexplode_outer("_p").alias("_k", "power"))
         .withColumns({"fy": signed(ky, rows), "fx": signed(kx, cols)})
         .where(k > 0)
         .select("map_id", "label", "power", (1 / F.hypot("fy", "fx")).alias("lam"), F.atan2("fy", "fx").alias("theta"))
@@ -193,7 +195,7 @@ def acf_cut_length(residuals: DataFrame, rows: int, cols: int, pitch: float) ->
     """Mean of the first x and y lags where the periodic autocorrelation drops below 1/e."""
     def crossing(step: int, size: int) -> Column:
         lags = F.sequence(F.lit(1), F.lit(size // 2))
-        low = F.filter(lags, lambda k: F.get("_a", (k * step).cast("int")) < F.get("_a", F.lit(0)) / math.e)
+        low = F.filter(lags, lambda k: F.get("_a", (k * step).cast("int")) < F.get("_a", F.lit(0)) / F.lit(math.e))
         return F.coalesce(F.get(low, F.lit(0)), F.lit(size // 2))
     rows_ = residuals.select("map_id", T.autocorrelation(F.col("z"), rows, cols).alias("_a"))
     return rows_.select("map_id", ((crossing(cols, rows) + crossing(1, cols)) / 2.0 * pitch).alias("acf_length"))
@@ -202,13 +204,13 @@ def acf_cut_length(residuals: DataFrame, rows: int, cols: int, pitch: float) ->
 def acf_radial_length(residuals: DataFrame, rows: int, cols: int, pitch: float) -> DataFrame:
     """First interpolated radial lag where the binned, mean-centred autocorrelation crosses 1/e."""
     half = min(rows, cols) // 2
-    centred = residuals.withColumn("_m", A.array_mean(F.col("z"))).withColumn("z", F.transform("z", lambda v: v - F.col("_m")))
+    centred = residuals.withColumn("z", A.shifted(F.col("z"), A.array_mean(F.col("z"))))
     k = F.col("_k")
     wrap = lambda q, n: F.when(q < n - n // 2, q).otherwise(q - n)
     lags = (
         centred.select("map_id", T.autocorrelation(F.col("z"), rows, cols).alias("_a"))
         .withColumn("_a0", F.get("_a", F.lit(0)))
-        .select("map_id", "_a0", F.posexplode("_a").alias("_k", "a"))
+        .select("map_id", "_a0", F.posexplode_outer("_a").alias("_k", "a")).where("_k IS NOT NULL")
         .withColumn("bin", F.floor(F.hypot(wrap(F.floor(k / cols), rows), wrap(k % cols, cols)) + 0.5))
         .where(F.col("bin") <= half)
     )
@@ -226,10 +228,8 @@ def observe(maps: DataFrame, rows: int, cols: int, pitch: float, theta_bins: int
             zero_threshold: float = 1e-10, replacement: float = 1e-6) -> tuple[DataFrame, DataFrame]:
     """Canonical observation vector per map and the validity table of its blocks."""
     m = masked(maps)
-    med = A.array_median(F.col("z"))
-    base = m.withColumn("_med", med).withColumn("_full", ~F.exists("z", lambda v: v.isNull())) \
-        .withColumn("_any", F.exists("z", lambda v: v.isNotNull())) \
-        .withColumn("z", F.transform("z", lambda v: v - F.col("_med")))
+    base = m.withColumns({"_med": A.array_median(F.col("z")), "_full": ~F.exists("z", lambda v: v.isNull()), "_any": F.exists("z", lambda v: v.isNotNull())}) \
+        .withColumn("z", A.shifted(F.col("z"), F.col("_med")))
     scalar_part = base.select("map_id", "label", (-F.col("_med")).alias("depth"), F.sqrt(A.mean_of(F.col("z"), lambda v: v * v)).alias("a_med"), "_full", "_any")
     full = base.where("_full")
     comp = band_composition(dct_table(full, rows, cols, pitch))
