@@ -1 +1 @@
-
+"""Readers, schema normalisation, content seals and table comparison."""
