@@ -17,7 +17,7 @@ from graticule.operators import resampling as B
 from graticule.operators import summaries as R
 from graticule.plans import order_stats as O
 from graticule.plans import tiles as T
-from graticule.plans.lineage import cut
+from graticule.plans.lineage import cut, shared
 from graticule.plans.scalars import one_row
 
 
@@ -46,7 +46,7 @@ COMPD = "cd AS (SELECT grp, avg(abs(observed - predicted)) FILTER (model = 'minu
 def component_differences(t, by=()):
     e = fold_facts(t).withColumn("ae", F.abs(F.col("observed") - F.col("predicted")))
     one = lambda m: F.avg(F.when(F.col("model") == m, F.col("ae")))
-    return e.groupBy(*by, "grp").agg((one("minus") - one("full")).alias("d"), F.lit(1).alias("one"))
+    return shared(e.groupBy(*by, "grp").agg((one("minus") - one("full")).alias("d"), F.lit(1).alias("one")))
 
 
 @query("B2_paired_component_interval", "mean:d low:d high:d n_components:l", sql("fact", COMPD + ", " + bank_sql("cd", "grp", 200, 11) + """, st AS (SELECT rep, sum(w * d) / sum(w) AS stat FROM bank JOIN cd USING (grp) GROUP BY rep)
@@ -96,7 +96,7 @@ pm AS (SELECT hs.block, hs.rep, hs.l_suppkey, nat.x FROM hs JOIN nat ON nat.bloc
 
 
 def units(t):
-    return t.lineitem.groupBy((F.col("l_suppkey") % 4).alias("block"), "l_suppkey").agg(F.avg("l_discount").alias("x"), F.sum("l_quantity").alias("sy"), F.count(F.lit(1)).alias("n"))
+    return shared(t.lineitem.groupBy((F.col("l_suppkey") % 4).alias("block"), "l_suppkey").agg(F.avg("l_discount").alias("x"), F.sum("l_quantity").alias("sy"), F.count(F.lit(1)).alias("n")))
 
 
 @query("B5_block_permutation", "block:l rep:l l_suppkey:l x:d", "WITH " + perm_sql(20, 23) + " SELECT * FROM pm")

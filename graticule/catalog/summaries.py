@@ -12,6 +12,7 @@ from graticule.functions import composition as C
 from graticule.operators import spectra as SP
 from graticule.operators import summaries as R
 from graticule.plans import order_stats as O
+from graticule.plans.lineage import shared
 
 Q5 = "quantile_cont({0}, 0.10) AS q10, quantile_cont({0}, 0.25) AS q25, median({0}) AS median, quantile_cont({0}, 0.75) AS q75, quantile_cont({0}, 0.90) AS q90, count({0}) AS n, count(*) FILTER ({0} > 0) AS n_positive"
 Q5C = "q10:d q25:d median:d q75:d q90:d n:l n_positive:l"
@@ -241,7 +242,7 @@ def error_atlas(t):
 q AS (SELECT target, quantile_cont(a, 0.9) AS qa, quantile_cont(b, 0.9) AS qb FROM e GROUP BY target), r AS (SELECT e.*, a >= qa AS ha, b >= qb AS hb, rank() OVER (PARTITION BY e.target ORDER BY a) + (count(*) OVER (PARTITION BY e.target, a) - 1) / 2 AS ra,
 rank() OVER (PARTITION BY e.target ORDER BY b) + (count(*) OVER (PARTITION BY e.target, b) - 1) / 2 AS rb FROM e JOIN q ON q.target = e.target) SELECT target, count(*) FILTER (ha AND hb) AS n_both, count(*) FILTER (ha OR hb) AS n_any, count(*) FILTER (ha AND hb) / count(*) FILTER (ha OR hb) AS jaccard, corr(ra, rb) AS rho FROM r GROUP BY target"""))
 def hotspots(t):
-    e = R.paired(atlas(t), ["target", "id"], "model", ["full", "minus"], F.col("norm_err"))
+    e = shared(R.paired(atlas(t), ["target", "id"], "model", ["full", "minus"], F.col("norm_err")))
     q = O.quantiles(e, ["target"], "full", {"qa": 0.9}).join(O.quantiles(e, ["target"], "minus", {"qb": 0.9}), "target")
     h = e.join(q, "target").withColumns({"ha": F.col("full") >= F.col("qa"), "hb": F.col("minus") >= F.col("qb")})
     g = h.groupBy("target").agg(F.count_if(F.col("ha") & F.col("hb")).alias("n_both"), F.count_if(F.col("ha") | F.col("hb")).alias("n_any"))

@@ -36,6 +36,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     e = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     e = cut(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct())
+    # every node of the input, also those without a partner
     nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
     signature = None
     for _ in range(max_rounds):

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from graticule.functions.hashing import draw_key, hex_prefix, pick, uniform
 from graticule.plans import order_stats as O
+from graticule.plans.lineage import shared
 
 
 def replicates(reps: int) -> Column:
@@ -31,7 +32,7 @@ def indexed(units: DataFrame, key: str, strata: Sequence[str] = ()) -> DataFrame
 def bootstrap_counts(units: DataFrame, key: str, reps: int, seed: int, strata: Sequence[str] = ()) -> DataFrame:
     """Shared bank (stratum, rep, unit, w): units drawn with replacement inside each stratum."""
     strata = list(strata)
-    ix = indexed(units.select(*strata, key).distinct(), key, strata)
+    ix = shared(indexed(shared(units.select(*strata, key).distinct()), key, strata))
     draws = ix.select(*strata, "_i", "_k", replicates(reps).alias("rep"))
     draws = draws.select(*strata, "rep", pick(F.col("_k"), seed, *[F.col(s) for s in strata], F.col("rep"), F.col("_i")).alias("_i"))
     counts = draws.groupBy(*strata, "rep", "_i").agg(F.count(F.lit(1)).alias("w"))
@@ -64,7 +65,7 @@ def natural_order(df: DataFrame, by: Sequence[str], key: str, name: str) -> Data
 def permuted(units: DataFrame, blocks: Sequence[str], key: str, value: str, reps: int, seed: int) -> DataFrame:
     """(block, rep, key, value): values reassigned to keys inside each block, once per replicate."""
     blocks = list(blocks)
-    base = natural_order(units.select(*blocks, key, value), blocks, key, "_r")
+    base = shared(natural_order(units.select(*blocks, key, value), blocks, key, "_r"))
     spread = base.select(*blocks, key, replicates(reps).alias("rep"))
     shuffled = hashed_order(spread, [*blocks, "rep"], key, seed, "_r", F.col("rep"))
     return shuffled.join(base.select(*blocks, "_r", value), [*blocks, "_r"]).select(*blocks, "rep", key, value)
@@ -147,12 +148,13 @@ def largest_angle(a: np.ndarray, b: np.ndarray) -> float:
 
 def pca_bootstrap_angles(df: DataFrame, cluster: str, vector: str, d: int, k: int, reps: int, seed: int) -> DataFrame:
     """Angle between the top-k subspace of each cluster resample and of the full data."""
-    moments = cluster_moments(df, cluster, vector, d)
+    moments = shared(cluster_moments(df, cluster, vector, d))
     bank = bootstrap_counts(moments, cluster, reps, seed)
     full = moments.select(F.lit(-1).alias("rep"), F.lit(1).cast("long").alias("w"), "m")
     rows = bank.join(moments, cluster).select("rep", "w", "m").unionByName(full)
     long = rows.select("rep", "w", F.posexplode("m").alias("i", "v")).groupBy("rep", "i").agg(F.sum(F.col("w") * F.col("v")).alias("v"))
     per = long.groupBy("rep").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda e: e["v"]).alias("m"))
+    per = shared(per)
     reference = per.where("rep = -1").select(F.col("m")).scalar()
 
     def solve(batches):

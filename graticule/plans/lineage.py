@@ -3,9 +3,19 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared(df: DataFrame) -> DataFrame:
+    """Keep a reduced intermediate that several branches of one plan read.
+
+    Lazy, spills to disk and can be recomputed after executor loss.  Only pre-aggregated tables
+    are shared this way, never raw input; ``spark.catalog.clearCache()`` releases them.
+    """
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder named by ``spark.checkpoint.dir``; fall back only for local sessions."""
     sc = spark.sparkContext

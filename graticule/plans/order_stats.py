@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+
 BUCKETS = 32
 
 
@@ -21,14 +22,14 @@ def value_counts(df: DataFrame, by: Sequence[str], value: str, amount: str | Col
 
 
 def _bucketed(counts: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Adds the bucket and the group total."""
     probs = F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)])
-    edges = counts.groupBy(*by).agg(F.percentile_approx(value, probs, 4 * BUCKETS).alias("_edges"))
-    bucket = F.size(F.filter("_edges", lambda e: e < F.col(value)))
+    edges = counts.groupBy(*by).agg(F.percentile_approx(value, probs, 4 * BUCKETS).alias("_edges"), F.sum("_n").alias("_total"))
     if by:
         joined = counts.join(edges, list(by))
     else:
-        joined = counts.withColumn("_edges", edges.scalar())
-    return joined.withColumn("_bucket", bucket).drop("_edges")
+        joined = counts.withColumn("_e", edges.select(F.struct("_edges", "_total")).scalar()).withColumns({"_edges": F.col("_e._edges"), "_total": F.col("_e._total")}).drop("_e")
+    return joined.withColumn("_bucket", F.size(F.filter("_edges", lambda e: e < F.col(value)))).drop("_edges")
 
 
 def running_totals(counts: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -40,7 +41,6 @@ def running_totals(counts: DataFrame, by: Sequence[str], value: str) -> DataFram
         fine.groupBy(*by, "_bucket")
         .agg(F.sum("_n").alias("_size"))
         .withColumn("_offset", F.sum("_size").over(within_group) - F.col("_size"))
-        .withColumn("_total", F.sum("_size").over(Window.partitionBy(*by)))
         .drop("_size")
     )
     inside = Window.partitionBy(*by, "_bucket").orderBy(value)

@@ -77,6 +77,7 @@ def main() -> None:
             t2 = time.time()
             bad += bool(note)
             print(f"{'FAIL' if note else 'ok  '} {name} rows={len(got)} spark={t1 - t0:.1f}s duck={t2 - t1:.1f}s {'' if name in oracle else 'NO-ORACLE '}{note or ''}", flush=True)
+            spark.catalog.clearCache()
         except Exception as e:  # noqa: BLE001
             bad += 1
             print(f"ERR  {name} {type(e).__name__}: {str(e)[:300]}", flush=True)
