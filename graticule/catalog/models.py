@@ -250,7 +250,13 @@ def local_vs_global(t):
     return q(local, "q2_local").join(q(glob, "q2_global"), ["stratum", "fold"])
 
 
-@query("M18_conditioning_bridge", "direction:s median_delta:d")
+Q2_12 = """tb AS (SELECT k, count(*) AS n, avg(x1) AS m1, stddev_pop(x1) AS s1, avg(x2) AS m2, stddev_pop(x2) AS s2, avg(y) AS my, corr(x1, x2) AS r12, covar_pop(x1, y) / stddev_pop(x1) AS c1, covar_pop(x2, y) / stddev_pop(x2) AS c2 FROM fd JOIN r ON r.fold <> k GROUP BY k),
+cb AS (SELECT k, my, m1, m2, s1, s2, (c1 * (1 + 1.0::DOUBLE / n) - r12 * c2) / (pow(1 + 1.0::DOUBLE / n, 2) - r12 * r12) AS b1, (c2 * (1 + 1.0::DOUBLE / n) - r12 * c1) / (pow(1 + 1.0::DOUBLE / n, 2) - r12 * r12) AS b2 FROM tb),
+qab AS (SELECT k, 1 - sum(pow(y - my - b1 * (x1 - m1) / s1 - b2 * (x2 - m2) / s2, 2)) / sum(pow(y - my, 2)) AS q FROM cb JOIN r ON fold = k GROUP BY k)"""
+
+
+@query("M18_conditioning_bridge", "direction:s median_delta:d", sql("ord", TR12 + ", " + Q2_12 + f""", qa AS (SELECT k, {Q2_1} AS q FROM tr JOIN r ON fold = k GROUP BY k), qb AS (SELECT k, {Q2_2} AS q FROM tr JOIN r ON fold = k GROUP BY k)
+SELECT 'x2_given_x1' AS direction, median(qab.q - qa.q) AS median_delta FROM qab JOIN qa USING (k) UNION ALL SELECT 'x1_given_x2', median(qab.q - qb.q) FROM qab JOIN qb USING (k)"""))
 def conditioning_bridge(t):
     """Extra skill of one observable given the other, both ways."""
     f = ridge_fits(t, ("x1", "x2"), (1.0,), {"a": [0], "b": [1], "ab": [0, 1]}).withColumn("q2", 1 - F.col("sse") / F.col("ss0"))

@@ -102,7 +102,11 @@ def connected_components(t):
     return order_components(t)
 
 
-@query("G5_component_ids", "component:l n:l component_id:s", None)
+@query("G5_component_ids", "component:l n:l component_id:s", f"""WITH RECURSIVE o AS (SELECT o_orderkey AS id, {COMP_KEYS} FROM orders),
+e AS (SELECT a.id AS u, b.id AS v FROM o a JOIN o b ON a.k1 = b.k1 UNION SELECT a.id, b.id FROM o a JOIN o b ON a.k2 = b.k2),
+r AS (SELECT id AS node, id AS component FROM o UNION SELECT e.v, r.component FROM r JOIN e ON e.u = r.node WHERE r.component < e.v), c AS (SELECT node, min(component) AS component FROM r GROUP BY node), d AS (SELECT component, sha256(CAST(node AS VARCHAR)) AS h FROM c),
+f1 AS (SELECT component, substr(h, 1, 2) AS p, sha256(string_agg(h, '' ORDER BY h)) AS h FROM d GROUP BY component, substr(d.h, 1, 2), substr(d.h, 3, 2)), f2 AS (SELECT component, sha256(string_agg(h, '' ORDER BY h)) AS h FROM f1 GROUP BY component, p),
+n AS (SELECT component, count(*) AS n FROM c GROUP BY component) SELECT component, any_value(n) AS n, sha256(string_agg(h, '' ORDER BY h)) AS component_id FROM f2 JOIN n USING (component) GROUP BY component""")
 def component_ids(t):
     c = order_components(t)
     ids = G.component_ids(c, "component", F.col("node"))
