@@ -120,12 +120,13 @@ def exact_repeat_pairs(t):
     return J.cross_source_pair_moments(t.lineitem, "l_suppkey", ["l_quantity"], ["l_partkey", "l_linenumber"]).where("n_pairs > 0")
 
 
-@query("J14_condition_match", "state:s n:l n_orders:l", """WITH c AS (SELECT l_orderkey, l_partkey, l_linenumber FROM lineitem)
+@query("J14_condition_match", "state:s n:l n_orders:l", """WITH c AS (SELECT l_orderkey, l_partkey, l_linenumber FROM lineitem UNION ALL SELECT l_orderkey, l_suppkey, l_linenumber FROM lineitem)
 SELECT CASE WHEN p_partkey IS NULL THEN 'no_line' WHEN p_size < 10 THEN 'too_small' WHEN p_brand = 'Brand#2' THEN 'unmeasured' ELSE 'usable' END AS state, count(*) AS n, count(DISTINCT l_orderkey) AS n_orders
 FROM c LEFT JOIN part ON p_partkey = l_partkey AND l_linenumber < 7 GROUP BY 1""")
 def condition_match(t):
-    """Conditions listed as text per order are exploded and matched to measured lines."""
-    scans = t.lineitem.groupBy("l_orderkey", F.pmod("l_partkey", F.lit(16)).alias("salt")).agg(F.array_join(F.collect_list(F.concat_ws(":", "l_partkey", "l_linenumber")), ";").alias("conditions"))
+    """Every scan row lists its conditions as text; they are exploded and matched to measured lines."""
+    both = F.concat_ws(";", F.concat_ws(":", "l_partkey", "l_linenumber"), F.concat_ws(":", "l_suppkey", "l_linenumber"))
+    scans = t.lineitem.select("l_orderkey", both.alias("conditions"))
     c = scans.select("l_orderkey", F.explode(F.split("conditions", ";")).alias("c")).select("l_orderkey", F.split("c", ":")[0].cast("long").alias("part"), F.split("c", ":")[1].cast("int").alias("line"))
     j = c.join(t.part, (F.col("p_partkey") == F.col("part")) & (F.col("line") < 7), "left")
     state = F.when(F.col("p_partkey").isNull(), "no_line").when(F.col("p_size") < 10, "too_small").when(F.col("p_brand") == "Brand#2", "unmeasured").otherwise("usable")

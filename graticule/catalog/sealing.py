@@ -81,7 +81,7 @@ def verify_seal_tolerant(t):
 
 
 @query("S9_seal_choices", "n_rows:l digest:s", """WITH r AS (SELECT sha256('{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}') AS h FROM orders),
-c AS (SELECT sha256(h || ':' || count(*)) AS h, count(*) AS n FROM r GROUP BY h), p AS (SELECT sha256(string_agg(h, '' ORDER BY h)) AS h, sum(n) AS n FROM c GROUP BY substr(c.h, 1, 3))
+c AS (SELECT sha256(h || ':' || count(*)) AS h, count(*) AS n FROM r GROUP BY h), q AS (SELECT substr(c.h, 1, 3) AS p, sha256(string_agg(h, '' ORDER BY h)) AS h, sum(n) AS n FROM c GROUP BY substr(c.h, 1, 3), substr(c.h, 4, 3)), p AS (SELECT sha256(string_agg(h, '' ORDER BY h)) AS h, sum(n) AS n FROM q GROUP BY p)
 SELECT sum(n) AS n_rows, sha256(string_agg(h, '' ORDER BY h)) AS digest FROM p""")
 def seal_choices(t):
     return S.seal_choices(t.orders.select("o_orderkey", "o_custkey", "o_orderstatus"))

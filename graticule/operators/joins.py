@@ -25,7 +25,6 @@ def asof_nearest(left: DataFrame, right: DataFrame, by: Sequence[str], order: st
     """
     by = list(by)
     payload = F.struct(F.col(order).alias("at"), F.col(value).alias("val"))
-    # right rows sort before left rows at equal positions so that an exact hit is seen backwards
     merged = left.withColumns({"_payload": F.lit(None).cast(right.select(payload.alias("p")).schema["p"].dataType), "_side": F.lit(1)}).unionByName(
         right.select(*by, order, payload.alias("_payload"), F.lit(0).alias("_side")), allowMissingColumns=True)
     back = S.with_last_seen(merged, by, order, F.col("_payload"), "_back", width)

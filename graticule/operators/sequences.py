@@ -58,10 +58,7 @@ def min_spacing(df: DataFrame, by: Sequence[str], order: str, step: float) -> Da
     probes = base.select(*by, (F.col("s") + step).alias("p"), F.col("s").alias("src"), F.lit(None).cast("double").alias("v"), F.lit(0).alias("kind"))
     values = base.select(*by, F.col("s").alias("p"), F.lit(None).cast("double").alias("src"), F.col("s").alias("v"), F.lit(1).alias("kind"))
     seen = S.with_last_seen(probes.unionByName(values), by, "p", F.col("v"), "nxt", 4 * step, forward=True)
-    own = base.select(*by, F.col("s").alias("src"), (F.col("s") + step).alias("q"))
-    # a value equal to its probe position counts, whichever row sorts first
-    exact = own.join(base.withColumnRenamed("s", "q"), [*by, "q"], "left_semi").select(*by, "src", F.col("q").alias("tie"))
-    jump = seen.where("kind = 0").select(*by, "src", "nxt").join(exact, [*by, "src"], "left").select(*by, "src", F.coalesce("tie", "nxt").alias("dst"))
+    jump = seen.where("kind = 0").select(*by, "src", F.col("nxt").alias("dst"))
     prev = S.with_previous(base, by, "s", F.col("s"), "before", 4 * step)
     kept = cut(prev.where(F.col("before").isNull() | (F.col("s") - F.col("before") >= step)).select(*by, "s"))
     jump = cut(jump.where("dst IS NOT NULL"))

@@ -9,11 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
-BUCKETS = 32
-
 
 def value_counts(df: DataFrame, by: Sequence[str], value: str, amount: str | Column | None = None) -> DataFrame:
     """Rows per distinct value; rows are pre-aggregated before the shuffle."""
@@ -21,15 +19,29 @@ def value_counts(df: DataFrame, by: Sequence[str], value: str, amount: str | Col
     return df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(n.alias("_n"))
 
 
+def _buckets(spark: SparkSession) -> int:
+    """As many buckets as shuffle partitions, so that ordering one group can use the whole cluster."""
+    return min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 32), 4096)
+
+
 def _bucketed(counts: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Adds the bucket and the group total."""
-    probs = F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)])
-    edges = counts.groupBy(*by).agg(F.percentile_approx(value, probs, 4 * BUCKETS).alias("_edges"), F.sum("_n").alias("_total"))
+    """Adds the bucket and the group total.
+
+    Edges are deduplicated, so a small group carries few.  The bucket is found in two short steps
+    (every 64th edge, then the 64 edges behind it) instead of a walk over all edges.
+    """
+    n = _buckets(counts.sparkSession)
+    probs = F.array(*[F.lit(i / n) for i in range(1, n)])
+    edges = counts.groupBy(*by).agg(F.array_distinct(F.percentile_approx(value, probs, 4 * n)).alias("_edges"), F.sum("_n").alias("_total"))
+    edges = edges.withColumn("_coarse", F.filter("_edges", lambda _, i: i % 64 == 63))
     if by:
         joined = counts.join(edges, list(by))
     else:
-        joined = counts.withColumn("_e", edges.select(F.struct("_edges", "_total")).scalar()).withColumns({"_edges": F.col("_e._edges"), "_total": F.col("_e._total")}).drop("_e")
-    return joined.withColumn("_bucket", F.size(F.filter("_edges", lambda e: e < F.col(value)))).drop("_edges")
+        row = edges.select(F.struct("_edges", "_coarse", "_total")).scalar()
+        joined = counts.withColumn("_e", row).withColumns({c: F.col(f"_e.{c}") for c in ("_edges", "_coarse", "_total")}).drop("_e")
+    below = lambda array: F.size(F.filter(array, lambda e: e < F.col(value)))
+    joined = joined.withColumn("_jump", below(F.col("_coarse")) * 64)
+    return joined.withColumn("_bucket", F.col("_jump") + below(F.slice("_edges", F.col("_jump") + 1, F.lit(64)))).drop("_edges", "_coarse", "_jump")
 
 
 def running_totals(counts: DataFrame, by: Sequence[str], value: str) -> DataFrame:

@@ -57,16 +57,20 @@ def with_running_sum(df: DataFrame, by: Sequence[str], order: str, value: Column
 
 
 def with_last_seen(df: DataFrame, by: Sequence[str], order: str, value: Column, name: str, width: float, forward: bool = False) -> DataFrame:
-    """Nearest non-null ``value`` at or before each row (at or after, if ``forward``)."""
+    """Nearest non-null ``value`` at or before each row (at or after, if ``forward``).
+
+    Rows at the same position see each other; of several values there, the largest (forward: the
+    smallest) is taken, so the result does not depend on row order.
+    """
     by = list(by)
     rows = sliced(df, order, width).withColumn("_v", F.when(value.isNotNull(), F.struct(F.col(order).alias("o"), value.alias("v"))))
     sort = (lambda c: F.col(c).desc()) if forward else (lambda c: F.col(c).asc())
-    inside = Window.partitionBy(*by, "_slice").orderBy(sort(order)).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*by, "_slice").orderBy(sort(order)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     across = Window.partitionBy(*by).orderBy(sort("_slice")).rowsBetween(Window.unboundedPreceding, -1)
-    edge = (F.min if forward else F.max)("_v")
-    carry = _carry(rows, by, edge, F.last("_summary", ignorenulls=True).over(across), "_edge")
+    nearest = F.min if forward else F.max
+    carry = _carry(rows, by, nearest("_v"), nearest("_summary").over(across), "_edge")
     return (
-        rows.withColumn("_seen", F.last("_v", ignorenulls=True).over(inside))
+        rows.withColumn("_seen", nearest("_v").over(inside))
         .join(carry, [*by, "_slice"])
         .withColumn(name, F.coalesce(F.col("_seen"), F.col("_edge"))["v"])
         .drop("_v", "_seen", "_edge", "_slice")

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 TILE_ROWS = 512
+TARGET_LIMIT = 20000
 
 
 def scan(df: DataFrame, key: str, columns: Sequence[str], reduce: Callable[[pd.DataFrame, pd.DataFrame, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
@@ -75,7 +76,9 @@ def pair_quantiles(df: DataFrame, key: str, columns: Sequence[str], measure: Cal
         ((F.floor("e.pos") >= F.col("before")) & (F.floor("e.pos") < F.col("before") + F.col("n")))
         | ((F.ceil("e.pos") >= F.col("before")) & (F.ceil("e.pos") < F.col("before") + F.col("n"))))
     # one or two rows per (pair group, requested quantile)
-    targets = hits.select("grp", "bucket", "before", "total", "e.name", "e.pos").toPandas()
+    targets = hits.select("grp", "bucket", "before", "total", "e.name", "e.pos").limit(TARGET_LIMIT + 1).toPandas()
+    if len(targets) > TARGET_LIMIT:
+        raise ValueError(f"more than {TARGET_LIMIT} pair groups and quantiles; ask for fewer groups at a time")
     wanted = set(zip(targets["grp"], targets["bucket"]))
 
     def values(left, right, mask):

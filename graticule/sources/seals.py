@@ -56,15 +56,15 @@ def verify_seal(sealed: DataFrame, current: DataFrame, tolerant: bool = False) -
 def table_digest(df: DataFrame) -> DataFrame:
     """Order-independent SHA-256 of a table: row digests, combined per digest prefix, then once more.
 
-    4096 prefix groups are hashed in parallel; their digests (4096 short strings at most) are
-    combined in two further steps, so no task sees the whole table.
+    Up to 16^6 prefix groups are hashed in parallel, then at most 4096 digests per group of three
+    hex digits, then at most 4096 in total, so no task sees more than a sliver of the table.
     """
     row = F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256)
     h = df.select(row.alias("h"))
     fold = lambda d, keys: d.groupBy(*keys).agg(F.sha2(F.concat_ws("", F.array_sort(F.collect_list("h"))), 256).alias("h"), F.sum("n").alias("n"))
     counted = h.groupBy("h").agg(F.count(F.lit(1)).alias("n"))  # equal rows collapse first, so copies cannot pile up
-    d = counted.select(F.sha2(F.concat_ws(":", "h", "n"), 256).alias("h"), "n").withColumns({"p": F.substring("h", 1, 2), "q": F.substring("h", 3, 1)})
-    return fold(fold(d, ["p", "q"]), []).select(F.col("h").alias("digest"), F.col("n").alias("n_rows"))
+    d = counted.select(F.sha2(F.concat_ws(":", "h", "n"), 256).alias("h"), "n").withColumns({"p": F.substring("h", 1, 3), "q": F.substring("h", 4, 3)})
+    return fold(fold(fold(d, ["p", "q"]), ["p"]), []).select(F.col("h").alias("digest"), F.col("n").alias("n_rows"))
 
 
 def seal_choices(choices: DataFrame) -> DataFrame:
