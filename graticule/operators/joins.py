@@ -27,8 +27,7 @@ def asof_nearest(left: DataFrame, right: DataFrame, by: Sequence[str], order: st
     payload = F.struct(F.col(order).alias("at"), F.col(value).alias("val"))
     merged = left.withColumns({"_payload": F.lit(None).cast(right.select(payload.alias("p")).schema["p"].dataType), "_side": F.lit(1)}).unionByName(
         right.select(*by, order, payload.alias("_payload"), F.lit(0).alias("_side")), allowMissingColumns=True)
-    back = S.with_last_seen(merged, by, order, F.col("_payload"), "_back", width)
-    both = S.with_last_seen(back, by, order, F.col("_payload"), "_next", width, forward=True).where("_side = 1")
+    both = S.with_seen(merged, by, order, F.col("_payload"), "_back", "_next", width).where("_side = 1")
     db, dn = F.col(order) - F.col("_back.at"), F.col("_next.at") - F.col(order)
     prefer_next = F.col("_back").isNull() | ((dn < db) if ties == "before" else (dn <= db))
     hit = F.when(F.col("_next").isNotNull() & prefer_next, F.col("_next")).otherwise(F.col("_back"))

@@ -19,7 +19,7 @@ def threshold_runs(df: DataFrame, by: Sequence[str], order: str, flag: Column, w
 
 def merge_runs(runs: DataFrame, by: Sequence[str], gap: float, width: float) -> DataFrame:
     """Bridge gaps up to ``gap`` between neighbouring runs."""
-    prev = S.with_previous(runs, by, "s0", F.col("s1"), "_end", width)
+    prev = S.with_previous(S.sliced(runs, "s0", width), by, "s0", F.col("s1"), "_end", width)
     start = F.when(F.col("s0") - F.col("_end") <= gap, 0).otherwise(1).cast("long")
     numbered = S.with_running_sum(prev, by, "s0", start, "_k", width)
     return numbered.groupBy(*by, "_k").agg(F.min("s0").alias("s0"), F.max("s1").alias("s1"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_runs")).drop("_k")

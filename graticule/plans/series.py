@@ -2,7 +2,8 @@
 
 A series (one ``by`` key) is cut into slices of fixed width along the ordering axis.  Windows
 run inside (key, slice); only one summary row per slice is carried across slices, and it is
-joined back on the partitioning that the slice window already produced.
+joined back on the partitioning that the slice window already produced.  Steps that follow each
+other on the same axis share the slice column, so the rows are shuffled once.
 """
 from __future__ import annotations
 
@@ -10,76 +11,87 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+SLICE = "_slice"
+
 
 def sliced(df: DataFrame, order: str, width: float) -> DataFrame:
-    return df.withColumn("_slice", F.floor(F.col(order) / F.lit(float(width))).cast("long"))
+    """Adds the slice number; a frame that already carries one keeps it."""
+    return df if SLICE in df.columns else df.withColumn(SLICE, F.floor(F.col(order) / F.lit(float(width))).cast("long"))
 
 
-def _carry(df: DataFrame, by: Sequence[str], summary: Column, carried: Column, name: str) -> DataFrame:
-    return (
-        df.groupBy(*by, "_slice").agg(summary.alias("_summary"))
-        .withColumn(name, carried)
-        .select(*by, "_slice", name)
-    )
+def _finish(out: DataFrame, given: DataFrame, *temporary: str) -> DataFrame:
+    return out.drop(*temporary) if SLICE in given.columns else out.drop(*temporary, SLICE)
 
 
 def with_previous(df: DataFrame, by: Sequence[str], order: str, value: Column, name: str, width: float, forward: bool = False) -> DataFrame:
     """Value of the neighbouring row of the same series (previous, or next if ``forward``)."""
     by = list(by)
     rows = sliced(df, order, width).withColumn("_v", F.struct(F.col(order).alias("o"), value.alias("v")))
-    direction = F.col(order).desc() if forward else F.col(order).asc()
-    inside = Window.partitionBy(*by, "_slice").orderBy(direction)
-    across = Window.partitionBy(*by).orderBy(F.col("_slice").desc() if forward else F.col("_slice").asc())
-    edge = (F.min if forward else F.max)("_v")
-    carry = _carry(rows, by, edge, F.lag("_summary").over(across), "_edge")
-    return (
+    inside = Window.partitionBy(*by, SLICE).orderBy(F.col(order).desc() if forward else F.col(order).asc())
+    across = Window.partitionBy(*by).orderBy(F.col(SLICE).desc() if forward else F.col(SLICE).asc())
+    carry = (
+        rows.groupBy(*by, SLICE).agg((F.min if forward else F.max)("_v").alias("_summary"))
+        .select(*by, SLICE, F.lag("_summary").over(across).alias("_edge"))
+    )
+    out = (
         rows.withColumn("_prev", F.lag("_v").over(inside))
         .withColumn("_first", F.row_number().over(inside) == 1)
-        .join(carry, [*by, "_slice"])
+        .join(carry, [*by, SLICE])
         .withColumn(name, F.when(F.col("_first"), F.col("_edge.v")).otherwise(F.col("_prev.v")))
-        .drop("_v", "_prev", "_first", "_edge", "_slice")
     )
+    return _finish(out, df, "_v", "_prev", "_first", "_edge")
 
 
 def with_running_sum(df: DataFrame, by: Sequence[str], order: str, value: Column, name: str, width: float) -> DataFrame:
     """Inclusive running sum along the series."""
     by = list(by)
     rows = sliced(df, order, width).withColumn("_v", value)
-    inside = Window.partitionBy(*by, "_slice").orderBy(order)
-    across = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    carry = _carry(rows, by, F.sum("_v"), F.coalesce(F.sum("_summary").over(across), F.lit(0)), "_base")
-    return (
+    inside = Window.partitionBy(*by, SLICE).orderBy(order)
+    across = Window.partitionBy(*by).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    carry = (
+        rows.groupBy(*by, SLICE).agg(F.sum("_v").alias("_summary"))
+        .select(*by, SLICE, F.coalesce(F.sum("_summary").over(across), F.lit(0)).alias("_base"))
+    )
+    out = (
         rows.withColumn("_cum", F.sum("_v").over(inside))
-        .join(carry, [*by, "_slice"])
+        .join(carry, [*by, SLICE])
         .withColumn(name, F.col("_base") + F.col("_cum"))
-        .drop("_v", "_cum", "_base", "_slice")
     )
+    return _finish(out, df, "_v", "_cum", "_base")
 
 
-def with_last_seen(df: DataFrame, by: Sequence[str], order: str, value: Column, name: str, width: float, forward: bool = False) -> DataFrame:
-    """Nearest non-null ``value`` at or before each row (at or after, if ``forward``).
+def with_seen(df: DataFrame, by: Sequence[str], order: str, value: Column, back: str | None, ahead: str | None, width: float) -> DataFrame:
+    """Nearest non-null ``value`` at or before (``back``) and at or after (``ahead``) each row.
 
-    Rows at the same position see each other; of several values there, the largest (forward: the
+    Rows at the same position see each other; of several values there, the largest (ahead: the
     smallest) is taken, so the result does not depend on row order.
     """
     by = list(by)
     rows = sliced(df, order, width).withColumn("_v", F.when(value.isNotNull(), F.struct(F.col(order).alias("o"), value.alias("v"))))
-    sort = (lambda c: F.col(c).desc()) if forward else (lambda c: F.col(c).asc())
-    inside = Window.partitionBy(*by, "_slice").orderBy(sort(order)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    across = Window.partitionBy(*by).orderBy(sort("_slice")).rowsBetween(Window.unboundedPreceding, -1)
-    nearest = F.min if forward else F.max
-    carry = _carry(rows, by, nearest("_v"), nearest("_summary").over(across), "_edge")
-    return (
-        rows.withColumn("_seen", nearest("_v").over(inside))
-        .join(carry, [*by, "_slice"])
-        .withColumn(name, F.coalesce(F.col("_seen"), F.col("_edge"))["v"])
-        .drop("_v", "_seen", "_edge", "_slice")
-    )
+    upto, others = (Window.unboundedPreceding, Window.currentRow), (Window.unboundedPreceding, -1)
+    summary = rows.groupBy(*by, SLICE).agg(F.max("_v").alias("_last"), F.min("_v").alias("_head"))
+    edges, found = [], {}
+    out = rows
+    for name, pick, column, down in ((back, F.max, "_last", False), (ahead, F.min, "_head", True)):
+        if name is None:
+            continue
+        sort = (lambda c: F.col(c).desc()) if down else (lambda c: F.col(c).asc())
+        edges.append(pick(column).over(Window.partitionBy(*by).orderBy(sort(SLICE)).rowsBetween(*others)).alias(f"_edge{column}"))
+        out = out.withColumn(f"_seen{column}", pick("_v").over(Window.partitionBy(*by, SLICE).orderBy(sort(order)).rangeBetween(*upto)))
+        found[name] = F.coalesce(F.col(f"_seen{column}"), F.col(f"_edge{column}"))["v"]
+    out = out.join(summary.select(*by, SLICE, *edges), [*by, SLICE]).withColumns(found)
+    return _finish(out, df, "_v", "_seen_last", "_seen_head", "_edge_last", "_edge_head")
+
+
+def with_last_seen(df: DataFrame, by: Sequence[str], order: str, value: Column, name: str, width: float, forward: bool = False) -> DataFrame:
+    """One direction of :func:`with_seen`."""
+    return with_seen(df, by, order, value, None if forward else name, name if forward else None, width)
 
 
 def islands(df: DataFrame, by: Sequence[str], order: str, flag: Column, width: float, name: str = "island") -> DataFrame:
     """Numbers the contiguous runs of true flags; rows outside runs are dropped."""
-    marked = with_previous(df.withColumn("_flag", F.coalesce(flag, F.lit(False))), by, order, F.col("_flag"), "_was", width)
+    rows = sliced(df, order, width).withColumn("_flag", F.coalesce(flag, F.lit(False)))
+    marked = with_previous(rows, by, order, F.col("_flag"), "_was", width)
     start = (F.col("_flag") & ~F.coalesce(F.col("_was"), F.lit(False))).cast("long")
     numbered = with_running_sum(marked, by, order, start, name, width)
-    return numbered.where("_flag").drop("_flag", "_was")
+    return _finish(numbered.where("_flag"), df, "_flag", "_was")
