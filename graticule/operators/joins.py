@@ -56,6 +56,7 @@ def best_shift(mine: DataFrame, pilot: DataFrame, by: Sequence[str], order: str,
     left = mine.select("*", grid).withColumn(order, F.col(order) - F.col("shift"))
     right = pilot.select(*by, order, flag, grid)
     m = asof_nearest(left, right, keys, order, flag, tolerance, width, ties="after").where("match_value IS NOT NULL")
+    m = m.select(*keys, flag, depth, "match_value")
     agree = m.groupBy(*keys).agg(F.avg((F.col(flag) == F.col("match_value")).cast("double")).alias("agreement"), F.count(F.lit(1)).alias("n_matched"))
     best = agree.groupBy(*by).agg(F.max_by(F.struct("shift", "agreement", "n_matched"), F.struct("agreement", (-F.col("shift")).alias("o"))).alias("b")).select(*by, "b.*")
     hit = m.join(best, keys)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from graticule.functions import arrays as A
 from graticule.plans import order_stats as O
 from graticule.plans import series as S
-from graticule.plans.lineage import cut
+from graticule.plans.lineage import cut, shared
 
 
 def threshold_runs(df: DataFrame, by: Sequence[str], order: str, flag: Column, width: float) -> DataFrame:
@@ -36,6 +36,7 @@ def plateau_run(df: DataFrame, by: Sequence[str], order: str, online: Column, de
     rows = df.select(*by, order, depth, online.alias("_on"))
     on = rows.where("_on")
     ref = O.quantiles(on, by, depth, {"_ref": ref_quantile}).join(on.groupBy(*by).agg((F.max(order) - F.min(order)).alias("_span")), list(by))
+    ref = shared(ref)  # one row per series, read by every branch below
     marked = rows.join(ref, list(by)).withColumn("_ok", F.col("_on") & (F.col(depth) >= depth_frac * F.col("_ref")))
     best = longest_run(merge_runs(threshold_runs(marked, by, order, F.col("_ok"), width), by, gap, width), by, 0.0)
     inside = marked.join(best, list(by)).groupBy(*by).agg(
