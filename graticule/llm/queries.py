@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from graticule.llm import mixture
+from graticule.llm import chat, mixture, site_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,3 +42,38 @@ SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
 def op9_mixture(spark: SparkSession, folder: str) -> DataFrame:
     plan = mixture.mixture_plan(table(spark, folder, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+ESCAPED = "coalesce({0}, '')"
+for _old, _new in [("\\", "\\\\"), *((c, c[0] + "\\" + c[1:]) for c in chat.CONTROL)]:
+    ESCAPED = f"replace({ESCAPED}, '{_old}', '{_new}')"
+
+
+@query("op1_chat_format", f"""
+WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum({len(chat.TURN) + len(chat.END) + 1} + length(replace({ESCAPED.format('role')}, chr(10), '\\' || chr(10))) + length({ESCAPED.format('text')})) AS BIGINT) AS formatted_chars,
+    CAST(0 AS BIGINT) AS n_attachments, CAST(0 AS BIGINT) AS expanded_tokens
+FROM turns GROUP BY conv_id""")
+def op1_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-1, k, r, "</s>[INST] ok [/INST]") for k, r in enumerate(["user", "assistant"])], turns.schema)
+    turns = turns.unionByName(extra).select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("parts"))
+    return chat.digests(chat.formatted(turns))
+
+
+@query("op8_site_lines", r"""
+WITH pages AS (SELECT doc_id, source, text, row_number() OVER () AS page FROM documents),
+lines AS (SELECT page, doc_id, source, p.line, p.k, trim(p.line, chr(32) || chr(9) || chr(13)) AS bare FROM pages, (SELECT unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k) p),
+shares AS (SELECT source, bare, count(DISTINCT page) AS n FROM lines WHERE bare <> '' GROUP BY source, bare),
+totals AS (SELECT source, count(*) AS total FROM pages WHERE text IS NOT NULL GROUP BY source),
+bad AS (SELECT s.source, s.bare FROM shares s JOIN totals t ON s.source IS NOT DISTINCT FROM t.source WHERE n >= 5 AND n > 0.1::DOUBLE * total),
+marked AS (SELECT l.*, b.bare IS NOT NULL AS hit FROM lines l LEFT JOIN bad b ON l.source IS NOT DISTINCT FROM b.source AND l.bare = b.bare),
+done AS (SELECT page, string_agg(line, chr(10) ORDER BY k) FILTER (NOT hit) AS kept, count(*) FILTER (bare <> '') AS n_lines, count(*) FILTER (hit) AS n_hit, count(*) FILTER (bare <> '' AND NOT hit) AS n_kept FROM marked GROUP BY page)
+SELECT p.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(CASE WHEN n_kept > 0 THEN n_hit ELSE 0 END AS BIGINT) AS n_dropped, CASE WHEN n_kept > 0 THEN kept ELSE p.text END AS text
+FROM pages p LEFT JOIN done d ON p.page = d.page""")
+def op8_site_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return site_lines.without_boilerplate(table(spark, folder, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
