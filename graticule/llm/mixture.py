@@ -71,11 +71,11 @@ def mixed(docs: DataFrame, seed: int = 17) -> DataFrame:
     """The mix itself: every document of ``docs``, all its columns, as many times as it is taken."""
     plan = mixture_plan(docs, seed).where("copies > 0").groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("_copies")) \
         .select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "_copies")
-    rows = docs.withColumn("_size", word_count(F.col("text")))
-    on = same(F.col("doc_id"), F.col("_d")) & same(F.col("source"), F.col("_s")) & (F.col("_size") == F.col("_z"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("d"), F.col("source").alias("s"), word_count(F.col("text")).alias("z"))
     # rows of one doc_id share what the plan takes of them
-    of_key = Window.partitionBy("doc_id", "source", "_size")
-    k, n = F.row_number().over(of_key.orderBy(F.lit(0))), F.count(F.lit(1)).over(of_key)
-    share = rows.withColumn("_k", k).withColumn("_n", n).join(plan, on)
-    share = share.withColumn("_times", F.floor(F.col("_copies") * F.col("_k") / F.col("_n")) - F.floor(F.col("_copies") * (F.col("_k") - 1) / F.col("_n")))
-    return share.where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times").cast("long")))).select(*docs.columns)
+    of_key = Window.partitionBy("d", "s", "z")
+    rows = rows.withColumn("k", F.row_number().over(of_key.orderBy(F.lit(0)))).withColumn("n", F.count(F.lit(1)).over(of_key))
+    rows = rows.join(plan, same(F.col("d"), F.col("_d")) & same(F.col("s"), F.col("_s")) & (F.col("z") == F.col("_z")))
+    until = lambda k: F.floor(F.col("_copies") * k / F.col("n"))
+    times = (until(F.col("k")) - until(F.col("k") - 1)).cast("int")
+    return rows.select("row", F.explode(F.array_repeat(F.lit(0), times))).select("row.*")

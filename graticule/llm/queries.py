@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from graticule.llm import chat, mixture, site_lines
+from graticule.llm import chat, language, mixture, site_lines, url_trees
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,3 +77,19 @@ SELECT p.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(CASE WHEN
 FROM pages p LEFT JOIN done d ON p.page = d.page""")
 def op8_site_lines(spark: SparkSession, folder: str) -> DataFrame:
     return site_lines.without_boilerplate(table(spark, folder, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
+RULES = [url_trees.Rule("block", "net", "/"), url_trees.Rule("allow", "example.net", "/en/"), url_trees.Rule("block", "example.com", "/de/"), url_trees.Rule("allow", "org", "/fr/")]
+
+
+@query("op6_url_trees")
+def op6_url_trees(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    return url_trees.judged(pages, RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op4_language_id")
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    told = language.identified(docs.select("doc_id", "text"), language.learned(docs))
+    return told.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")

@@ -7,7 +7,8 @@ Defined cases: blank lines are neither counted nor dropped; a line that repeats
 it and is dropped at every place; lines on fewer than ``min_pages`` pages stay, whatever their share; a page
 that would lose all its lines is a copy rather than content between boilerplate and keeps them (near
 duplicates are another operator's task); null text stays null; a null site is a site of its own; rows that
-repeat a page key are pages of their own for the counts.
+repeat a page key are pages of their own for the counts; input columns n_lines and n_dropped are replaced, all
+others pass through.
 """
 from __future__ import annotations
 
@@ -24,6 +25,10 @@ def lines_of(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+def full(line: Column) -> Column:
+    return F.trim(line, F.lit(" \t\r")) != ""
+
+
 def line_key(line: Column) -> Column:
     """Identity of a line: 64 + 32 bits of two hash families, null if blank."""
     return let(F.trim(line, F.lit(" \t\r")), lambda x: F.when(x != "", F.struct(F.xxhash64(x).alias("h"), F.hash(x).alias("g"))))
@@ -51,13 +56,15 @@ def without_boilerplate(pages: DataFrame, key: str = "doc_id", site: str = "sour
     salts = 64
     bad = boilerplate(pages, site, text, ratio, min_pages).groupBy("_site").agg(F.collect_list("_line").alias("_bad"))
     bad = bad.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    rows = pages.withColumn("_spread", F.pmod(F.xxhash64(F.col(key), F.length(text)), F.lit(salts)).cast("int"))
-    joined = rows.join(bad, same(F.col(site), F.col("_site")) & (F.col("_spread") == F.col("_salt")), "left")
-    hit = lambda x, b: F.coalesce(F.array_contains(b, line_key(x)), F.lit(False))
-    marked = let(F.struct(F.col(text).alias("t"), F.col("_bad").alias("b")), lambda s: F.transform(lines_of(s["t"]), lambda x: F.struct(x.alias("x"), hit(x, s["b"]).alias("hit"), (F.trim(x, F.lit(" \t\r")) != "").alias("full"))))
-    some = F.col("_bad").isNotNull() & F.col(text).isNotNull()
-    out = joined.withColumn("_lines", F.when(some, marked)).withColumn("_cut", F.coalesce(F.exists("_lines", lambda x: x["full"] & ~x["hit"]), F.lit(False)))
-    kept = F.array_join(F.transform(F.filter("_lines", lambda x: ~x["hit"]), lambda x: x["x"]), "\n")
-    n_full = F.when(some, F.size(F.filter("_lines", lambda x: x["full"]))).otherwise(F.size(F.filter(lines_of(F.coalesce(text, F.lit(""))), lambda x: F.trim(x, F.lit(" \t\r")) != "")))
-    return out.select(*[F.when(F.col("_cut"), kept).otherwise(F.col(c)).alias(c) if c == text else F.col(c) for c in pages.columns],
-                      n_full.cast("long").alias("n_lines"), F.when(F.col("_cut"), F.size(F.filter("_lines", lambda x: x["hit"]))).otherwise(0).cast("long").alias("n_dropped"))
+    x = F.col("text")
+    rows = pages.select(F.struct(*[c for c in pages.columns if c not in ("n_lines", "n_dropped")]).alias("row"), F.col(site).alias("site"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(key), F.length(text)), F.lit(salts)).cast("int").alias("spread"))
+    joined = rows.join(bad, same(F.col("site"), F.col("_site")) & (F.col("spread") == F.col("_salt")), "left")
+    some = F.col("_bad").isNotNull() & x.isNotNull()
+    hit = lambda line, b: F.coalesce(F.array_contains(b, line_key(line)), F.lit(False))
+    marked = let(F.struct(x.alias("t"), F.col("_bad").alias("b")), lambda s: F.transform(lines_of(s["t"]), lambda line: F.struct(line.alias("x"), hit(line, s["b"]).alias("hit"), full(line).alias("full"))))
+    out = joined.withColumn("lines", F.when(some, marked)).withColumn("cut", F.coalesce(F.exists("lines", lambda v: v["full"] & ~v["hit"]), F.lit(False)))
+    kept = F.array_join(F.transform(F.filter("lines", lambda v: ~v["hit"]), lambda v: v["x"]), "\n")
+    n_lines = F.when(some, F.size(F.filter("lines", lambda v: v["full"]))).otherwise(F.size(F.filter(lines_of(F.coalesce(x, F.lit(""))), full)))
+    n_dropped = F.when(F.col("cut"), F.size(F.filter("lines", lambda v: v["hit"]))).otherwise(0)
+    out = out.select("row", F.when(F.col("cut"), kept).otherwise(x).alias("kept"), n_lines.cast("long").alias("n_lines"), n_dropped.cast("long").alias("n_dropped"))
+    return out.withColumn("row", F.col("row").withField(text, F.col("kept"))).select("row.*", "n_lines", "n_dropped")
