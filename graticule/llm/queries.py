@@ -3,9 +3,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from graticule.llm import chat, count_tree, language, mixture, site_lines, url_trees
+from graticule.llm import chat, count_tree, language, mixture, retrieval_packing, site_lines, url_trees
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -104,3 +105,8 @@ reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l
 SELECT s.doc_id, CAST(len(s.grams) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(m.least_id, s.doc_id)) AS component_id FROM s LEFT JOIN (SELECT x, min(y) AS least_id FROM reach GROUP BY x) m ON s.doc_id = m.x""")
 def op10_count_tree(spark: SparkSession, folder: str) -> DataFrame:
     return count_tree.components(table(spark, folder, "documents"))
+
+
+@query("op2_retrieval_packing")
+def op2_retrieval_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return retrieval_packing.packed(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
