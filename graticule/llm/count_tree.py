@@ -21,8 +21,9 @@ No linked pair is missed: equal blocks of a pair number more than ``spare``, so
 documents would have more than ``spare`` empty blocks and post them.
 
 Groups of copies: equal sets are one node from the first scan on.  Near copies meet their leaf's smallest node
-first; afterwards only pairs of one leaf whose components still differ are compared, so a group is linked
-along stars instead of all its pairs.
+first, so a group is linked along stars instead of all its pairs.  Afterwards only leaves that still hold several
+components are searched: boxes around the components first, then the points of boxes that can reach the
+overlap.  A leaf of many documents is searched in tiles.
 
 Defined cases: null text, text without words: n_shingles 0, linked with nothing; fewer words than a shingle
 has: the whole sequence is the one shingle; equal sets always link; rows that repeat a doc_id are documents
@@ -31,6 +32,7 @@ an empty table gives no rows.  Nodes are 64-bit digests of sets.
 """
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -45,7 +47,8 @@ from graticule.plans.lineage import cut
 
 GROUPS = 64  # coordinates of the coarse vector
 STEP = 1.35  # ratio of a size interval
-SPARE = 0.03
+POSTED = 1e-4  # wanted share of documents that post their empty leaves
+TILE = 1024  # documents of a leaf compared in one task
 
 
 class Similarity:
@@ -69,12 +72,23 @@ class Similarity:
         while low <= upto:
             high = max(low, int(low * STEP))
             t = self.differing(high, self.largest(high))
-            spare = 1 + math.ceil(SPARE * t)
+            spare = min(range(t + 4), key=lambda x: (max(POSTED, _more_empty(low, t + 1 + x, x)), x))
             out.append((low, self.largest(high), t + 1 + spare, spare))
             low = high + 1
         return out
 
 
+@functools.lru_cache(maxsize=1 << 16)
+def _more_empty(shingles: int, blocks: int, spare: int) -> float:
+    """Chance of more than ``spare`` empty blocks, taking their number for Poisson."""
+    mean = blocks * math.exp(-shingles / blocks)
+    term = total = math.exp(-mean)
+    for x in range(1, spare + 1):
+        term *= mean / x
+        total += term
+    return max(0.0, 1 - total)
+
+
 def leaves(grams: np.ndarray, intervals: list[tuple[int, int, int, int]]) -> np.ndarray:
     """Names of the leaves that hold this set."""
     n, out = len(grams), []
@@ -94,7 +108,14 @@ def leaves(grams: np.ndarray, intervals: list[tuple[int, int, int, int]]) -> np.
 
 
 def coarse(grams: np.ndarray) -> np.ndarray:
-    return np.bincount((mixed(grams) % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)
+    """The point of a set: GROUPS counts, and four or sixteen times as many for long texts."""
+    groups = GROUPS if len(grams) < 512 else 4 * GROUPS if len(grams) < 4096 else 16 * GROUPS
+    return np.bincount((mixed(grams) % np.uint64(groups)).astype(np.int64), minlength=groups).astype(np.int32)
+
+
+def folded(point: np.ndarray, groups: int) -> np.ndarray:
+    """The same counts over fewer groups: remainders of a power of two nest."""
+    return point.reshape(-1, groups).sum(axis=0)
 
 
 def _strings(batch: pa.RecordBatch, name: str) -> list[str | None]:
@@ -170,7 +191,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
         for b in batches:
             sets = [shingles(t, k) for t in _strings(b, "text")]
             grams = pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.int64()), grams, pa.array([coarse(s).astype(np.int32) for s in sets], pa.list_(pa.int32()))], names=["node", "grams", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.int64()), grams, pa.array([coarse(s) for s in sets], pa.list_(pa.int32()))], names=["node", "grams", "counts"])
 
     texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
     return texts.mapInArrow(scan, "node long, grams array<long>, counts array<int>").dropDuplicates(["node"])
@@ -179,9 +200,12 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 def verified(pairs: DataFrame, sets: DataFrame, similarity: Similarity) -> DataFrame:
     """The pairs (a, b) that link: first the bound by summed minima, then the shingles."""
     num, den = similarity.num, similarity.den
-    points = sets.select("node", "counts", F.size("grams").alias("n"))
     side = lambda df, x: df.select(*[F.col(c).alias(f"{x}_{c}" if c != "node" else x) for c in df.columns])
-    minima = F.aggregate(F.zip_with("a_counts", "b_counts", lambda x, y: F.least(x, y)), F.lit(0), lambda s, v: s + v)
+    points = sets.select("node", "counts", F.size("grams").alias("n"))
+    # over GROUPS coordinates for either length: every GROUPS-th count is folded onto the same group
+    fold = lambda c: F.transform(F.sequence(F.lit(0), F.lit(GROUPS - 1)), lambda g: F.aggregate(F.sequence(F.lit(0), F.size(c) - GROUPS, F.lit(GROUPS)), F.lit(0), lambda t, j: t + F.get(c, j + g)))
+    points = points.withColumn("counts", F.when(F.size("counts") == GROUPS, F.col("counts")).otherwise(fold(F.col("counts"))))
+    minima = F.aggregate(F.zip_with("a_counts", "b_counts", lambda x, y: F.least(x, y)), F.lit(0), lambda t, v: t + v)
     near = pairs.join(side(points, "a"), "a").join(side(points, "b"), "b").where((num + den) * minima >= num * (F.col("a_n") + F.col("b_n"))).select("a", "b")
     grams = sets.select("node", "grams")
     both = near.join(side(grams, "a"), "a").join(side(grams, "b"), "b")
@@ -189,6 +213,61 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: Similarity) -> DataF
     return both.select("a", "b", shared.alias("s"), (F.size("a_grams") + F.size("b_grams")).alias("u")).where(den * F.col("s") >= num * (F.col("u") - F.col("s"))).select("a", "b")
 
 
+def _boxes(order: np.ndarray, group: np.ndarray) -> list[np.ndarray]:
+    return np.split(order, np.flatnonzero(np.diff(group[order])) + 1)
+
+
+def search(node: np.ndarray, component: np.ndarray, size: np.ndarray, points: np.ndarray, similarity: Similarity) -> list[tuple[int, int]]:
+    """Pairs of different components that the summed minima of their points let link: boxes, then points."""
+    num, den = similarity.num, similarity.den
+    boxes = _boxes(np.argsort(component, kind="stable"), component)
+    top = np.array([points[b].max(axis=0) for b in boxes])
+    least = np.array([size[b].min() for b in boxes])
+    out = []
+    for x in range(len(boxes) - 1):
+        reach = (num + den) * np.minimum(top[x], top[x + 1:]).sum(axis=1) >= num * (least[x] + least[x + 1:])
+        for y in np.flatnonzero(reach) + x + 1:
+            b = boxes[y]
+            for i in boxes[x]:
+                near = (num + den) * np.minimum(points[i], points[b]).sum(axis=1) >= num * (size[i] + size[b])
+                out += [(min(node[i], j), max(node[i], j)) for j in node[b[near]]]
+    return out
+
+
+def candidates(at: DataFrame, sets: DataFrame, similarity: Similarity) -> DataFrame:
+    """Distinct pairs (a, b) of nodes that share a leaf, lie in different components and may link."""
+    tiles = at.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
+    rows = at.join(tiles, "leaf").withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = rows.select("leaf", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "node", "c")
+    rows = rows.join(sets.select("node", F.size("grams").alias("n"), "counts"), "node")
+
+    def found(key: list, members: list) -> list[tuple[int, int]]:
+        groups = min(len(m[3]) for m in members)
+        return search(np.array([m[0] for m in members]), np.array([m[1] for m in members]), np.array([m[2] for m in members]), np.array([folded(np.asarray(m[3]), groups) for m in members]), similarity)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for b in batches:
+            pairs = []
+            columns = [b.column(k).to_numpy() for k in range(6)]
+            points = b.column(6)
+            for i in range(b.num_rows):
+                now = (columns[0][i], columns[1][i], columns[2][i])
+                if now != key:
+                    if held:
+                        pairs += found(key, held)
+                    key, held = now, []
+                held.append((columns[3][i], columns[4][i], columns[5][i], points[i].values.to_numpy()))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        if held:
+            pairs = found(key, held)
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    laid = rows.select("leaf", "p", "q", "node", "c", "n", "counts").repartition("leaf", "p", "q").sortWithinPartitions("leaf", "p", "q")
+    return laid.mapInArrow(scan, "a long, b long").distinct()
+
+
 def components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id: classes of documents reachable by links of similarity num/den."""
     similarity = Similarity(num, den)
@@ -205,8 +284,7 @@ def components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> Da
     at = posted.join(label, "node", "left").select("leaf", "node", F.coalesce("component", "node").alias("c"))
     open_leaves = at.groupBy("leaf").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("leaf")
     at = cut(at.join(open_leaves, "leaf", "left_semi"))
-    rest = at.select("leaf", F.col("node").alias("a"), F.col("c").alias("ca")).join(at.select("leaf", F.col("node").alias("b"), F.col("c").alias("cb")), "leaf") \
-        .where("a < b AND ca <> cb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
+    rest = candidates(at, sets, similarity).join(stars, ["a", "b"], "left_anti")
     more = verified(rest, sets, similarity)
     whole = connected_components(links.unionByName(cut(more)))
 
