@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from graticule.llm import chat, count_tree, language, mixture, retrieval_packing, site_lines, url_trees
+from graticule.llm import chat, consensus_html, count_tree, language, mixture, permutation_index, retrieval_packing, site_lines, url_trees
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -110,3 +110,14 @@ def op10_count_tree(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_retrieval_packing")
 def op2_retrieval_packing(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval_packing.packed(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op5_consensus_html")
+def op5_consensus_html(spark: SparkSession, folder: str) -> DataFrame:
+    out = consensus_html.extracted(table(spark, folder, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "path")
+
+
+@query("op7_permutation_index")
+def op7_permutation_index(spark: SparkSession, folder: str) -> DataFrame:
+    return permutation_index.search(table(spark, folder, "embeddings"), F.col("id") % 100 == 0)
