@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from graticule.llm import chat, consensus_html, count_tree, language, mixture, permutation_index, retrieval_packing, site_lines, url_trees
+from graticule.llm import chat, consensus_html, count_tree, language, mixture, order_minhash, permutation_index, retrieval_packing, site_lines, url_trees
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -121,3 +121,8 @@ def op5_consensus_html(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_permutation_index")
 def op7_permutation_index(spark: SparkSession, folder: str) -> DataFrame:
     return permutation_index.search(table(spark, folder, "embeddings"), F.col("id") % 100 == 0)
+
+
+@query("op3_order_minhash")
+def op3_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return order_minhash.edit_report(table(spark, folder, "documents"))
