@@ -97,10 +97,10 @@ def leaves(grams: np.ndarray, intervals: list[tuple[int, int, int, int]]) -> np.
             continue
         h = mixed(grams + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
         block = ((h >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
-        point = mixed(h)  # the fine group of each shingle; a block's point is named by the sums over it
         held = np.bincount(block, minlength=blocks)
-        lo = np.bincount(block, (point & np.uint64(0xFFFFFFFF)).astype(np.float64), blocks).astype(np.uint64)
-        hi = np.bincount(block, (point >> np.uint64(32)).astype(np.float64), blocks).astype(np.uint64)
+        # h is a shingle's fine group; a block's point is named by the sums over its groups
+        lo = np.bincount(block, (h & np.uint64(0xFFFFFFFF)).astype(np.float64), blocks).astype(np.uint64)
+        hi = np.bincount(block, (h >> np.uint64(32)).astype(np.float64), blocks).astype(np.uint64)
         name = mixed(mixed(lo + np.uint64(k)) + mixed(hi ^ np.uint64(0xD6E8FEB86659FD93)) * np.uint64(3) + np.arange(blocks, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
         full = held > 0
         out.append(name if blocks - int(full.sum()) > spare else name[full])
@@ -234,6 +234,18 @@ def search(node: np.ndarray, component: np.ndarray, size: np.ndarray, points: np
     return out
 
 
+def _in_groups(b: pa.RecordBatch, ends: np.ndarray, found) -> list[tuple[int, int]]:
+    """``found`` on each stretch of rows that ends at one of ``ends``."""
+    node, c, n = (b.column(k).to_numpy() for k in range(3, 6))
+    offsets, values = b.column(6).offsets.to_numpy(), b.column(6).values.to_numpy()
+    out, start = [], 0
+    for end in ends:
+        if end - start > 1:
+            out += found(node[start:end], c[start:end], n[start:end], offsets[start: end + 1], values)
+        start = end
+    return out
+
+
 def candidates(at: DataFrame, sets: DataFrame, similarity: Similarity) -> DataFrame:
     """Distinct pairs (a, b) of nodes that share a leaf, lie in different components and may link."""
     tiles = at.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
@@ -242,27 +254,25 @@ def candidates(at: DataFrame, sets: DataFrame, similarity: Similarity) -> DataFr
     rows = rows.select("leaf", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "node", "c")
     rows = rows.join(sets.select("node", F.size("grams").alias("n"), "counts"), "node")
 
-    def found(key: list, members: list) -> list[tuple[int, int]]:
-        groups = min(len(m[3]) for m in members)
-        return search(np.array([m[0] for m in members]), np.array([m[1] for m in members]), np.array([m[2] for m in members]), np.array([folded(np.asarray(m[3]), groups) for m in members]), similarity)
+    def found(node: np.ndarray, c: np.ndarray, n: np.ndarray, offsets: np.ndarray, values: np.ndarray) -> list[tuple[int, int]]:
+        groups = int(np.diff(offsets).min())
+        points = np.array([folded(values[x:y], groups) for x, y in zip(offsets[:-1], offsets[1:])])
+        return search(node, c, n, points, similarity)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+        held = None  # rows of the last key of earlier batches
         for b in batches:
-            pairs = []
-            columns = [b.column(k).to_numpy() for k in range(6)]
-            points = b.column(6)
-            for i in range(b.num_rows):
-                now = (columns[0][i], columns[1][i], columns[2][i])
-                if now != key:
-                    if held:
-                        pairs += found(key, held)
-                    key, held = now, []
-                held.append((columns[3][i], columns[4][i], columns[5][i], points[i].values.to_numpy()))
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
-        if held:
-            pairs = found(key, held)
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            b = pa.concat_batches([held, b]) if held is not None else b
+            if not b.num_rows:
+                continue
+            leaf, p, q = (b.column(k).to_numpy() for k in range(3))
+            ends = np.flatnonzero((leaf[1:] != leaf[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1
+            pairs = _in_groups(b, ends, found)
+            held = b.slice(ends[-1]) if len(ends) else b
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        if held is not None:
+            pairs = _in_groups(held, np.array([held.num_rows]), found)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     laid = rows.select("leaf", "p", "q", "node", "c", "n", "counts").repartition("leaf", "p", "q").sortWithinPartitions("leaf", "p", "q")
     return laid.mapInArrow(scan, "a long, b long").distinct()
@@ -271,7 +281,7 @@ def candidates(at: DataFrame, sets: DataFrame, similarity: Similarity) -> DataFr
 def components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id: classes of documents reachable by links of similarity num/den."""
     similarity = Similarity(num, den)
-    found = members(docs, k)
+    found = cut(members(docs, k))
     shared = cut(shared_leaves(postings(docs, k, similarity)))
     posted = shared.select("leaf", "node").unionByName(shared.select("leaf", F.col("first").alias("node")).distinct())
     wanted = posted.select("node").distinct()
@@ -282,7 +292,9 @@ def components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> Da
     links = cut(verified(stars, sets, similarity))
     label = connected_components(links)
     at = posted.join(label, "node", "left").select("leaf", "node", F.coalesce("component", "node").alias("c"))
-    open_leaves = at.groupBy("leaf").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("leaf")
+    # two nodes of a leaf have met in the star already; leaves that hold the same nodes are searched once
+    content = [F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("s"), F.min("c").alias("x"), F.max("c").alias("y")]
+    open_leaves = at.groupBy("leaf").agg(*content).where("x <> y AND m > 2").groupBy("m", "s").agg(F.min("leaf").alias("leaf")).select("leaf")
     at = cut(at.join(open_leaves, "leaf", "left_semi"))
     rest = candidates(at, sets, similarity).join(stars, ["a", "b"], "left_anti")
     more = verified(rest, sets, similarity)

@@ -40,8 +40,9 @@ def shingles(text: str | None, k: int) -> np.ndarray:
     n = min(k, len(h))
     out = np.full(len(h) - n + 1, n, np.uint64)
     for j in range(n):
-        out = out + mixed(h[j: len(h) - n + 1 + j] * _FACTORS[j % 8] + np.uint64(j))
-    return np.unique(mixed(out))
+        out = out + h[j: len(h) - n + 1 + j] * _FACTORS[j % 8]
+    out = np.sort(mixed(out))
+    return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
 def digest(grams: np.ndarray) -> int:
