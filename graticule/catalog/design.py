@@ -25,7 +25,7 @@ def latin_hypercube(t):
 
 POOL = f"""WITH lh AS (SELECT p_partkey, {lhs_sql('a')}, {lhs_sql('b')} FROM part), m AS (SELECT min(p_size) AS lo, max(p_size) AS hi FROM part), q AS (SELECT max(l_quantity) AS h FROM lineitem),
 pool AS (SELECT p_partkey, CAST(floor(lo + a * (hi - lo)) AS BIGINT) AS level, CAST(floor(b * h) AS BIGINT) AS qty FROM lh, m, q), u AS (SELECT min(p_partkey) AS p_partkey, level, qty FROM pool GROUP BY level, qty)
-SELECT p_partkey, level, qty FROM u WHERE (level, qty) NOT IN (SELECT DISTINCT p_size, CAST(l_quantity AS BIGINT) FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber = 1)"""
+SELECT p_partkey, level, qty FROM u WHERE (level, qty) NOT IN (SELECT DISTINCT p_size, CAST(l_quantity AS BIGINT) FROM lineitem JOIN part ON p_partkey = l_partkey)"""
 
 
 @query("D2_candidate_pool", "p_partkey:l level:l qty:l", POOL)
@@ -35,7 +35,7 @@ def candidate_pool(t):
     h = t.lineitem.agg(F.max("l_quantity").alias("h")).scalar()
     pool = latin_hypercube(t).select("p_partkey", F.floor(r["lo"] + F.col("a") * (r["hi"] - r["lo"])).alias("level"), F.floor(F.col("b") * h).alias("qty"))
     unique = pool.groupBy("level", "qty").agg(F.min("p_partkey").alias("p_partkey"))
-    seen = t.lineitem.where("l_linenumber = 1").join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_size").cast("long").alias("level"), F.col("l_quantity").cast("long").alias("qty"))
+    seen = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_size").cast("long").alias("level"), F.col("l_quantity").cast("long").alias("qty"))
     return unique.join(seen, ["level", "qty"], "left_anti")
 
 

@@ -64,8 +64,10 @@ def seal(t):
 
 @query("S7_verify_seal", "name:s state:s")
 def verify_seal(t):
+    """The data folder against its own seal in which one digest is changed and one file is missing."""
     s = S.seal(t.spark, t.folder, "*.parquet")
-    return S.verify_seal(s, s)
+    told = F.when(F.col("name").startswith("orders"), F.reverse("sha256")).otherwise(F.col("sha256"))
+    return S.verify_seal(s.withColumn("sha256", told).where(~F.col("name").startswith("nation")), s)
 
 
 @query("S8_verify_seal_tolerant", "state:s n_files:l")
@@ -116,9 +118,9 @@ def compare_tables(t):
     return S.compare_tables(o, o.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 1000 == 3, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))))
 
 
-@query("S14_acceptance_delta", "column_name:s max_delta:d n_unmatched:l", """WITH n AS (SELECT o_orderkey, o_totalprice + CASE WHEN o_orderkey % 7 = 0 THEN 0.25 ELSE 0 END AS p FROM orders WHERE o_orderkey % 500 <> 9)
-SELECT 'price' AS column_name, max(abs(p - o_totalprice)) AS max_delta, count(*) FILTER (n.o_orderkey IS NULL) AS n_unmatched FROM orders LEFT JOIN n USING (o_orderkey)""")
+@query("S14_acceptance_delta", "column_name:s max_delta:d n_null_changed:l n_unmatched:l", """WITH n AS (SELECT o_orderkey, CASE WHEN o_orderkey % 300 <> 4 THEN o_totalprice END + CASE WHEN o_orderkey % 7 = 0 THEN 0.25 ELSE 0 END AS p FROM orders WHERE o_orderkey % 500 <> 9)
+SELECT 'price' AS column_name, max(abs(p - o_totalprice)) AS max_delta, count(*) FILTER (n.o_orderkey IS NOT NULL AND p IS NULL) AS n_null_changed, count(*) FILTER (n.o_orderkey IS NULL) AS n_unmatched FROM orders LEFT JOIN n USING (o_orderkey)""")
 def acceptance_delta(t):
     old = t.orders.select("o_orderkey", F.col("o_totalprice").alias("price"))
     new = old.where("o_orderkey % 500 <> 9").withColumn("price", F.col("price") + F.when(F.col("o_orderkey") % 7 == 0, 0.25).otherwise(0.0))
-    return S.acceptance_delta(old, new, ["o_orderkey"], ["price"])
+    return S.acceptance_delta(old, new.withColumn("price", F.when(F.col("o_orderkey") % 300 != 4, F.col("price"))), ["o_orderkey"], ["price"])

@@ -29,19 +29,19 @@ def consensus_rank(t):
     return df.select("id", A.array_median(F.array("a", "b", "c")).alias("consensus"))
 
 
-@query("W3_selection_pool", "c_custkey:l reasons:s tier:l", """WITH r AS (SELECT c_custkey, 'balance' AS reason, 1 AS tier FROM (SELECT c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS k FROM customer) WHERE k <= 6
-UNION ALL SELECT c_custkey, 'debt', 2 FROM (SELECT c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_custkey) AS k FROM customer) WHERE k <= 6 UNION ALL SELECT c_custkey, 'permanent', 0 FROM customer WHERE c_custkey % 400 = 0),
-m AS (SELECT c_custkey, string_agg(reason, '|' ORDER BY reason) AS reasons, min(tier) AS tier FROM r GROUP BY c_custkey)
-SELECT c_custkey, reasons, tier FROM (SELECT *, row_number() OVER (ORDER BY tier, c_custkey) AS k FROM m) WHERE k <= 40""")
+@query("W3_selection_pool", "c_custkey:l reasons:s tier:l", """WITH r AS (SELECT c_custkey, abs(c_acctbal) AS e, 'balance' AS reason, 0 AS tier FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS k FROM customer) WHERE k <= 6
+UNION ALL SELECT c_custkey, abs(c_acctbal), 'debt', 1 FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_custkey) AS k FROM customer) WHERE k <= 6 UNION ALL SELECT c_custkey, abs(c_acctbal), 'permanent', -1 FROM customer WHERE c_custkey % 20 = 0),
+m AS (SELECT c_custkey, string_agg(DISTINCT reason, '|' ORDER BY reason) AS reasons, min(tier) AS lo, max(tier) AS hi, max(e) AS e FROM r GROUP BY c_custkey),
+d AS (SELECT c_custkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY lo DESC, e, c_custkey DESC) AS k FROM m WHERE lo = hi AND lo >= 0) WHERE k <= (SELECT greatest(count(*) - (count(*) FILTER (lo = -1) + 25), 0) FROM m))
+SELECT c_custkey, reasons, lo AS tier FROM m WHERE c_custkey NOT IN (SELECT c_custkey FROM d)""")
 def selection_pool(t):
-    """Union of per-segment top lists and permanent members, tiers dropped from the end down to 40 members."""
-    def top(order, reason, tier):
+    """Per-segment top lists and permanent members, thinned to the permanent ones and 25 more."""
+    def top(order, reason):
         w = Window.partitionBy("c_mktsegment").orderBy(order, "c_custkey")
-        return t.customer.withColumn("k", F.row_number().over(w)).where("k <= 6").select("c_custkey", F.lit(reason).alias("reason"), F.lit(tier).alias("tier"))
-    pool = top(F.desc("c_acctbal"), "balance", 1).unionByName(top(F.asc("c_acctbal"), "debt", 2)).unionByName(
-        t.customer.where("c_custkey % 400 = 0").select("c_custkey", F.lit("permanent").alias("reason"), F.lit(0).alias("tier")))
-    merged = pool.groupBy("c_custkey").agg(F.array_join(F.array_sort(F.collect_set("reason")), "|").alias("reasons"), F.min("tier").alias("tier"))
-    return merged.orderBy("tier", "c_custkey").limit(40)
+        return t.customer.withColumn("k", F.row_number().over(w)).where("k <= 6").select("c_custkey", F.lit(reason).alias("reason"), F.abs("c_acctbal").alias("extreme"))
+    permanent = t.customer.where("c_custkey % 20 = 0").select("c_custkey", F.lit("permanent").alias("reason"), F.abs("c_acctbal").alias("extreme"))
+    reasons = top(F.desc("c_acctbal"), "balance").unionByName(top(F.asc("c_acctbal"), "debt")).unionByName(permanent)
+    return Q.selection_pool(reasons, "c_custkey", ["balance", "debt"], "permanent", "extreme", permanent.count() + 25)
 
 
 @query("W4_step_deltas", "l_suppkey:l n:l dy:d dd:d", sql("traj", "SELECT l_suppkey, n, dy, dd FROM (SELECT *, y - lag(y) OVER w AS dy, d - lag(d) OVER w AS dd, lag(n) OVER w AS p FROM traj WINDOW w AS (PARTITION BY l_suppkey ORDER BY n)) WHERE p = n - 1"))
@@ -90,7 +90,7 @@ def longest_run(t):
 @query("W8_plateau_run", "user_id:l lo:d hi:d n_members:l state:s", sql("evt", """ref AS (SELECT user_id, quantile_cont(value, 0.9) AS p90, max(s) - min(s) AS span FROM evt WHERE flag GROUP BY user_id),
 e2 AS (SELECT e.user_id, e.s, e.value, e.flag AND e.value >= 0.7 * p90 AS flag, span FROM evt e JOIN ref USING (user_id)), """ + MERGED.replace("FROM evt", "FROM e2") + """,
 b AS (SELECT user_id, s0, s1 FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s1 - s0 DESC, s0) AS k FROM m) WHERE k = 1)
-SELECT b.user_id, s0 AS lo, s1 AS hi, count(*) FILTER (e2.flag AND e2.s BETWEEN s0 AND s1) AS n_members, CASE WHEN s1 - s0 < greatest(12, 0.05 * any_value(span)) THEN 'fragmented' ELSE 'stable' END AS state FROM b JOIN e2 USING (user_id) GROUP BY b.user_id, s0, s1"""))
+SELECT u.user_id, s0 AS lo, s1 AS hi, count(*) FILTER (e2.flag AND e2.s BETWEEN s0 AND s1) AS n_members, CASE WHEN s0 IS NULL THEN 'no_plateau' WHEN s1 - s0 < greatest(12, 0.05 * any_value(span)) THEN 'fragmented' ELSE 'stable' END AS state FROM (SELECT DISTINCT user_id FROM evt) u LEFT JOIN b USING (user_id) LEFT JOIN e2 USING (user_id) GROUP BY u.user_id, s0, s1"""))
 def plateau_run(t):
     return Q.plateau_run(event_series(t), ["user_id"], "s", F.col("flag"), "value", depth_frac=0.7, gap=12.0, min_len=12.0, min_frac=0.05, width=DAY)
 

@@ -123,11 +123,13 @@ def job_completeness(expected: DataFrame, observed: DataFrame, key: str) -> Data
 
 
 def physical_guard(maps: DataFrame, field: str, base: str, tol: float) -> DataFrame:
-    """Every cell must satisfy field >= min(base, 0) - tol; values are reported, never clipped."""
+    """Every cell must be finite and satisfy field >= min(base, 0) - tol; values are reported, never clipped."""
     margin = F.zip_with(field, base, lambda z, s: z - F.least(s, F.lit(0.0)))
     rows = maps.withColumn("_m", margin)
-    low = F.size(F.filter("_m", lambda m: m < -tol))
-    return rows.select("map_id", F.array_min(field).alias("min_field"), F.array_min("_m").alias("min_margin"), low.alias("n_violations"), (low == 0).alias("ok"))
+    bad = lambda m: m.isNull() | F.isnan(m) | (F.abs(m) == float("inf"))
+    low = F.size(F.filter("_m", lambda m: F.coalesce(m < -tol, F.lit(False))))
+    finite = ~F.exists("_m", lambda m: F.coalesce(bad(m), F.lit(True)))
+    return rows.select("map_id", F.array_min(field).alias("min_field"), F.array_min("_m").alias("min_margin"), low.alias("n_violations"), finite.alias("finite"), (finite & (low == 0)).alias("ok"))
 
 
 def profile_suitable(profile: Column, edge_frac: float, edge: int = 3) -> Column:

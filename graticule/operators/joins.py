@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from graticule.plans import order_stats as O
 from graticule.plans import series as S
 
-NEAREST_LIMIT = 4096
-
 
 def lookup_states(df: DataFrame, lookup: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Tuple lookup that keeps 'no such tuple' apart from 'tuple present, value missing'."""
@@ -21,9 +19,11 @@ def lookup_states(df: DataFrame, lookup: DataFrame, keys: Sequence[str], value:
 def asof_nearest(left: DataFrame, right: DataFrame, by: Sequence[str], order: str, value: str, tolerance: float, width: float, ties: str = "before") -> DataFrame:
     """Nearest right row within ``tolerance`` per left row; linear work, no pair is ever built.
 
-    Both sides are merged into one series and the last/next right row is carried to each left row.
+    Both sides are merged into one series and the last/next right row is carried to each left row.  A left
+    row with a NULL position or key stays, unmatched.
     """
     by = list(by)
+    right = right.dropna(subset=[*by, order])
     payload = F.struct(F.col(order).alias("at"), F.col(value).alias("val"))
     merged = left.withColumns({"_payload": F.lit(None).cast(right.select(payload.alias("p")).schema["p"].dataType), "_side": F.lit(1)}).unionByName(
         right.select(*by, order, payload.alias("_payload"), F.lit(0).alias("_side")), allowMissingColumns=True)
@@ -36,13 +36,9 @@ def asof_nearest(left: DataFrame, right: DataFrame, by: Sequence[str], order: st
 
 
 def nearest_key(df: DataFrame, x: str, keys: DataFrame, key: str) -> DataFrame:
-    """Closest key (ties to the smaller one).  A small key list becomes an array; a larger one is matched as a series."""
+    """Closest key (ties to the smaller one), matched as a series; NULL finds nothing."""
     distinct = keys.select(F.col(key).cast("double").alias("k")).where("k IS NOT NULL").distinct()
-    if distinct.limit(NEAREST_LIMIT + 1).count() <= NEAREST_LIMIT:
-        table = distinct.agg(F.sort_array(F.collect_list("k")).alias("ks")).scalar()
-        best = F.array_min(F.transform("_keys", lambda k: F.struct(F.abs(k - F.col(x)).alias("d"), k.alias("k"))))
-        return df.withColumn("_keys", table).withColumn("nearest", best["k"]).drop("_keys")
-    span = distinct.agg((F.max("k") - F.min("k")).alias("w")).first()["w"]
+    span = distinct.agg((F.max("k") - F.min("k")).alias("w")).first()["w"] or 0.0
     right = distinct.select(F.col("k").alias(x), F.col("k").alias("v"))
     return asof_nearest(df, right, [], x, "v", float("inf"), max(span / 4096, 1e-12)).withColumnRenamed("match_value", "nearest").drop("match_at")
 

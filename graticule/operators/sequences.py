@@ -19,7 +19,7 @@ def threshold_runs(df: DataFrame, by: Sequence[str], order: str, flag: Column, w
 
 def merge_runs(runs: DataFrame, by: Sequence[str], gap: float, width: float) -> DataFrame:
     """Bridge gaps up to ``gap`` between neighbouring runs."""
-    prev = S.with_previous(S.sliced(runs, "s0", width), by, "s0", F.col("s1"), "_end", width)
+    prev = S.with_previous(S.sliced(runs, by, "s0", width), by, "s0", F.col("s1"), "_end", width)
     start = F.when(F.col("s0") - F.col("_end") <= gap, 0).otherwise(1).cast("long")
     numbered = S.with_running_sum(prev, by, "s0", start, "_k", width)
     return numbered.groupBy(*by, "_k").agg(F.min("s0").alias("s0"), F.max("s1").alias("s1"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_runs")).drop("_k")
@@ -32,18 +32,22 @@ def longest_run(runs: DataFrame, by: Sequence[str], min_len: float) -> DataFrame
 
 def plateau_run(df: DataFrame, by: Sequence[str], order: str, online: Column, depth: str, depth_frac: float, gap: float,
                 min_len: float, min_frac: float, width: float, ref_quantile: float = 0.9) -> DataFrame:
-    """Longest bridged run of on-line positions with plateau depth; bridged dips are not members."""
+    """Longest bridged run of on-line positions with plateau depth; bridged dips are not members.
+
+    Every series is returned; one without a qualifying position has the state ``no_plateau``.
+    """
+    by = list(by)
     rows = df.select(*by, order, depth, online.alias("_on"))
     on = rows.where("_on")
-    ref = O.quantiles(on, by, depth, {"_ref": ref_quantile}).join(on.groupBy(*by).agg((F.max(order) - F.min(order)).alias("_span")), list(by))
-    ref = shared(ref)  # one row per series, read by every branch below
-    marked = rows.join(ref, list(by)).withColumn("_ok", F.col("_on") & (F.col(depth) >= depth_frac * F.col("_ref")))
-    best = longest_run(merge_runs(threshold_runs(marked, by, order, F.col("_ok"), width), by, gap, width), by, 0.0)
-    inside = marked.join(best, list(by)).groupBy(*by).agg(
-        F.first("s0").alias("lo"), F.first("s1").alias("hi"), F.first("_span").alias("_span"),
-        F.count_if(F.col("_ok") & F.col(order).between(F.col("s0"), F.col("s1"))).alias("n_members"))
-    state = F.when(F.col("hi") - F.col("lo") < F.greatest(F.lit(min_len), min_frac * F.col("_span")), "fragmented").otherwise("stable")
-    return inside.select(*by, "lo", "hi", "n_members", state.alias("state"))
+    spans = rows.groupBy(*by).agg((F.max(F.when(F.col("_on"), F.col(order))) - F.min(F.when(F.col("_on"), F.col(order)))).alias("_span"))
+    ref = shared(spans.join(O.quantiles(on, by, depth, {"_ref": ref_quantile}), by, "left"))  # one row per series, read by every branch below
+    marked = rows.join(ref, by).withColumn("_ok", F.col("_on") & (F.col(depth) >= depth_frac * F.col("_ref")))
+    merged = merge_runs(threshold_runs(marked, by, order, F.col("_ok"), width), by, gap, width)
+    best = F.max_by(F.struct("s0", "s1", "n"), F.struct((F.col("s1") - F.col("s0")).alias("l"), (-F.col("s0")).alias("o")))
+    best = merged.groupBy(*by).agg(best.alias("b"))
+    lo, hi = F.col("b.s0"), F.col("b.s1")
+    state = F.when(lo.isNull(), "no_plateau").when(hi - lo < F.greatest(F.lit(min_len), min_frac * F.col("_span")), "fragmented").otherwise("stable")
+    return ref.join(best, by, "left").select(*by, lo.alias("lo"), hi.alias("hi"), F.coalesce("b.n", F.lit(0)).alias("n_members"), state.alias("state"))
 
 
 def min_spacing(df: DataFrame, by: Sequence[str], order: str, step: float) -> DataFrame:
@@ -139,6 +143,25 @@ def section_features(signals: DataFrame, key: str, value: str, dx: float, affect
         sep.alias("separation"), skewness.alias("skewness"))
 
 
+def selection_pool(reasons: DataFrame, key: str, tiers: Sequence[str], permanent: str, extreme: str, cap: int) -> DataFrame:
+    """Members of a pool with their reasons, thinned to ``cap``.
+
+    ``reasons`` has (key, reason, extreme).  Members are dropped tier by tier, the last of ``tiers`` first and
+    the least extreme first, but only those whose reasons all lie in that tier; permanent members stay.  It
+    fails when that cannot reach the cap.  The ranking runs over the members that may go.
+    """
+    number = F.coalesce(*[F.when(F.col("reason") == t, F.lit(k)) for k, t in enumerate(tiers)], F.lit(-1))
+    members = reasons.withColumn("_t", F.when(F.col("reason") == permanent, F.lit(-1)).otherwise(number)).groupBy(key).agg(
+        F.array_join(F.array_sort(F.collect_set("reason")), "|").alias("reasons"), F.min("_t").alias("_low"), F.max("_t").alias("_high"), F.max(extreme).alias("_e"))
+    free = (F.col("_low") == F.col("_high")) & (F.col("_low") >= 0)
+    over = members.agg(F.greatest(F.count(F.lit(1)) - cap, F.lit(0)).alias("n")).scalar()
+    going = members.where(free).withColumn("_k", F.row_number().over(Window.orderBy(F.desc("_low"), "_e", F.desc(key))))
+    enough = members.agg(F.count_if(free).alias("n")).scalar() >= over
+    kept = members.join(going.where(F.col("_k") <= over).select(key), key, "left_anti")
+    checked = F.when(enough, F.col("reasons")).otherwise(F.raise_error(F.lit(f"the pool cannot be thinned to {cap}: too many members are permanent or have reasons in several tiers")).cast("string"))
+    return kept.select(key, checked.alias("reasons"), F.col("_low").alias("tier"))
+
+
 def holm(df: DataFrame, by: Sequence[str], p: str, tie: str, name: str) -> DataFrame:
     """Step-down adjusted p-values; a family of tests is a short list per ``by`` key."""
     w = Window.partitionBy(*by).orderBy(p, tie)

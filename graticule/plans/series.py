@@ -11,51 +11,58 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SLICE = "_slice"
+SLICE, KEY = "_slice", "_slice_key"
 
 
-def sliced(df: DataFrame, order: str, width: float) -> DataFrame:
-    """Adds the slice number; a frame that already carries one keeps it."""
-    return df if SLICE in df.columns else df.withColumn(SLICE, F.floor(F.col(order) / F.lit(float(width))).cast("long"))
+def sliced(df: DataFrame, by: Sequence[str], order: str, width: float) -> DataFrame:
+    """Adds the slice number and the slice's key; a frame that already carries them keeps them.
+
+    The key is a struct of ``by`` and the slice.  Structs compare NULL fields as equal, so rows of a NULL
+    series or position keep a slice of their own and find its summary again.
+    """
+    if SLICE in df.columns:
+        return df
+    out = df.withColumn(SLICE, F.floor(F.col(order) / F.lit(float(width))).cast("long"))
+    return out.withColumn(KEY, F.struct(*[F.col(c) for c in by], F.col(SLICE)))
 
 
 def _finish(out: DataFrame, given: DataFrame, *temporary: str) -> DataFrame:
-    return out.drop(*temporary) if SLICE in given.columns else out.drop(*temporary, SLICE)
+    return out.drop(*temporary) if SLICE in given.columns else out.drop(*temporary, SLICE, KEY)
+
+
+def _carried(rows: DataFrame, by: list[str], summaries: dict[str, Column]) -> DataFrame:
+    """One row per slice that has a position; rows without one carry nothing on."""
+    return rows.where(F.col(SLICE).isNotNull()).groupBy(*by, SLICE, KEY).agg(*[c.alias(n) for n, c in summaries.items()])
 
 
 def with_previous(df: DataFrame, by: Sequence[str], order: str, value: Column, name: str, width: float, forward: bool = False) -> DataFrame:
-    """Value of the neighbouring row of the same series (previous, or next if ``forward``)."""
+    """Value of the neighbouring row of the same series (previous, or next if ``forward``); NULL at a NULL position."""
     by = list(by)
-    rows = sliced(df, order, width).withColumn("_v", F.struct(F.col(order).alias("o"), value.alias("v")))
-    inside = Window.partitionBy(*by, SLICE).orderBy(F.col(order).desc() if forward else F.col(order).asc())
+    rows = sliced(df, by, order, width).withColumn("_v", F.struct(F.col(order).alias("o"), value.alias("v")))
+    inside = Window.partitionBy(KEY).orderBy(F.col(order).desc() if forward else F.col(order).asc())
     across = Window.partitionBy(*by).orderBy(F.col(SLICE).desc() if forward else F.col(SLICE).asc())
-    carry = (
-        rows.groupBy(*by, SLICE).agg((F.min if forward else F.max)("_v").alias("_summary"))
-        .select(*by, SLICE, F.lag("_summary").over(across).alias("_edge"))
-    )
+    carry = _carried(rows, by, {"_summary": (F.min if forward else F.max)("_v")}).select(KEY, F.lag("_summary").over(across).alias("_edge"))
+    found = F.when(F.col("_first"), F.col("_edge.v")).otherwise(F.col("_prev.v"))
     out = (
         rows.withColumn("_prev", F.lag("_v").over(inside))
         .withColumn("_first", F.row_number().over(inside) == 1)
-        .join(carry, [*by, SLICE])
-        .withColumn(name, F.when(F.col("_first"), F.col("_edge.v")).otherwise(F.col("_prev.v")))
+        .join(carry, KEY, "left")
+        .withColumn(name, F.when(F.col(SLICE).isNotNull(), found))
     )
     return _finish(out, df, "_v", "_prev", "_first", "_edge")
 
 
 def with_running_sum(df: DataFrame, by: Sequence[str], order: str, value: Column, name: str, width: float) -> DataFrame:
-    """Inclusive running sum along the series."""
+    """Inclusive running sum along the series; NULL at a NULL position."""
     by = list(by)
-    rows = sliced(df, order, width).withColumn("_v", value)
-    inside = Window.partitionBy(*by, SLICE).orderBy(order)
+    rows = sliced(df, by, order, width).withColumn("_v", value)
+    inside = Window.partitionBy(KEY).orderBy(order)
     across = Window.partitionBy(*by).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    carry = (
-        rows.groupBy(*by, SLICE).agg(F.sum("_v").alias("_summary"))
-        .select(*by, SLICE, F.coalesce(F.sum("_summary").over(across), F.lit(0)).alias("_base"))
-    )
+    carry = _carried(rows, by, {"_summary": F.sum("_v")}).select(KEY, F.coalesce(F.sum("_summary").over(across), F.lit(0)).alias("_base"))
     out = (
         rows.withColumn("_cum", F.sum("_v").over(inside))
-        .join(carry, [*by, SLICE])
-        .withColumn(name, F.col("_base") + F.col("_cum"))
+        .join(carry, KEY, "left")
+        .withColumn(name, F.when(F.col(SLICE).isNotNull(), F.col("_base") + F.col("_cum")))
     )
     return _finish(out, df, "_v", "_cum", "_base")
 
@@ -64,12 +71,14 @@ def with_seen(df: DataFrame, by: Sequence[str], order: str, value: Column, back:
     """Nearest non-null ``value`` at or before (``back``) and at or after (``ahead``) each row.
 
     Rows at the same position see each other; of several values there, the largest (ahead: the
-    smallest) is taken, so the result does not depend on row order.
+    smallest) is taken, so the result does not depend on row order.  A row at a NULL position sees
+    nothing and is not seen.
     """
     by = list(by)
-    rows = sliced(df, order, width).withColumn("_v", F.when(value.isNotNull(), F.struct(F.col(order).alias("o"), value.alias("v"))))
+    seen = value.isNotNull() & F.col(order).isNotNull()
+    rows = sliced(df, by, order, width).withColumn("_v", F.when(seen, F.struct(F.col(order).alias("o"), value.alias("v"))))
     upto, others = (Window.unboundedPreceding, Window.currentRow), (Window.unboundedPreceding, -1)
-    summary = rows.groupBy(*by, SLICE).agg(F.max("_v").alias("_last"), F.min("_v").alias("_head"))
+    summary = _carried(rows, by, {"_last": F.max("_v"), "_head": F.min("_v")})
     edges, found = [], {}
     out = rows
     for name, pick, column, down in ((back, F.max, "_last", False), (ahead, F.min, "_head", True)):
@@ -77,9 +86,9 @@ def with_seen(df: DataFrame, by: Sequence[str], order: str, value: Column, back:
             continue
         sort = (lambda c: F.col(c).desc()) if down else (lambda c: F.col(c).asc())
         edges.append(pick(column).over(Window.partitionBy(*by).orderBy(sort(SLICE)).rowsBetween(*others)).alias(f"_edge{column}"))
-        out = out.withColumn(f"_seen{column}", pick("_v").over(Window.partitionBy(*by, SLICE).orderBy(sort(order)).rangeBetween(*upto)))
+        out = out.withColumn(f"_seen{column}", pick("_v").over(Window.partitionBy(KEY).orderBy(sort(order)).rangeBetween(*upto)))
         found[name] = F.coalesce(F.col(f"_seen{column}"), F.col(f"_edge{column}"))["v"]
-    out = out.join(summary.select(*by, SLICE, *edges), [*by, SLICE]).withColumns(found)
+    out = out.join(summary.select(KEY, *edges), KEY, "left").withColumns(found)
     return _finish(out, df, "_v", "_seen_last", "_seen_head", "_edge_last", "_edge_head")
 
 
@@ -89,8 +98,8 @@ def with_last_seen(df: DataFrame, by: Sequence[str], order: str, value: Column,
 
 
 def islands(df: DataFrame, by: Sequence[str], order: str, flag: Column, width: float, name: str = "island") -> DataFrame:
-    """Numbers the contiguous runs of true flags; rows outside runs are dropped."""
-    rows = sliced(df, order, width).withColumn("_flag", F.coalesce(flag, F.lit(False)))
+    """Numbers the contiguous runs of true flags; rows outside runs, and rows without a position, are dropped."""
+    rows = sliced(df.where(F.col(order).isNotNull()), by, order, width).withColumn("_flag", F.coalesce(flag, F.lit(False)))
     marked = with_previous(rows, by, order, F.col("_flag"), "_was", width)
     start = (F.col("_flag") & ~F.coalesce(F.col("_was"), F.lit(False))).cast("long")
     numbered = with_running_sum(marked, by, order, start, name, width)

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Sequence
 
 import pandas as pd
@@ -31,9 +32,14 @@ def _digests(path: str) -> tuple[str, str, str, int]:
 
 
 def seal(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
-    """(path, name, size, sha256, sha256_lf, sha256_crlf) of every file; files are hashed as streams by the tasks."""
+    """(path, name, size, sha256, sha256_lf, sha256_crlf) of every file; files are hashed as streams by the tasks.
+
+    ``name`` is the path below ``folder``, so equal file names in different folders stay apart.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
-    paths = files.select("path").withColumn("name", F.element_at(F.split("path", "/"), -1)).repartition("path")
+    place = F.lit("/" + re.sub(r"^[a-z0-9]+:/*", "", folder).strip("/") + "/")  # the scheme may be written differently
+    below = F.substring(F.col("path"), F.position(place, F.col("path")) + F.length(place), F.length("path"))
+    paths = files.select("path").withColumn("name", F.when(F.position(place, F.col("path")) > 0, below).otherwise(F.col("path"))).repartition("path")
 
     def digest(batches):
         for pdf in batches:
@@ -43,7 +49,7 @@ def seal(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
 
 
 def verify_seal(sealed: DataFrame, current: DataFrame, tolerant: bool = False) -> DataFrame:
-    """match / match_line_ends / changed / missing / unexpected per file name."""
+    """match / match_line_ends / changed / missing / unexpected per path below the sealed folder."""
     a = sealed.select("name", F.col("sha256").alias("want"))
     j = a.join(current.select("name", "sha256", "sha256_lf", "sha256_crlf"), "name", "full_outer")
     rebuilt = (F.col("want") == F.col("sha256_lf")) | (F.col("want") == F.col("sha256_crlf"))
@@ -104,8 +110,8 @@ def read_lock(spark: SparkSession, path: str, digest: str) -> DataFrame:
 
 
 def compare_tables(a: DataFrame, b: DataFrame) -> DataFrame:
-    """EXACT, VALUE_DIFF or SHAPE_DIFF with the number of rows found on one side only."""
-    if sorted(a.columns) != sorted(b.columns):
+    """EXACT, VALUE_DIFF or SHAPE_DIFF (other columns, types or row counts) with the number of rows found on one side only."""
+    if sorted(a.dtypes) != sorted(b.dtypes):
         n = a.agg(F.count(F.lit(1)).alias("n"))
         return n.select(F.lit("SHAPE_DIFF").alias("state"), F.lit(None).cast("long").alias("only_a"), F.lit(None).cast("long").alias("only_b"))
     cols = sorted(a.columns)
@@ -117,10 +123,12 @@ def compare_tables(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def acceptance_delta(old: DataFrame, new: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """Rows on one side only and the largest absolute change per value column."""
+    """Rows on one side only, and per value column the largest absolute change and how often NULL came or went."""
     a = old.select(*keys, *[F.col(v).alias(f"a_{v}") for v in values], F.lit(True).alias("_a"))
     b = new.select(*keys, *[F.col(v).alias(f"b_{v}") for v in values], F.lit(True).alias("_b"))
     j = a.join(b, list(keys), "full_outer")
-    agg = j.agg(F.count_if(F.col("_a").isNull() | F.col("_b").isNull()).alias("n_unmatched"), *[F.max(F.abs(F.col(f"a_{v}") - F.col(f"b_{v}"))).alias(v) for v in values])
-    rows = F.explode(F.array(*[F.struct(F.lit(v).alias("column_name"), F.col(v).alias("max_delta")) for v in values]))
-    return agg.select("n_unmatched", rows.alias("e")).select("e.column_name", "e.max_delta", "n_unmatched")
+    both = F.col("_a") & F.col("_b")
+    per = [F.struct(F.lit(v).alias("column_name"), F.max(F.abs(F.col(f"a_{v}") - F.col(f"b_{v}"))).alias("max_delta"),
+                    F.count_if(both & (F.col(f"a_{v}").isNull() != F.col(f"b_{v}").isNull())).alias("n_null_changed")) for v in values]
+    agg = j.agg(F.count_if(F.col("_a").isNull() | F.col("_b").isNull()).alias("n_unmatched"), F.array(*per).alias("e"))
+    return agg.select("n_unmatched", F.explode("e").alias("e")).select("e.column_name", "e.max_delta", "e.n_null_changed", "n_unmatched")

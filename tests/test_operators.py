@@ -102,6 +102,42 @@ def test_robust_plane_ignores_a_groove(spark):
     assert fit["a"] == pytest.approx(0.02, abs=1e-3) and fit["b"] == pytest.approx(-0.01, abs=1e-3) and fit["c"] == pytest.approx(3, abs=1e-2)
 
 
+def test_clipped_planes_equal_one_map_at_a_time():
+    """The batch against least squares per map, with missing cells, a flat map and maps that settle at different rounds."""
+    rng = np.random.default_rng(8)
+    y, x = np.mgrid[0:12, 0:12].astype(float)
+    basis = np.column_stack([(x - 5.5).ravel(), (y - 5.5).ravel(), np.ones(144)])
+    z = rng.normal(size=(6, 144)) * 0.1 + basis @ rng.normal(size=3)
+    z[1, :40] -= 4
+    z[2, rng.random(144) < 0.3] = np.nan
+    z[3], z[4] = basis @ [1, 2, 3], np.nan
+    got = P.clipped_planes(z, basis, 2.5, 4.0, 12, 10, 0.15)
+    for v, r in zip(z, got.itertuples()):
+        ok = np.flatnonzero(np.isfinite(v))
+        if len(ok) < 3:
+            assert r.a is None
+            continue
+        use, beta = ok, np.linalg.lstsq(basis[ok], v[ok], rcond=None)[0]
+        for _ in range(12):
+            off = v - basis @ beta
+            mid = np.median(off[use])
+            sigma = 1.4826 * np.median(np.abs(off[use] - mid))
+            new = ok[(off[ok] - mid >= -2.5 * sigma) & (off[ok] - mid <= 4.0 * sigma)]
+            if sigma < 1e-9 or len(new) < 21:
+                break
+            use, beta = new, np.linalg.lstsq(basis[new], v[new], rcond=None)[0]
+        assert np.allclose([r.a, r.b, r.c], beta, atol=1e-9) and r.n_inliers == len(use)
+
+
+def test_components_of_large_and_text_ids(spark):
+    z = np.zeros((1, 6, 6))
+    z[0, 2:4, 2:4] = 1
+    m = as_maps(spark, z).withColumn("mask", F.transform("z", lambda v: v > 0))
+    for key in (F.lit(3_000_000_000), F.lit(-7), F.lit("left")):
+        r = D.largest_component(m.withColumn("map_id", key), "mask").first()
+        assert (r["largest"], r["n_true"]) == (4, 4)
+
+
 def test_planted_pit_is_repaired_and_groove_is_not(spark):
     rng = np.random.default_rng(4)
     z = rng.normal(scale=0.01, size=(2, 24, 24))
@@ -278,6 +314,30 @@ def test_file_seals_and_line_ends(spark, tmp_path):
     assert {r["name"]: r["state"] for r in v.collect()} == {"same.txt": "match", "crlf.txt": "match_line_ends", "gone.txt": "missing", "new.txt": "unexpected", "edit.txt": "changed"}
 
 
+def test_seal_tells_equal_names_apart(spark, tmp_path):
+    for d in ("a/x", "a/y", "b/x", "b/y"):
+        (tmp_path / d).mkdir(parents=True)
+    for root in ("a", "b"):
+        (tmp_path / root / "x" / "part.txt").write_bytes(b"1")
+        (tmp_path / root / "y" / "part.txt").write_bytes(b"2")
+    v = SE.verify_seal(SE.seal(spark, str(tmp_path / "a")), SE.seal(spark, str(tmp_path / "b")))
+    assert sorted((r["name"], r["state"]) for r in v.collect()) == [("x/part.txt", "match"), ("y/part.txt", "match")]
+
+
+def test_acceptance_delta_sees_null(spark):
+    old = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, None)], "k int, v double")
+    new = spark.createDataFrame([(1, None), (2, 2.5), (3, None)], "k int, v double")
+    r = SE.acceptance_delta(old, new, ["k"], ["v"]).first()
+    assert (r["max_delta"], r["n_null_changed"], r["n_unmatched"]) == (0.5, 1, 0)
+
+
+def test_physical_guard_rejects_holes(spark):
+    nan = float("nan")
+    maps = spark.createDataFrame([(1, [0.0, 1.0], [0.0, 0.0]), (2, [nan, 1.0], [0.0, 0.0]), (3, [None, 1.0], [0.0, 0.0]), (4, [-1.0, 1.0], [0.0, 0.0])], "map_id int, f array<double>, b array<double>")
+    got = {r["map_id"]: (r["finite"], r["n_violations"], r["ok"]) for r in K.physical_guard(maps, "f", "b", 0.1).collect()}
+    assert got == {1: (True, 0, True), 2: (False, 0, False), 3: (False, 0, False), 4: (True, 1, False)}
+
+
 def test_lock_is_never_replaced(spark, tmp_path):
     path = str(tmp_path / "lock")
     digest = SE.write_lock(spark.range(3).toDF("id"), path, {"alpha": 1}, ["x"])
@@ -297,9 +357,29 @@ def test_csv_fallback(spark, tmp_path):
         assert R.read_csv_fallback(spark, str(tmp_path / name), schema).first()["v"] == "é"
 
 
+def test_selection_pool_keeps_permanent_members(spark):
+    from graticule.operators.sequences import selection_pool
+    rows = [(k, "permanent", 0.0) for k in range(50)] + [(100 + k, "low", float(k)) for k in range(5)] + [(200 + k, "high", float(k)) for k in range(5)] + [(100, "high", 9.0), (0, "low", 1.0)]
+    df = spark.createDataFrame(rows, "id int, reason string, e double")
+    kept = {r["id"]: r["reasons"] for r in selection_pool(df, "id", ["high", "low"], "permanent", "e", 55).collect()}
+    # the last tier goes first, the least extreme of it before the others; 100 has reasons in two tiers
+    assert set(range(50)) | {100} <= set(kept) and set(kept) - set(range(50)) == {100, 201, 202, 203, 204} and kept[0] == "low|permanent"
+    with pytest.raises(Exception, match="cannot be thinned"):
+        selection_pool(df, "id", ["high", "low"], "permanent", "e", 40).collect()
+
+
+def test_plateau_run_returns_every_series(spark):
+    from graticule.operators.sequences import plateau_run
+    rows = [("a", float(k), 5.0, True) for k in range(10)] + [("b", float(k), 5.0, False) for k in range(10)]
+    df = spark.createDataFrame(rows, "u string, s double, d double, f boolean")
+    got = {r["u"]: (r["lo"], r["hi"], r["n_members"], r["state"]) for r in plateau_run(df, ["u"], "s", F.col("f"), "d", 0.5, 1.5, 2.0, 0.1, 4.0).collect()}
+    assert got == {"a": (0.0, 9.0, 10, "stable"), "b": (None, None, 0, "no_plateau")}
+
+
 def test_compare_tables(spark):
     a = spark.createDataFrame([(1, 1.0), (2, 2.0)], "k long, v double")
     assert SE.compare_tables(a, a).first()["state"] == "EXACT"
     assert SE.compare_tables(a, a.withColumn("v", F.col("v") + 1)).first()["state"] == "VALUE_DIFF"
     assert SE.compare_tables(a, a.limit(1)).first()["state"] == "SHAPE_DIFF"
     assert SE.compare_tables(a, a.drop("v")).first()["state"] == "SHAPE_DIFF"
+    assert SE.compare_tables(a, a.withColumn("v", F.col("v").cast("string"))).first()["state"] == "SHAPE_DIFF"

@@ -100,13 +100,24 @@ def test_asof_nearest_and_ties(spark):
     assert after[(1, 10.0)] == "b"
 
 
-def test_nearest_key_beyond_the_array_limit(spark, monkeypatch):
-    from graticule.operators import joins
-    keys = spark.createDataFrame([(float(v),) for v in range(0, 1000, 7)], "k double")
-    df = spark.createDataFrame([(3.4,), (500.0,), (-2.0,), (5000.0,), (3.5,)], "x double")
-    small = sorted((r["x"], r["nearest"]) for r in nearest_key(df, "x", keys, "k").collect())
-    monkeypatch.setattr(joins, "NEAREST_LIMIT", 10)
-    assert small == sorted((r["x"], r["nearest"]) for r in nearest_key(df, "x", keys, "k").collect())
+def test_nearest_key_is_one_path_and_keeps_null(spark):
+    df = spark.createDataFrame([(float(k) * 1.3,) for k in range(40)] + [(None,)], "x double")
+    keys = [0.0, 7.0, 7.5, 31.0, 60.0]
+    got = {r["x"]: r["nearest"] for r in nearest_key(df, "x", spark.createDataFrame([(k,) for k in keys], "k double"), "k").collect()}
+    assert len(got) == 41 and got.pop(None) is None
+    assert got == {x: min(keys, key=lambda k: (abs(k - x), k)) for x in got}
+
+
+def test_series_keep_rows_of_null_keys_and_positions(spark):
+    left = spark.createDataFrame([("a", 1.0), ("a", None), (None, 2.0)], "u string, s double")
+    right = spark.createDataFrame([("a", 1.5, 7.0), (None, 2.0, 8.0), ("a", None, 9.0)], "u string, s double, v double")
+    got = {(r["u"], r["s"]): r["match_value"] for r in asof_nearest(left, right, ["u"], "s", "v", 5.0, 1.0).collect()}
+    assert got == {("a", 1.0): 7.0, ("a", None): None, (None, 2.0): None}
+    rows = spark.createDataFrame([("a", 1.0, 1), ("a", 9.0, 2), ("a", None, 3), (None, 1.0, 4), (None, 30.0, 5)], "u string, s double, v int")
+    before = {(r["u"], r["s"]): r["p"] for r in S.with_previous(rows, ["u"], "s", F.col("v"), "p", 2.0).collect()}
+    assert before == {("a", 1.0): None, ("a", 9.0): 1, ("a", None): None, (None, 1.0): None, (None, 30.0): 4}
+    total = {(r["u"], r["s"]): r["t"] for r in S.with_running_sum(rows, ["u"], "s", F.col("v"), "t", 2.0).collect()}
+    assert total == {("a", 1.0): 1, ("a", 9.0): 3, ("a", None): None, (None, 1.0): 4, (None, 30.0): 9}
 
 
 def test_tiles_cover_every_pair_once(spark, monkeypatch):
