@@ -1,14 +1,19 @@
 """Session defaults for local use; a cluster session is used as it is."""
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
+HOME = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))  # Python workers import the package from here
+
 
 def build_session(cpus: int | str = 8, partitions: int = 8, memory: str = "12g") -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("graticule")
         .config("spark.ui.enabled", "false")
+        .config("spark.executorEnv.PYTHONPATH", os.pathsep.join(filter(None, [HOME, os.environ.get("PYTHONPATH")])))
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions))
