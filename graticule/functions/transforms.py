@@ -98,6 +98,44 @@ def hann_power(z: Column, rows: int, cols: int) -> Column:
     return apply(z)
 
 
+def band_and_direction(z: Column, rows: int, cols: int, pitch: float, bands, directions, theta_bins: int) -> Column:
+    """struct(energies, directional) per complete map, NULL otherwise, in one pass over the batch.
+
+    ``energies``: cosine-transform energy of each of ``bands``.  ``directional``: for each of ``directions``
+    the axial order, angular entropy and energy of the Hann-windowed power, the first two NULL without energy.
+    The band and angle of a mode are fixed for a raster, so every sum is a product with a fixed matrix.
+    """
+    window = np.outer(np.hanning(rows), np.hanning(cols))
+    by, bx = dct_basis(rows), dct_basis(cols)
+    wavelength = lambda fy, fx: 1 / np.maximum(np.hypot(fy[:, None], fx[None, :]), 1e-300)  # noqa: E731  the constant mode is in no band
+    within = lambda lam, lo, hi: ((lam >= lo) & (lam < hi) & (lam < 1e299)).ravel().astype(float)
+    lam = wavelength(np.arange(rows) / (2 * rows * pitch), np.arange(cols) / (2 * cols * pitch))
+    member = np.column_stack([within(lam, lo, hi) for _, lo, hi in bands])
+    fy, fx = np.fft.fftfreq(rows, pitch), np.fft.fftfreq(cols, pitch)
+    theta = np.arctan2(fy[:, None], fx[None, :]).ravel()
+    sector = np.minimum(np.floor(np.mod(theta, np.pi) / (np.pi / theta_bins) + 1e-9), theta_bins - 1).astype(int)
+    sectors = np.eye(theta_bins)[sector]
+    axial = np.column_stack([np.cos(2 * theta), np.sin(2 * theta)])
+
+    @F.pandas_udf("energies array<double>, directional array<array<double>>")
+    def apply(values: pd.Series) -> pd.DataFrame:
+        cube, usable = _stack(values, rows, cols)
+        energies = ((by @ cube @ bx.T).reshape(len(cube), -1) ** 2) @ member
+        power = np.abs(np.fft.fft2((cube - cube.mean(axis=(1, 2), keepdims=True)) * window)).reshape(len(cube), -1) ** 2 / (window**2).sum()
+        found = []
+        for _, lo, hi in directions:
+            inside = power * within(wavelength(fy, fx), lo, hi)
+            total, turned, parts = inside.sum(axis=1), inside @ axial, inside @ sectors
+            some = total > 0
+            safe = np.where(some, total, 1.0)
+            entropy = (np.log(safe) - np.where(parts > 0, parts * np.log(np.maximum(parts, 1e-300)), 0.0).sum(axis=1) / safe) / np.log(theta_bins)
+            order = np.hypot(turned[:, 0], turned[:, 1]) / safe
+            found.append([(a, e, t) if ok else (None, None, t) for ok, a, e, t in zip(some, order, entropy, total)])
+        return pd.DataFrame({"energies": _emit(energies, usable), "directional": [[list(f[i]) for f in found] if ok else None for i, ok in enumerate(usable)]})
+
+    return apply(z)
+
+
 def autocorrelation(z: Column, rows: int, cols: int) -> Column:
     """Periodic autocorrelation (lag products summed over the map), lag (0,0) first."""
 

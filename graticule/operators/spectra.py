@@ -226,24 +226,27 @@ def acf_radial_length(residuals: DataFrame, rows: int, cols: int, pitch: float)
 
 def observe(maps: DataFrame, rows: int, cols: int, pitch: float, theta_bins: int = 36,
             zero_threshold: float = 1e-10, replacement: float = 1e-6) -> tuple[DataFrame, DataFrame]:
-    """Canonical observation vector per map and the validity table of its blocks."""
+    """Canonical observation vector per map and the validity table of its blocks.
+
+    Narrow: the map table is read once, every map is reduced on its own row, nothing is shuffled.
+    """
     m = masked(maps)
     base = m.withColumns({"_med": A.array_median(F.col("z")), "_full": ~F.exists("z", lambda v: v.isNull()), "_any": F.exists("z", lambda v: v.isNotNull())}) \
         .withColumn("z", A.shifted(F.col("z"), F.col("_med")))
-    scalar_part = base.select("map_id", "label", (-F.col("_med")).alias("depth"), F.sqrt(A.mean_of(F.col("z"), lambda v: v * v)).alias("a_med"), "_full", "_any")
-    full = base.where("_full")
-    comp = band_composition(dct_table(full, rows, cols, pitch))
-    parts, _ = C.zero_replaced([F.col(f"p_{n}") for n, _, _ in BANDS], zero_threshold, replacement)
-    z = C.ilr(parts)
-    ilr_part = comp.select("map_id", F.col("e_total"), *[F.when(F.col("e_total") > 0, c).alias(f"ilr{k}") for k, c in enumerate(z, 1)])
     two = [b for b in BANDS if b[0] in ("8_16", "16_32")]
-    d = directional_metrics(power_table(full, rows, cols, pitch), two, theta_bins)
-    wide = d.groupBy("map_id").agg(*[F.max(F.when(F.col("band") == n, F.col(v))).alias(f"{v}_{n}") for n, _, _ in two for v in ("a2", "entropy", "energy")])
-    joined = scalar_part.join(ilr_part, "map_id", "left").join(wide, "map_id", "left")
-    vector = joined.drop("_full", "_any", "e_total", "energy_8_16", "energy_16_32")
+    seen = base.withColumn("_s", T.band_and_direction(F.when(F.col("_full"), F.col("z")), rows, cols, pitch, BANDS, two, theta_bins)) \
+        .withColumn("e_total", A.array_sum(F.col("_s.energies")))
+    total = F.when(F.col("_s").isNotNull(), F.col("e_total"))
+    share = [F.get("_s.energies", F.lit(k)) / F.nullif(F.col("e_total"), F.lit(0.0)) for k in range(len(BANDS))]
+    parts, _ = C.zero_replaced(share, zero_threshold, replacement)
+    at = lambda k, j: F.get(F.get("_s.directional", F.lit(k)), F.lit(j))
+    wide = {f"{v}_{n}": at(k, j) for k, (n, _, _) in enumerate(two) for j, v in enumerate(("a2", "entropy", "energy"))}
+    rows_ = seen.select("map_id", "label", (-F.col("_med")).alias("depth"), F.sqrt(A.mean_of(F.col("z"), lambda v: v * v)).alias("a_med"), "_full", "_any",
+                        total.alias("e_total"), *[F.when(total > 0, c).alias(f"ilr{k}") for k, c in enumerate(C.ilr(parts), 1)], *[c.alias(n) for n, c in wide.items()])
+    vector = rows_.drop("_full", "_any", "e_total", "energy_8_16", "energy_16_32")
     reason = lambda energy, why: F.when(~F.col("_any"), F.lit("EMPTY")).when(~F.col("_full"), F.lit("INCOMPLETE_GRID")).when(~(F.coalesce(energy, F.lit(0.0)) > 0), F.lit(why)).otherwise(F.lit(""))
     blocks = F.explode(F.array(*[
         F.struct(F.lit(n).alias("block"), e.alias("energy"), reason(e, w).alias("reason"))
         for n, e, w in [("ILR", F.col("e_total"), "ZERO_NON_DC"), ("8_16", F.col("energy_8_16"), "ZERO_BAND"), ("16_32", F.col("energy_16_32"), "ZERO_BAND")]]))
-    validity = joined.select("map_id", blocks.alias("b")).select("map_id", "b.block", (F.col("b.reason") == "").alias("band_valid"), "b.energy", "b.reason")
+    validity = rows_.select("map_id", blocks.alias("b")).select("map_id", "b.block", (F.col("b.reason") == "").alias("band_valid"), "b.energy", "b.reason")
     return vector, validity

@@ -64,6 +64,20 @@ def test_missing_cells_are_never_filled(spark, cube):
     assert {r["reason"] for r in validity.where("map_id = 2").collect()} == {"INCOMPLETE_GRID"}
 
 
+def test_observation_is_one_narrow_pass(spark, cube, tmp_path):
+    as_maps(spark, cube).write.parquet(f"{tmp_path}/maps")
+    for part in S.observe(spark.read.parquet(f"{tmp_path}/maps"), 12, 12, 0.5, 12):
+        plan = part._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1 and "Exchange" not in plan and "Join" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_observation_equals_the_single_descriptors(spark, cube):
+    m = as_maps(spark, cube)
+    got = S.observe(m, 12, 12, 0.5, 12)[0].toPandas().set_index("map_id").sort_index()
+    wide = S.directional_metrics(S.power_table(M.residualised(m), 12, 12, 0.5), [b for b in S.BANDS if b[0] == "8_16"], 12).toPandas().set_index("map_id").sort_index()
+    assert np.allclose(got.loc[wide.index, "a2_8_16"].astype(float), wide["a2"]) and np.allclose(got.loc[wide.index, "entropy_8_16"].astype(float), wide["entropy"])
+
+
 def test_ilr_round_trip_and_orthonormality(spark):
     a = np.array(C.BALANCES)
     assert np.allclose(a @ a.T, np.eye(4)) and np.allclose(a.sum(axis=1), 0)
