@@ -267,14 +267,15 @@ def raw_vs_repaired(t):
     return m.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg("ra").alias("mean_raw"), F.avg("rb").alias("mean_repaired"), F.corr("ra", "rb").alias("corr_arms"), F.avg("c").alias("mean_cosine"))
 
 
-@query("R31_ordering_accuracy", "target:s model:s n_pairs:l accuracy:d", sql("fact", """s AS (SELECT target, model, id, observed AS o, predicted AS p, lag(observed) OVER w AS o0, lag(predicted) OVER w AS p0 FROM fact WINDOW w AS (PARTITION BY target, model ORDER BY id))
-SELECT target, model, count(*) AS n_pairs, avg((sign(o - o0) = sign(p - p0))::INT) AS accuracy FROM s WHERE o0 IS NOT NULL GROUP BY ALL"""))
+@query("R31_ordering_accuracy", "target:s model:s n_pairs:l accuracy:d", sql("fact", """pr AS (SELECT min(id) OVER (PARTITION BY target, grp) AS i, id AS j, target AS t FROM fact WHERE model = 'full'),
+j AS (SELECT a.target, a.model, sign(a.observed - b.observed) AS o, sign(a.predicted - b.predicted) AS p FROM pr JOIN fact a ON a.id = i JOIN fact b ON b.id = j AND b.target = a.target AND b.model = a.model)
+SELECT target, model, count(*) AS n_pairs, avg((o = p)::INT) AS accuracy FROM j WHERE o <> 0 GROUP BY ALL"""))
 def ordering_accuracy(t):
-    """Pairs are neighbouring ids of one target; the predicted order must match the observed one."""
-    from graticule.plans.series import with_previous
-    s = with_previous(fold_facts(t), ["target", "model"], "id", F.struct("observed", "predicted"), "q", 1000).where("q IS NOT NULL")
-    same = F.signum(F.col("observed") - F.col("q.observed")) == F.signum(F.col("predicted") - F.col("q.predicted"))
-    return s.groupBy("target", "model").agg(F.count(F.lit(1)).alias("n_pairs"), F.avg(same.cast("double")).alias("accuracy"))
+    """Pairs: the first order of a customer and target with each of the others."""
+    f = fold_facts(t)
+    of = f.where("model = 'full'").groupBy("target", "grp").agg(F.min("id").alias("i"))
+    pairs = f.where("model = 'full'").select("target", "grp", F.col("id").alias("j")).join(of, ["target", "grp"])
+    return R.ordering_accuracy(f, pairs, ["target", "model"], "id", "observed", "predicted")
 
 
 @query("R32_outcome_free_scope", "o_orderkey:l c_mktsegment:s log_dose:d support:s", """SELECT o_orderkey, c_mktsegment, ln(1 + q) AS log_dose, CASE WHEN q IS NULL THEN 'no_lines' WHEN q < 50 THEN 'low' ELSE 'supported' END AS support

@@ -52,22 +52,22 @@ def unpack(m: np.ndarray) -> np.ndarray:
     return out + np.triu(out, 1).T
 
 
-def solve_ridge(m: np.ndarray, n: float, columns: Sequence[int], alpha: float) -> tuple[float, np.ndarray]:
-    """Standardise, penalise the standardised slopes, leave the intercept free; total mass equals n rows."""
+def solve_ridge(m: np.ndarray, n: float, columns: Sequence[int], alpha: float, standardise: bool = True) -> tuple[float, np.ndarray]:
+    """Penalise the slopes of standardised columns (or of the columns as they are), leave the intercept free; total mass equals n rows."""
     m = m / m[0, 0]
     c = np.asarray(columns, dtype=int) + 1
     mean, my = m[0, c], m[0, -1]
     cov = m[np.ix_(c, c)] - np.outer(mean, mean)
     scale = np.sqrt(np.maximum(np.diag(cov), 0.0))
-    scale[scale < 1e-12] = 1.0
+    scale[(scale < 1e-12) | (not standardise)] = 1.0
     z = cov / np.outer(scale, scale) * n
     zy = (m[c, -1] - mean * my) / scale * n
     beta = np.linalg.solve(z + alpha * np.eye(len(c)), zy) / scale if len(c) else np.zeros(0)
     return float(my - mean @ beta), beta
 
 
-def fit(splits: DataFrame, designs: dict[str, Sequence[int]], alphas: Sequence[float]) -> DataFrame:
-    """One row per split, design and penalty with coefficients and held-out error."""
+def fit(splits: DataFrame, designs: dict[str, Sequence[int]], alphas: Sequence[float], standardise: bool = True) -> DataFrame:
+    """One row per split, design and penalty with coefficients and held-out error; pass ``standardise=False`` for basis columns."""
     keys = [f for f in splits.schema.fields if f.name not in ("m_train", "n_train", "m_test", "n_test")]
     names = [f.name for f in keys]
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in keys] + [FIT_COLUMNS])
@@ -81,7 +81,7 @@ def fit(splits: DataFrame, designs: dict[str, Sequence[int]], alphas: Sequence[f
                 null[0], null[-1] = -train[0, -1] / train[0, 0], 1.0
                 for design, cols in designs.items():
                     for alpha in alphas:
-                        b0, b = solve_ridge(train, row["n_train"], cols, alpha)
+                        b0, b = solve_ridge(train, row["n_train"], cols, alpha, standardise)
                         e = np.zeros(len(train))
                         e[0], e[-1] = -b0, 1.0
                         e[np.asarray(cols, dtype=int) + 1] = -b

@@ -100,11 +100,11 @@ def balanced_mse(df: DataFrame, by: Sequence[str], component: str, error: Column
 
 
 def oof_metrics(df: DataFrame, by: Sequence[str], component: str, observed: str, predicted: str, null: str, n_expected: int | None = None) -> DataFrame:
-    """Component-balanced MAE, RMSE, Q2 against the training null, coverage."""
+    """Component-balanced MAE, RMSE, Q2 against the training null, coverage of the ``n_expected`` rows (of those present if not told)."""
     e, z = F.col(observed) - F.col(predicted), F.col(observed) - F.col(null)
     per = df.groupBy(*by, component).agg(F.avg(F.abs(e)).alias("a"), F.avg(e * e).alias("s"), F.avg(z * z).alias("z"), F.count(predicted).alias("n"), F.count(F.lit(1)).alias("m"))
     return per.groupBy(*by).agg(F.avg("a").alias("mae"), F.sqrt(F.avg("s")).alias("rmse"), (1 - F.avg("s") / F.avg("z")).alias("q2"),
-                                (F.sum("n") / F.sum("m")).alias("coverage"), F.count(F.lit(1)).alias("n_components"), F.sum("m").alias("n_rows"))
+                                (F.sum("n") / (F.sum("m") if n_expected is None else F.lit(n_expected))).alias("coverage"), F.count(F.lit(1)).alias("n_components"), F.sum("m").alias("n_rows"))
 
 
 def regression_metrics(df: DataFrame, by: Sequence[str], observed: str, predicted: str) -> DataFrame:
@@ -115,6 +115,17 @@ def regression_metrics(df: DataFrame, by: Sequence[str], observed: str, predicte
     return base.withColumn("r2", r2).drop("_ss", "_sse").join(spearman(df, by, observed, predicted, "rho"), list(by))
 
 
+def ordering_accuracy(df: DataFrame, pairs: DataFrame, by: Sequence[str], key: str, observed: str, predicted: str) -> DataFrame:
+    """Share of the listed pairs (i, j) that are predicted in their observed order.
+
+    Pairs that are observed equal have no order and are left out; a tie in the prediction is an error.
+    """
+    value = lambda end: df.select(*by, F.col(key).alias(end), F.col(observed).alias(f"o_{end}"), F.col(predicted).alias(f"p_{end}"))
+    j = pairs.select("i", "j").join(value("i"), "i").join(value("j"), [*by, "j"]).where(F.col("o_i") != F.col("o_j"))
+    right = F.signum(F.col("o_i") - F.col("o_j")) == F.signum(F.col("p_i") - F.col("p_j"))
+    return j.groupBy(*by).agg(F.count(F.lit(1)).alias("n_pairs"), F.avg(right.cast("double")).alias("accuracy"))
+
+
 def q2(df: DataFrame, by: Sequence[str], observed: str, predicted: str, null: str) -> DataFrame:
     e, z = F.col(observed) - F.col(predicted), F.col(observed) - F.col(null)
     s = df.groupBy(*by).agg(F.sum(e * e).alias("sse"), F.sum(z * z).alias("ss0"), F.count(F.lit(1)).alias("n"))

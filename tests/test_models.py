@@ -95,3 +95,16 @@ def test_fold_pca(spark):
 def test_runs_whole(spark, name, rows):
     got = run(spark, name)
     assert len(got) == rows and not got.isna().any().any()
+
+
+def test_ridge_on_columns_as_they_are():
+    """Unstandardised penalty against the normal equations of the weighted, centred design."""
+    from graticule.operators.linear import solve_ridge
+    rng = np.random.default_rng(6)
+    x, y, w = rng.normal(size=(80, 3)) * [1, 10, 0.1], rng.normal(size=80), rng.uniform(0.5, 2, 80)
+    v = np.column_stack([np.ones(80), x, y])
+    b0, b = solve_ridge((v * w[:, None]).T @ v, 80, [0, 1, 2], 2.0, standardise=False)
+    w = w / w.sum() * 80
+    mean, my = (w @ x) / 80, (w @ y) / 80
+    want = np.linalg.solve(((x - mean) * w[:, None]).T @ (x - mean) + 2.0 * np.eye(3), ((x - mean) * w[:, None]).T @ (y - my))
+    assert np.allclose(b, want) and np.isclose(b0, my - mean @ want)
