@@ -217,33 +217,39 @@ def _boxes(order: np.ndarray, group: np.ndarray) -> list[np.ndarray]:
     return np.split(order, np.flatnonzero(np.diff(group[order])) + 1)
 
 
-def search(node: np.ndarray, component: np.ndarray, size: np.ndarray, points: np.ndarray, similarity: Similarity) -> list[tuple[int, int]]:
-    """Pairs of different components that the summed minima of their points let link: boxes, then points."""
+def search(node: np.ndarray, component: np.ndarray, size: np.ndarray, points: np.ndarray, similarity: Similarity) -> np.ndarray:
+    """Pairs (2 x n, smaller node first) of different components that the summed minima of their points let link.
+
+    Boxes first: the largest counts of a component bound what any of its points shares with another's.  The
+    points of all boxes within reach are then compared at once.
+    """
     num, den = similarity.num, similarity.den
     boxes = _boxes(np.argsort(component, kind="stable"), component)
     top = np.array([points[b].max(axis=0) for b in boxes])
     least = np.array([size[b].min() for b in boxes])
-    out = []
+    out = [np.empty((2, 0), np.int64)]
     for x in range(len(boxes) - 1):
         reach = (num + den) * np.minimum(top[x], top[x + 1:]).sum(axis=1) >= num * (least[x] + least[x + 1:])
-        for y in np.flatnonzero(reach) + x + 1:
-            b = boxes[y]
-            for i in boxes[x]:
-                near = (num + den) * np.minimum(points[i], points[b]).sum(axis=1) >= num * (size[i] + size[b])
-                out += [(min(node[i], j), max(node[i], j)) for j in node[b[near]]]
-    return out
+        if not reach.any():
+            continue
+        others = np.concatenate([boxes[y] for y in np.flatnonzero(reach) + x + 1])
+        for i in boxes[x]:
+            near = others[(num + den) * np.minimum(points[i], points[others]).sum(axis=1) >= num * (size[i] + size[others])]
+            out.append(np.sort([np.full(len(near), node[i]), node[near]], axis=0))
+    return np.concatenate(out, axis=1)
 
 
-def _in_groups(b: pa.RecordBatch, ends: np.ndarray, found) -> list[tuple[int, int]]:
-    """``found`` on each stretch of rows that ends at one of ``ends``."""
+def _in_groups(b: pa.RecordBatch, ends: np.ndarray, found) -> pa.RecordBatch:
+    """What ``found`` finds, once each, on the stretches of rows that end at ``ends``."""
     node, c, n = (b.column(k).to_numpy() for k in range(3, 6))
     offsets, values = b.column(6).offsets.to_numpy(), b.column(6).values.to_numpy()
-    out, start = [], 0
+    out, start = [np.empty((2, 0), np.int64)], 0
     for end in ends:
         if end - start > 1:
-            out += found(node[start:end], c[start:end], n[start:end], offsets[start: end + 1], values)
+            out.append(found(node[start:end], c[start:end], n[start:end], offsets[start: end + 1], values))
         start = end
-    return out
+    pairs = np.unique(np.concatenate(out, axis=1), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
 
 def candidates(at: DataFrame, sets: DataFrame, similarity: Similarity) -> DataFrame:
@@ -254,7 +260,7 @@ def candidates(at: DataFrame, sets: DataFrame, similarity: Similarity) -> DataFr
     rows = rows.select("leaf", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "node", "c")
     rows = rows.join(sets.select("node", F.size("grams").alias("n"), "counts"), "node")
 
-    def found(node: np.ndarray, c: np.ndarray, n: np.ndarray, offsets: np.ndarray, values: np.ndarray) -> list[tuple[int, int]]:
+    def found(node: np.ndarray, c: np.ndarray, n: np.ndarray, offsets: np.ndarray, values: np.ndarray) -> np.ndarray:
         groups = int(np.diff(offsets).min())
         points = np.array([folded(values[x:y], groups) for x, y in zip(offsets[:-1], offsets[1:])])
         return search(node, c, n, points, similarity)
@@ -267,12 +273,10 @@ def candidates(at: DataFrame, sets: DataFrame, similarity: Similarity) -> DataFr
                 continue
             leaf, p, q = (b.column(k).to_numpy() for k in range(3))
             ends = np.flatnonzero((leaf[1:] != leaf[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1
-            pairs = _in_groups(b, ends, found)
             held = b.slice(ends[-1]) if len(ends) else b
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            yield _in_groups(b, ends, found)
         if held is not None:
-            pairs = _in_groups(held, np.array([held.num_rows]), found)
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            yield _in_groups(held, np.array([held.num_rows]), found)
 
     laid = rows.select("leaf", "p", "q", "node", "c", "n", "counts").repartition("leaf", "p", "q").sortWithinPartitions("leaf", "p", "q")
     return laid.mapInArrow(scan, "a long, b long").distinct()
