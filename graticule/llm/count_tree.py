@@ -49,6 +49,7 @@ GROUPS = 64  # coordinates of the coarse vector
 STEP = 1.35  # ratio of a size interval
 POSTED = 1e-4  # wanted share of documents that post their empty leaves
 TILE = 1024  # documents of a leaf compared in one task
+COPIED = 1_000_000  # up to this many ids of wanted documents are copied to all tasks
 
 
 class Similarity:
@@ -193,7 +194,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             grams = pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.int64()), grams, pa.array([coarse(s) for s in sets], pa.list_(pa.int32()))], names=["node", "grams", "counts"])
 
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
+    wanted = cut(wanted)  # ids only; beyond the bound the texts are shuffled to them instead
+    texts = docs.select("doc_id", "text").join(F.broadcast(wanted) if wanted.count() <= COPIED else wanted, "doc_id", "left_semi")
     return texts.mapInArrow(scan, "node long, grams array<long>, counts array<int>").dropDuplicates(["node"])
 
 
