@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from graticule.llm.batches import pieces
 from graticule.llm.ordering import same
 from graticule.llm.url_trees import host_of
 from graticule.plans.lineage import cut
@@ -205,7 +206,7 @@ def votes(pages: DataFrame) -> DataFrame:
     """host, path of the best container of each page."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             paths = [(n := best(parsed(p or ""))) and n.path() for p in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(paths, pa.string())], names=["host", "path"])
 
@@ -229,7 +230,7 @@ def extracted(pages: DataFrame) -> DataFrame:
         joined = rows.join(winners, same(F.col("host"), F.col("_host")) & (spread == F.col("_salt")), "left")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             paths, texts = [], []
             for page, path in zip(b.column(2).to_pylist(), b.column(4).to_pylist()):
                 blocks = parsed(page or "")

@@ -40,6 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from graticule.llm.batches import pieces
 from graticule.llm.ordering import same
 from graticule.llm.shingles import digest, mixed, shingles
 from graticule.operators.graph import connected_components
@@ -127,7 +128,7 @@ def members(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n_shingles, node (null without shingles)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             sets = [shingles(t, k) for t in _strings(b, "text")]
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "n_shingles", "node"])
 
@@ -140,7 +141,7 @@ def postings(docs: DataFrame, k: int, similarity: Similarity) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: list[tuple[int, int, int, int]] = []
         seen: set[int] = set()
-        for b in batches:
+        for b in pieces(batches):
             leaf, node = [], []
             for t in _strings(b, "text"):
                 s = shingles(t, k)
@@ -189,7 +190,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """node, grams, counts of one document per wanted node (doc_id)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             sets = [shingles(t, k) for t in _strings(b, "text")]
             grams = pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.int64()), grams, pa.array([coarse(s) for s in sets], pa.list_(pa.int32()))], names=["node", "grams", "counts"])

@@ -24,6 +24,8 @@ import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from graticule.llm.batches import pieces
+
 FOLDS = 5
 SNIPPETS, SNIPPET = 96, 1200
 CODER = {"min_match": 3, "strategy": zstandard.STRATEGY_BTOPT, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
@@ -96,7 +98,7 @@ def identified(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = coders(contents)
-        for b in batches:
+        for b in pieces(batches):
             told = [judge(t, made) for t in b.column(at).to_pylist()]
             extra = [pa.array([x[0] for x in told], pa.string()), pa.array([x[1] for x in told], pa.float64()), pa.array([x[2] for x in told], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*b.columns, *extra], names=[*b.schema.names, "lang_pred", "score", "rejected"])

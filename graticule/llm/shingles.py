@@ -4,7 +4,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-CACHE = 1 << 20  # words kept per Python worker
+CACHE = 1 << 17  # words kept per Python worker
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
 
