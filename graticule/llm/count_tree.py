@@ -48,7 +48,7 @@ from graticule.plans.lineage import cut
 
 GROUPS = 64  # coordinates of the coarse vector
 STEP = 1.35  # ratio of a size interval
-POSTED = 1e-4  # wanted share of documents that post their empty leaves
+POSTED = 1e-3  # wanted share of documents that post their empty leaves
 TILE = 1024  # documents of a leaf compared in one task
 COPIED = 1_000_000  # up to this many ids of wanted documents are copied to all tasks
 
@@ -187,17 +187,24 @@ def shared_leaves(posted: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """node, grams, counts of one document per wanted node (doc_id)."""
+    """node, grams, counts of one document per wanted node (doc_id).  A task gives a node once."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in pieces(batches):
-            sets = [shingles(t, k) for t in _strings(b, "text")]
+            sets = []
+            for s in (shingles(t, k) for t in _strings(b, "text")):
+                if (d := digest(s)) not in seen:
+                    seen.add(d)
+                    sets.append(s)
             grams = pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.int64()), grams, pa.array([coarse(s) for s in sets], pa.list_(pa.int32()))], names=["node", "grams", "counts"])
 
     wanted = cut(wanted)  # ids only; beyond the bound the texts are shuffled to them instead
     texts = docs.select("doc_id", "text").join(F.broadcast(wanted) if wanted.count() <= COPIED else wanted, "doc_id", "left_semi")
-    return texts.mapInArrow(scan, "node long, grams array<long>, counts array<int>").dropDuplicates(["node"])
+    found = cut(texts.mapInArrow(scan, "node long, grams array<long>, counts array<int>"))
+    # only rows that repeat a doc_id can bring a node twice
+    return found if found.count() == found.select("node").distinct().count() else cut(found.dropDuplicates(["node"]))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: Similarity) -> DataFrame:
@@ -293,7 +300,7 @@ def components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> Da
     posted = shared.select("leaf", "node").unionByName(shared.select("leaf", F.col("first").alias("node")).distinct())
     wanted = posted.select("node").distinct()
     ids = cut(found.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
-    sets = cut(sets_of(docs, ids.join(wanted, "node", "left_semi").select("doc_id"), k))
+    sets = sets_of(docs, ids.join(wanted, "node", "left_semi").select("doc_id"), k)
 
     stars = shared.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     links = cut(verified(stars, sets, similarity))
