@@ -186,39 +186,54 @@ def shared_leaves(posted: DataFrame) -> DataFrame:
     return posted.repartition("leaf").sortWithinPartitions("leaf", "node").mapInArrow(scan, "leaf long, node long, first long")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """node, grams, counts of one document per wanted node (doc_id).  A task gives a node once."""
+def _of_wanted(docs: DataFrame, wanted: DataFrame, k: int, column: str, kind: str, value) -> DataFrame:
+    """node and ``value`` of its shingles, for one document per wanted node (doc_id).  A task gives a node once."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in pieces(batches):
-            sets = []
+            nodes, values = [], []
             for s in (shingles(t, k) for t in _strings(b, "text")):
                 if (d := digest(s)) not in seen:
                     seen.add(d)
-                    sets.append(s)
-            grams = pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.int64()), grams, pa.array([coarse(s) for s in sets], pa.list_(pa.int32()))], names=["node", "grams", "counts"])
+                    nodes.append(d)
+                    values.append(value(s))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(values, pa.list_(pa.int64()))], names=["node", column])
 
     wanted = cut(wanted)  # ids only; beyond the bound the texts are shuffled to them instead
     texts = docs.select("doc_id", "text").join(F.broadcast(wanted) if wanted.count() <= COPIED else wanted, "doc_id", "left_semi")
-    found = cut(texts.mapInArrow(scan, "node long, grams array<long>, counts array<int>"))
+    found = cut(texts.mapInArrow(scan, f"node long, {column} array<long>")).withColumn(column, F.col(column).cast(kind))
     # only rows that repeat a doc_id can bring a node twice
     return found if found.count() == found.select("node").distinct().count() else cut(found.dropDuplicates(["node"]))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: Similarity) -> DataFrame:
-    """The pairs (a, b) that link: first the bound by summed minima, then the shingles."""
+def points_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """node, counts: the points of the wanted documents."""
+    return _of_wanted(docs, wanted, k, "counts", "array<int>", lambda s: coarse(s).astype(np.int64))
+
+
+def _side(df: DataFrame, x: str) -> DataFrame:
+    return df.select(*[F.col(c).alias(f"{x}_{c}" if c != "node" else x) for c in df.columns])
+
+
+def near(pairs: DataFrame, points: DataFrame, similarity: Similarity) -> DataFrame:
+    """The pairs (a, b) that the summed minima of their points let link; a point's sum is the size of its set."""
     num, den = similarity.num, similarity.den
-    side = lambda df, x: df.select(*[F.col(c).alias(f"{x}_{c}" if c != "node" else x) for c in df.columns])
-    points = sets.select("node", "counts", F.size("grams").alias("n"))
+    total = lambda c: F.aggregate(c, F.lit(0), lambda t, v: t + v)
     # over GROUPS coordinates for either length: every GROUPS-th count is folded onto the same group
     fold = lambda c: F.transform(F.sequence(F.lit(0), F.lit(GROUPS - 1)), lambda g: F.aggregate(F.sequence(F.lit(0), F.size(c) - GROUPS, F.lit(GROUPS)), F.lit(0), lambda t, j: t + F.get(c, j + g)))
-    points = points.withColumn("counts", F.when(F.size("counts") == GROUPS, F.col("counts")).otherwise(fold(F.col("counts"))))
-    minima = F.aggregate(F.zip_with("a_counts", "b_counts", lambda x, y: F.least(x, y)), F.lit(0), lambda t, v: t + v)
-    near = pairs.join(side(points, "a"), "a").join(side(points, "b"), "b").where((num + den) * minima >= num * (F.col("a_n") + F.col("b_n"))).select("a", "b")
-    grams = sets.select("node", "grams")
-    both = near.join(side(grams, "a"), "a").join(side(grams, "b"), "b")
+    points = points.select("node", F.when(F.size("counts") == GROUPS, F.col("counts")).otherwise(fold(F.col("counts"))).alias("counts"), total(F.col("counts")).alias("n"))
+    minima = total(F.zip_with("a_counts", "b_counts", lambda x, y: F.least(x, y)))
+    return pairs.join(_side(points, "a"), "a").join(_side(points, "b"), "b").where((num + den) * minima >= num * (F.col("a_n") + F.col("b_n"))).select("a", "b")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, ids: DataFrame, k: int, similarity: Similarity) -> DataFrame:
+    """The pairs (a, b) that link by their shingles; only texts of these pairs are read for it.  ``ids``: node, doc_id."""
+    num, den = similarity.num, similarity.den
+    pairs = cut(pairs)
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    grams = _of_wanted(docs, ids.join(nodes, "node", "left_semi").select("doc_id"), k, "grams", "array<long>", lambda s: s.astype(np.int64))
+    both = pairs.join(_side(grams, "a"), "a").join(_side(grams, "b"), "b")
     shared = F.size(F.array_intersect("a_grams", "b_grams"))
     return both.select("a", "b", shared.alias("s"), (F.size("a_grams") + F.size("b_grams")).alias("u")).where(den * F.col("s") >= num * (F.col("u") - F.col("s"))).select("a", "b")
 
@@ -262,13 +277,14 @@ def _in_groups(b: pa.RecordBatch, ends: np.ndarray, found) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
 
-def candidates(at: DataFrame, sets: DataFrame, similarity: Similarity) -> DataFrame:
+def candidates(at: DataFrame, points: DataFrame, similarity: Similarity) -> DataFrame:
     """Distinct pairs (a, b) of nodes that share a leaf, lie in different components and may link."""
     tiles = at.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
     rows = at.join(tiles, "leaf").withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     rows = rows.select("leaf", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "node", "c")
-    rows = rows.join(sets.select("node", F.size("grams").alias("n"), "counts"), "node")
+    size = F.aggregate("counts", F.lit(0).cast("long"), lambda t, v: t + v)
+    rows = rows.join(points.select("node", size.alias("n"), "counts"), "node")
 
     def found(node: np.ndarray, c: np.ndarray, n: np.ndarray, offsets: np.ndarray, values: np.ndarray) -> np.ndarray:
         groups = int(np.diff(offsets).min())
@@ -300,18 +316,18 @@ def components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> Da
     posted = shared.select("leaf", "node").unionByName(shared.select("leaf", F.col("first").alias("node")).distinct())
     wanted = posted.select("node").distinct()
     ids = cut(found.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
-    sets = sets_of(docs, ids.join(wanted, "node", "left_semi").select("doc_id"), k)
+    points = points_of(docs, ids.join(wanted, "node", "left_semi").select("doc_id"), k)
 
     stars = shared.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    links = cut(verified(stars, sets, similarity))
+    links = cut(verified(near(stars, points, similarity), docs, ids, k, similarity))
     label = connected_components(links)
     at = posted.join(label, "node", "left").select("leaf", "node", F.coalesce("component", "node").alias("c"))
     # two nodes of a leaf have met in the star already; leaves that hold the same nodes are searched once
     content = [F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("s"), F.min("c").alias("x"), F.max("c").alias("y")]
     open_leaves = at.groupBy("leaf").agg(*content).where("x <> y AND m > 2").groupBy("m", "s").agg(F.min("leaf").alias("leaf")).select("leaf")
     at = cut(at.join(open_leaves, "leaf", "left_semi"))
-    rest = candidates(at, sets, similarity).join(stars, ["a", "b"], "left_anti")
-    more = verified(rest, sets, similarity)
+    rest = candidates(at, points, similarity).join(stars, ["a", "b"], "left_anti")
+    more = verified(rest, docs, ids, k, similarity)
     whole = connected_components(links.unionByName(cut(more)))
 
     classes = ids.join(whole, "node", "left").withColumn("component", F.coalesce("component", "node"))
