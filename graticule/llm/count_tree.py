@@ -38,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from graticule.llm.batches import pieces
 from graticule.llm.ordering import same
@@ -308,6 +308,17 @@ def candidates(at: DataFrame, points: DataFrame, similarity: Similarity) -> Data
     return laid.mapInArrow(scan, "a long, b long").distinct()
 
 
+def _open(posted: DataFrame, label: DataFrame) -> DataFrame:
+    """leaf, node, c of the leaves that still hold several components.
+
+    Two nodes of a leaf have met in the star already; leaves that hold the same nodes are kept once.
+    """
+    at = posted.join(label, "node", "left").select("leaf", "node", F.coalesce("component", "node").alias("c"))
+    content = [F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("s"), F.min("c").alias("x"), F.max("c").alias("y")]
+    leaves_ = at.groupBy("leaf").agg(*content).where("x <> y AND m > 2").groupBy("m", "s").agg(F.min("leaf").alias("leaf")).select("leaf")
+    return at.join(leaves_, "leaf", "left_semi")
+
+
 def components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id: classes of documents reachable by links of similarity num/den."""
     similarity = Similarity(num, den)
@@ -320,12 +331,13 @@ def components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> Da
 
     stars = shared.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     links = cut(verified(near(stars, points, similarity), docs, ids, k, similarity))
-    label = connected_components(links)
-    at = posted.join(label, "node", "left").select("leaf", "node", F.coalesce("component", "node").alias("c"))
-    # two nodes of a leaf have met in the star already; leaves that hold the same nodes are searched once
-    content = [F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("s"), F.min("c").alias("x"), F.max("c").alias("y")]
-    open_leaves = at.groupBy("leaf").agg(*content).where("x <> y AND m > 2").groupBy("m", "s").agg(F.min("leaf").alias("leaf")).select("leaf")
-    at = cut(at.join(open_leaves, "leaf", "left_semi"))
+    at = _open(posted, connected_components(links))
+    # neighbours in a random order of each open leaf: near copies that miss their leaf's first node link with others
+    order = Window.partitionBy("leaf").orderBy(F.xxhash64("node", "leaf"), "node")
+    beside = at.select("node", "c", F.lag("node").over(order).alias("n2"), F.lag("c").over(order).alias("c2")).where("c <> c2")
+    beside = beside.select(F.least("node", "n2").alias("a"), F.greatest("node", "n2").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    links = links.unionByName(cut(verified(near(beside, points, similarity), docs, ids, k, similarity)))
+    at = cut(_open(posted, connected_components(links)))
     rest = candidates(at, points, similarity).join(stars, ["a", "b"], "left_anti")
     more = verified(rest, docs, ids, k, similarity)
     whole = connected_components(links.unionByName(cut(more)))
