@@ -133,6 +133,29 @@ def test_bm25_scores():
     assert np.allclose(got, [*want, *[0] * 10])
 
 
+def test_packing_brings_neighbours_together(spark):
+    """Copies and pairs with rare terms in common lie in one window or in the next one, whatever lies between them in the table."""
+    r = random.Random(5)
+    vocabulary = [w[1:] for w, _ in sorted(Tokenizer.from_file(BPE).get_vocab().items(), key=lambda x: x[1]) if len(w) > 4 and w[0] == "\u0120" and w[1:].isascii() and w[1:].isalpha()]
+    common, rare = vocabulary[:60], iter(vocabulary[-200:])
+    prose = lambda: [r.choice(common) for _ in range(r.randint(60, 120))]
+    texts = [" ".join(prose()) for _ in range(2000)]
+    pairs = []
+    for k in range(40):
+        marks = [next(rare) for _ in range(6)] if k % 2 else []
+        one = prose() + marks
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [" ".join(one), " ".join(prose() + marks if marks else one)]
+    ids = list(range(len(texts)))
+    r.shuffle(ids)
+    docs = spark.createDataFrame([(i, t) for i, t in zip(ids, texts)], "doc_id long, text string").repartition(8)
+    at = collections.defaultdict(set)
+    for p in retrieval_packing.packed(docs, BPE).collect():
+        at[p.doc_id].add(p.sequence_id)
+    apart = [(a, b) for a, b in pairs if min(abs(x - y) for x in at[ids[a]] for y in at[ids[b]]) > 1]
+    assert not apart
+
+
 def sketch_brute(text):
     """The fingerprint from its definition."""
     signed = lambda h: h - (1 << 64) if h >> 63 else h
