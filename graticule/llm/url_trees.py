@@ -19,9 +19,12 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
 from graticule.functions.arrays import let
+from graticule.plans.lineage import cut
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BOUND = 200_000  # labelled urls that the trees are fitted on
+BOUND = 200_000  # labelled rows that the trees are fitted on
+SMALL = 100_000  # suffix values that are broadcast; more are joined by salted shuffles
+SALTS = 8
 LEAST = 20  # labelled urls behind a suffix statistic
 SMOOTH = 10.0
 
@@ -75,12 +78,25 @@ def lexical(urls: DataFrame, url: str) -> DataFrame:
         "depth": F.regexp_count(path, F.lit("/[^/]")), "path_length": F.length(path), "digit_ratio": F.regexp_count(u, F.lit("[0-9]")) / F.greatest(F.length(u), F.lit(1)),
         "bits": entropy(u), "parameters": F.regexp_count(asked, F.lit("[^&=]+=?[^&]*")), "query_length": F.length(asked), "fragment": F.instr(u, "#"),
     }
-    names = {"last_label": F.regexp_extract(host, r"([^.]*)$", 1), "last_two": F.regexp_extract(host, r"([^.]*\.?[^.]*)$", 1), "first_segment": F.regexp_extract(path, r"^/([^/]*)/", 1)}
-    return urls.withColumns({k: v.cast("double") for k, v in values.items()} | names)
+    return suffixed(urls.withColumns({k: v.cast("double") for k, v in values.items()}))
+
+
+def suffixed(urls: DataFrame) -> DataFrame:
+    host, path = F.col("host"), F.col("path")
+    return urls.withColumns({"last_label": F.regexp_extract(host, r"([^.]*)$", 1), "last_two": F.regexp_extract(host, r"([^.]*\.?[^.]*)$", 1), "first_segment": F.regexp_extract(path, r"^/([^/]*)/", 1)})
+
+
+def sampled(labelled: DataFrame, n: int, url: str = "url") -> DataFrame:
+    """About BOUND of ``n`` labelled rows, all if they are fewer: of the rows of one url its share, chosen by content."""
+    share = min(1.0, BOUND / n)
+    counted = labelled.groupBy(url, "host", "path", "blocked").agg(F.count(F.lit(1)).alias("_n"))
+    drawn = F.pmod(F.xxhash64(url), F.lit(1 << 30)) / float(1 << 30)
+    copies = F.floor(F.col("_n") * share + drawn).cast("int") if share < 1 else F.col("_n").cast("int")
+    return counted.withColumn("_k", F.explode(F.array_repeat(F.lit(0), copies))).drop("_n", "_k")
 
 
 class UrlTrees:
-    """Trees over lexical features.  ``fit`` reads labelled urls (column ``blocked`` 0/1), at most about BOUND of them."""
+    """Trees over lexical features.  Suffix statistics are of all labelled urls (column ``blocked`` 0/1), the trees are fitted on about BOUND of them."""
 
     def __init__(self, rounds: int = 12, depth: int = 4, seed: int = 7):
         self.rounds, self.depth, self.seed = rounds, depth, seed
@@ -92,15 +108,15 @@ class UrlTrees:
         self.constant = float(counts["n"] > 0 and 2 * counts["b"] > counts["n"])
         if counts["b"] in (0, counts["n"]):
             return self
-        if counts["n"] > BOUND:  # by content, so equal urls stay or go together
-            labelled = labelled.where(F.pmod(F.xxhash64(url), F.lit(counts["n"])) < BOUND)
         prior = counts["b"] / counts["n"]
-        labelled = lexical(labelled, url).persist()
-        for s in SUFFIXES:
-            # a value needs LEAST of the bounded sample behind it, so this holds at most BOUND / LEAST rows
-            rate = (F.sum("blocked") + F.lit(SMOOTH * prior)) / (F.count(F.lit(1)) + SMOOTH)
-            self.stats[s] = labelled.groupBy(s).agg(rate.alias(f"{s}_rate"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= LEAST).drop("_n")
+        each = F.explode(F.array(*[F.struct(F.lit(s).alias("kind"), F.col(s).alias("value")) for s in SUFFIXES]))
+        rate = (F.sum("blocked") + F.lit(SMOOTH * prior)) / (F.count(F.lit(1)) + SMOOTH)
+        told = suffixed(labelled.select("host", "path", "blocked")).select(each.alias("s"), "blocked").groupBy("s.kind", "s.value")
+        told = cut(told.agg(rate.alias("rate"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST).select("kind", "value", "rate"))
+        self.small = told.count() <= SMALL
+        self.stats = {s: told.where(F.col("kind") == s).select(F.col("value").alias(s), F.col("rate").alias(f"{s}_rate")) for s in SUFFIXES}
         self.prior = prior
+        labelled = lexical(sampled(labelled, counts["n"], url), url).persist()
         train = self._vectors(labelled).select("features", F.col("blocked").cast("double").alias("label")).orderBy(F.xxhash64("features", "label"))
         self.model = GBTClassifier(maxIter=self.rounds, maxDepth=self.depth, seed=self.seed, stepSize=0.3).fit(train)
         labelled.unpersist()
@@ -108,7 +124,12 @@ class UrlTrees:
 
     def _vectors(self, urls: DataFrame) -> DataFrame:
         for s in SUFFIXES:
-            urls = urls.join(F.broadcast(self.stats[s]), s, "left").fillna({f"{s}_rate": self.prior})
+            if self.small:
+                urls = urls.join(F.broadcast(self.stats[s]), s, "left")
+            else:  # a value that many urls share is spread over SALTS tasks
+                salted = self.stats[s].withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+                urls = urls.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(salted, [s, "_salt"], "left").drop("_salt")
+            urls = urls.fillna({f"{s}_rate": self.prior})
         return VectorAssembler(inputCols=LEXICAL + [f"{s}_rate" for s in SUFFIXES], outputCol="features").transform(urls)
 
     def blocked(self, urls: DataFrame, url: str = "url") -> DataFrame:

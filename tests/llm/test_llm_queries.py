@@ -321,3 +321,21 @@ def test_pipeline_against_replay(spark, texts):
     for i, p in packed.groupby("doc_id"):
         assert p.length.sum() == p.doc_tokens.iloc[0] * copies[i]
     assert set(packed.doc_id) == set(mixed.doc_id)
+
+
+def test_url_statistics_of_all_rows(spark, monkeypatch):
+    """Suffixes are counted over all labelled urls, however few the trees are fitted on; a heavy url keeps its share of those."""
+    monkeypatch.setattr(url_trees, "BOUND", 300)
+    rows = [(f"https://h{k % 60}.site{k % 60}.net/x/{k}", k % 60 % 2) for k in range(2000)] + [("https://one.heavy.org/a/b", 0)] * 1000
+    df = url_trees.with_rules(spark.createDataFrame(rows, "url string, blocked long"), [])
+    trees = url_trees.UrlTrees(rounds=1).fit(df)
+    got = {r["last_two"]: r["last_two_rate"] for r in trees.stats["last_two"].collect()}
+    assert got.keys() == {f"site{k}.net" for k in range(60)} | {"heavy.org"}
+    counts = collections.Counter(f"site{k % 60}.net" for k in range(2000))
+    prior = sum(b for _, b in rows) / 3000
+    assert all(abs(got[f"site{k}.net"] - (counts[f"site{k}.net"] * (k % 2) + 10 * prior) / (counts[f"site{k}.net"] + 10)) < 1e-9 for k in range(60))
+    some = [r["url"] for r in url_trees.sampled(df, 3000).collect()]
+    assert 240 <= len(some) <= 360 and 99 <= sum("heavy" in u for u in some) <= 101
+    small = {r["url"]: r["prediction"] for r in trees.blocked(df).collect()}
+    trees.small = False
+    assert small == {r["url"]: r["prediction"] for r in trees.blocked(df).collect()}
