@@ -133,6 +133,14 @@ def test_bm25_scores():
     assert np.allclose(got, [*want, *[0] * 10])
 
 
+def test_bm25_with_statistics_of_the_corpus():
+    """A term that most documents of a block hold still ties them together, by the weight that the corpus gives it."""
+    docs = [np.array([5, 100 + k, 0]) for k in range(8)]
+    idf = np.linspace(1, 2, 1 << 16).astype(np.float32)
+    got = retrieval_packing.Shard(docs, idf, 4.0).scores(0)
+    assert np.allclose(got, idf[5] * (retrieval_packing.K1 + 1) / (1 + retrieval_packing.K1 * (1 - retrieval_packing.B + retrieval_packing.B * 2 / 4)))
+
+
 def test_packing_brings_neighbours_together(spark):
     """Copies and pairs with rare terms in common lie in one window or in the next one, whatever lies between them in the table."""
     r = random.Random(5)
