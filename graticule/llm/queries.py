@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from graticule.llm import chat, consensus_html, count_tree, language, mixture, order_minhash, permutation_index, retrieval_packing, site_lines, url_trees
+from graticule.llm import chat, consensus_html, count_tree, golay_simhash, language, mixture, order_minhash, permutation_index, retrieval_packing, site_lines, url_trees
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -126,3 +126,8 @@ def op7_permutation_index(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_order_minhash")
 def op3_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return order_minhash.edit_report(table(spark, folder, "documents"))
+
+
+@query("op13_golay_simhash")
+def op13_golay_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return golay_simhash.components(table(spark, folder, "documents"))
