@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from graticule.llm import chat, consensus_html, count_tree, golay_simhash, language, mixture, order_minhash, permutation_index, retrieval_packing, site_lines, url_trees
+from graticule.llm import chat, collocations, consensus_html, count_tree, golay_simhash, language, mixture, order_minhash, permutation_index, retrieval_packing, site_lines, token_alignment, url_trees
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -131,3 +131,26 @@ def op3_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
 @query("op13_golay_simhash")
 def op13_golay_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return golay_simhash.components(table(spark, folder, "documents"))
+
+
+@query("op11_token_alignment")
+def op11_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return token_alignment.report(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op12_collocations", r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?
+-]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[ 	]+'), lambda x: x <> '') AS words FROM pieces),
+totals AS (SELECT lang, sum(len(words))::BIGINT AS n FROM w GROUP BY lang),
+grams AS (SELECT lang, m, i, words FROM w, (SELECT unnest(range(1, 6)) AS m) orders, unnest(range(1, len(words) - m + 2)) AS t(i)),
+f AS (SELECT lang, m, array_to_string(words[i : i + m - 1], ' ') AS phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS words FROM f WHERE m >= 2),
+kept AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c x WHERE x.lang = c.lang AND x.m > c.m AND x.a >= c.a AND contains(' ' || x.phrase || ' ', ' ' || c.phrase || ' '))),
+cuts AS (SELECT kept.lang, kept.phrase, kept.a, n, l.f AS l, r.f AS r, k, (1000::HUGEINT * kept.a * n) // (l.f::HUGEINT * r.f) AS score
+    FROM kept JOIN totals ON totals.lang = kept.lang, unnest(range(1, kept.m)) AS t(k) JOIN f l ON l.lang = kept.lang AND l.phrase = array_to_string(kept.words[1 : k], ' ') JOIN f r ON r.lang = kept.lang AND r.phrase = array_to_string(kept.words[k + 1 : ], ' ')),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM lowest QUALIFY rank <= 2000""")
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
