@@ -13,6 +13,7 @@ from graticule.functions import arrays as A
 from graticule.functions import process as P
 from graticule.functions.hashing import pick, uniform
 from graticule.operators import graph as G
+from graticule.operators import permutations as N
 from graticule.operators import resampling as B
 from graticule.operators import summaries as R
 from graticule.plans import order_stats as O
@@ -255,3 +256,54 @@ def unordered_pair_sample(t):
     n = t.embeddings.agg(F.count(F.lit(1)).alias("n")).scalar()
     d = t.embeddings.select(F.col("vec_id").alias("draw"), pick(n, 61, "i", F.col("vec_id")).alias("i"), pick(n - 1, 61, "j", F.col("vec_id")).alias("j"))
     return d.select("draw", "i", F.when(F.col("j") >= F.col("i"), F.col("j") + 1).otherwise(F.col("j")).alias("j"))
+
+
+def recursive(statement: str) -> str:
+    return statement.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+KEYED = 99  # replicates of the checked twins; bench.py runs 10,000
+
+
+@query("B6_perm_p_keyed", "observed:d p_upper:d p_lower:d n_null:l", recursive(f"WITH {UNITS}, rows AS (SELECT block AS g, l_suppkey, sy / n AS m, row_number() OVER (PARTITION BY block ORDER BY l_suppkey) - 1 AS i, count(*) OVER (PARTITION BY block) AS n FROM un), vx AS (SELECT block AS g, x, row_number() OVER (PARTITION BY block ORDER BY x) - 1 AS v FROM un), "
+    + N.duck_partners("rows", 29, KEYED) + f""", st AS (SELECT rep, corr(vx.x, m) AS stat FROM bij JOIN rows USING (g, i) JOIN vx USING (g, v) GROUP BY rep), ob AS (SELECT corr(x, sy / n) AS o FROM un)
+SELECT any_value(o) AS observed, (1 + count(*) FILTER (stat >= o - 1e-12)) / {KEYED + 1}.0 AS p_upper, (1 + count(*) FILTER (stat <= o + 1e-12)) / {KEYED + 1}.0 AS p_lower, count(*) AS n_null FROM st, ob"""))
+def perm_p_keyed(t, reps=KEYED):
+    """Correlation of two unit means, one reassigned inside its block; replicates are computed from row indices."""
+    u = units(t).select("block", "l_suppkey", "x", (F.col("sy") / F.col("n")).alias("m"))
+    null = N.block_correlation(u, "block", "l_suppkey", "x", "m", reps, 29)
+    return B.permutation_p(null, u.agg(F.corr("x", "m").alias("o")).scalar())
+
+
+@query("B7_tv_perm_p_keyed", "t_obs:d p_value:d t_null_median:d", recursive(sql("fact", CL1 + f""", rows AS (SELECT 0 AS g, target, row_number() OVER (ORDER BY md5(target), target) - 1 AS i, count(*) OVER () AS n FROM fu), vk AS (SELECT klass, row_number() OVER (ORDER BY klass) - 1 AS v FROM fu), {N.duck_partners("rows", 31, KEYED)},
+pk AS (SELECT target, rep, klass, count(*) AS c FROM bij JOIN rows USING (i) JOIN vk USING (v) GROUP BY ALL), kl AS (SELECT unnest(['INVALID', 'OUT', 'm1', 'm2', 'm3']) AS klass), nt AS (SELECT target, count(*) AS n FROM fu GROUP BY 1),
+qn AS (SELECT n.target, r.rep, k.klass, coalesce(pk.c, 0) / n.n AS q FROM nt n, range({KEYED}) AS r(rep), kl k LEFT JOIN pk ON pk.target = n.target AND pk.rep = r.rep AND pk.klass = k.klass), qb AS (SELECT target, klass, avg(q) AS b FROM qn GROUP BY ALL),
+qo AS (SELECT n.target, k.klass, coalesce(c.c, 0) / n.n AS q FROM nt n, kl k LEFT JOIN (SELECT target, klass, count(*) AS c FROM fu GROUP BY ALL) c ON c.target = n.target AND c.klass = k.klass), w AS (SELECT target, n / sum(n) OVER () AS w FROM nt),
+ob AS (SELECT sum(w * abs(q - b)) / 2 AS t FROM qo JOIN qb USING (target, klass) JOIN w USING (target)), st AS (SELECT rep, sum(w * abs(q - b)) / 2 AS t FROM qn JOIN qb USING (target, klass) JOIN w USING (target) GROUP BY rep)
+SELECT any_value(ob.t) AS t_obs, (1 + count(*) FILTER (st.t >= ob.t - 1e-12)) / {KEYED + 1}.0 AS p_value, median(st.t) AS t_null_median FROM st, ob""")))
+def tv_perm_p_keyed(t, reps=KEYED):
+    """As ``tv_perm_p``; a replicate is counted from the index ranges of targets and classes, rows are read once."""
+    full = classed(t).where("model = 'full'").select("target", "klass")
+    return B.weighted_tv(full, "target", "klass", KL, cut(N.class_counts(full, "target", "klass", KL, reps, 31)))
+
+
+@query("B9_moran_perm_p_keyed", "observed:d p_upper:d p_lower:d n_null:l", recursive(sql("pair", GRAPH + f""", rows AS (SELECT 0 AS g, vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS i, count(*) OVER () AS n FROM emb), vz AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS v FROM emb), {N.duck_partners("rows", 37, KEYED)},
+z AS (SELECT vec_id, rep, label - avg(label) OVER (PARTITION BY rep) AS zc FROM bij JOIN rows USING (i) JOIN vz USING (v)), st AS (SELECT a.rep, sum(w * a.zc * b.zc) AS num FROM wt JOIN z a ON a.vec_id = src JOIN z b ON b.vec_id = dst AND b.rep = a.rep GROUP BY a.rep),
+z0 AS (SELECT vec_id, label - avg(label) OVER () AS zc FROM emb), dd AS (SELECT sum(zc * zc) AS dd FROM z0), o AS (SELECT sum(w * a.zc * b.zc) / any_value(dd) AS o FROM dd, wt JOIN z0 a ON a.vec_id = src JOIN z0 b ON b.vec_id = dst)
+SELECT any_value(o) AS observed, (1 + count(*) FILTER (num / dd >= o - 1e-12)) / {KEYED + 1}.0 AS p_upper, (1 + count(*) FILTER (num / dd <= o + 1e-12)) / {KEYED + 1}.0 AS p_lower, count(*) AS n_null FROM st, o, dd""")))
+def moran_perm_p_keyed(t, reps=KEYED):
+    """Values move over the nodes of a fixed graph; an edge is a row, replicates are columns of one product."""
+    wt = cut(symmetric_graph(t))
+    v = t.embeddings.select("vec_id", F.col("label").cast("double").alias("z"))
+    return B.permutation_p(N.moran_null(v, wt, "vec_id", "z", reps, 37), G.moran(v, wt, [], "vec_id", "z").scalar())
+
+
+@query("B10_auroc_perm_p_keyed", "observed:d p_two_sided:d", recursive(f"""WITH d AS (SELECT n_chars, quality, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2 AS rk, row_number() OVER (ORDER BY n_chars) - 1 AS i FROM documents JOIN labels USING (doc_id) WHERE n_chars IS NOT NULL), m AS (SELECT sum(quality) AS p, count(*) - sum(quality) AS q FROM d), rows AS (SELECT 0 AS g, i, count(*) OVER () AS n FROM d), {N.duck_partners("rows", 41, KEYED)},
+st AS (SELECT rep, (sum(rk) FILTER (v < p) - any_value(p) * (any_value(p) + 1) / 2) / (any_value(p) * any_value(q)) AS a FROM bij JOIN d USING (i), m GROUP BY rep), o AS (SELECT (sum(rk * quality) - any_value(p) * (any_value(p) + 1) / 2) / (any_value(p) * any_value(q)) AS o FROM d, m)
+SELECT any_value(o) AS observed, (1 + count(*) FILTER (abs(a - 0.5) >= abs(o - 0.5) - 1e-12)) / {KEYED + 1}.0 AS p_two_sided FROM st, o"""))
+def auroc_perm_p_keyed(t, reps=KEYED):
+    d = t.documents.select("doc_id", "n_chars").join(t.labels, "doc_id").where("n_chars IS NOT NULL")
+    ranks = O.with_average_rank(d, [], "n_chars", "rk")
+    p, q = F.sum("quality").cast("double"), (F.count(F.lit(1)) - F.sum("quality")).cast("double")
+    obs = ranks.agg(((F.sum(F.col("rk") * F.col("quality")) - p * (p + 1) / 2) / (p * q)).alias("o")).scalar()
+    return B.two_sided_p(N.rank_auroc(d, "n_chars", F.col("quality") == 1, reps, 41), obs, 0.5)

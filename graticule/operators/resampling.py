@@ -75,10 +75,37 @@ def permutation_p(null: DataFrame, observed: Column, stat: str = "stat") -> Data
     """(1 + #{null >= obs}) / (1 + n), the lower-tail twin, skipping undefined replicates."""
     ok = F.col(stat).isNotNull() & ~F.isnan(stat)
     n = F.count_if(ok)
-    up, low = F.count_if(ok & (F.col(stat) >= F.col("_obs"))), F.count_if(ok & (F.col(stat) <= F.col("_obs")))
+    up, low = F.count_if(ok & (F.col(stat) >= F.col("_obs") - EVEN)), F.count_if(ok & (F.col(stat) <= F.col("_obs") + EVEN))
     return null.withColumn("_obs", observed).agg(F.max("_obs").alias("observed"), ((1 + up) / (1 + n)).alias("p_upper"), ((1 + low) / (1 + n)).alias("p_lower"), n.alias("n_null"))
 
 
+EVEN = 1e-12  # replicates equal to the observed value up to summation order count as reaching it
+
+
+def two_sided_p(null: DataFrame, observed: Column, centre: float, stat: str = "stat") -> DataFrame:
+    """(observed, p_two_sided): share of replicates at least as far from the centre, the observed one included."""
+    far = F.abs(F.col(stat) - centre) >= F.abs(F.col("_obs") - centre) - EVEN
+    return null.where(F.col(stat).isNotNull()).withColumn("_obs", observed).agg(F.max("_obs").alias("observed"), ((1 + F.count_if(far)) / (1 + F.count(F.lit(1)))).alias("p_two_sided"))
+
+
+def weighted_tv(df: DataFrame, group: str, klass: str, classes: Sequence[str], null_counts: DataFrame) -> DataFrame:
+    """(t_obs, p_value, t_null_median): distance of each group's class shares from the pooled null centre, weighted by group size.
+
+    ``null_counts`` holds (group, rep, c0, c1, ...) as ``permutations.class_counts`` gives them.
+    """
+    names = [f"c{k}" for k in range(len(classes))]
+    real = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), *[(F.count_if(F.col(klass) == k) / F.count(F.lit(1))).alias(f"q{i}") for i, k in enumerate(classes)])
+    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    real = real.withColumn("w", F.col("_n") / total)
+    share = null_counts.join(real.select(group, "_n", "w"), group).select(group, "rep", "w", *[(F.col(c) / F.col("_n")).alias(f"q{i}") for i, c in enumerate(names)])
+    centre = share.groupBy(group).agg(*[F.avg(f"q{i}").alias(f"b{i}") for i in range(len(classes))])
+    away = F.sum(F.col("w") * tv([F.col(f"q{i}") for i in range(len(classes))], [F.col(f"b{i}") for i in range(len(classes))]))
+    observed = real.join(centre, group).agg(away.alias("t")).scalar()
+    stats = share.join(centre, group).groupBy("rep").agg(away.alias("t"))
+    p = stats.withColumn("o", observed).agg(F.max("o").alias("t_obs"), ((1 + F.count_if(F.col("t") >= F.col("o") - EVEN)) / (1 + F.count(F.lit(1)))).alias("p_value"))
+    return p.withColumn("t_null_median", O.median(stats, [], "t", "m").scalar())
+
+
 def tv(a: Sequence[Column], b: Sequence[Column]) -> Column:
     """Total variation distance of two probability vectors."""
     parts = [F.abs(x - y) for x, y in zip(a, b)]
