@@ -9,8 +9,10 @@ from graticule.catalog.fixtures import fold_facts, order_frame, sql
 from graticule.catalog.registry import query
 from graticule.functions import arrays as A
 from graticule.functions.hashing import draw_key
+from graticule.operators import fitted as M
 from graticule.operators import folds as K
 from graticule.operators import linear as L
+from graticule.operators import permutations as N
 from graticule.operators import resampling as B
 from graticule.plans import order_stats as O
 
@@ -404,3 +406,68 @@ def admissible_distribution(t):
     share = lambda x: F.avg(x.cast("double"))
     return best.join(c.withColumnRenamed("g", "held"), ["held", "param"]).groupBy("held").agg(
         share(~F.col("valid")).alias("q_invalid"), share(F.col("valid") & (F.col("loss") < 50)).alias("q_small"), share(F.col("valid") & (F.col("loss") >= 50)).alias("q_large"), F.count(F.lit(1)).alias("n"))
+
+
+BENT = "o AS (SELECT id, x1, x2, y, x2 * x2 AS s2 FROM ord), mo AS (SELECT avg(x1) AS m1, avg(s2) AS m2, avg(y) AS my, var_pop(x1) AS v1, var_pop(s2) AS v2, covar_pop(x1, s2) AS c12, covar_pop(x1, y) AS c1, covar_pop(s2, y) AS c2 FROM o), bt AS (SELECT (c1 * v2 - c12 * c2) / (v1 * v2 - c12 * c12) AS b1, (c2 * v1 - c12 * c1) / (v1 * v2 - c12 * c12) AS b2, * FROM mo), md AS (SELECT my - b1 * m1 - b2 * m2 AS a, b1, b2, m1, m2 FROM bt)"
+
+
+def bent(t):
+    """In-sample model of x1 and the square of x2."""
+    s = L.moments(order_frame(t), [], M.squares(("x1", "x2")), F.col("y"))
+    return M.linear_models(L.fit(L.whole(s), {"bent": [0, 3]}, [0.0]), 4, [0, 3], "square")
+
+
+@query("M20_pdp_over_rows", "feature:s k:l x:d response:d n:l", sql("ord", BENT + """, p AS (SELECT k, 0.05 + k * 0.1 AS q FROM range(10) AS g(k)), gr AS (SELECT DISTINCT 'x1' AS feature, x FROM (SELECT unnest(quantile_cont(x1, [0.05, 0.15, 0.25, 0.35, 0.45, 0.55, 0.65, 0.75, 0.85, 0.95])) AS x FROM o) UNION ALL SELECT DISTINCT 'x2', x FROM (SELECT unnest(quantile_cont(x2, [0.05, 0.15, 0.25, 0.35, 0.45, 0.55, 0.65, 0.75, 0.85, 0.95])) AS x FROM o)),
+nn AS (SELECT count(*) AS n FROM o) SELECT feature, row_number() OVER (PARTITION BY feature ORDER BY x) - 1 AS k, x, CASE feature WHEN 'x1' THEN a + b1 * x + b2 * m2 ELSE a + b1 * m1 + b2 * x * x END AS response, n FROM gr, md, nn"""))
+def pdp_over_rows(t):
+    """Predictions of a fitted model averaged over all rows, on quantile grids of both columns."""
+    df = order_frame(t)
+    return M.partial_dependence(df, bent(t), ("x1", "x2"), M.quantile_points(df, ("x1", "x2"), [0.05 + 0.1 * k for k in range(10)]))
+
+
+@query("M21_ale_bins", "feature:s bin:l lo:d hi:d n:l effect:d", sql("ord", BENT + """, qs AS (SELECT quantile_cont(x1, [0.0, 0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875, 1.0]) AS q1, quantile_cont(x2, [0.0, 0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875, 1.0]) AS q2 FROM o),
+ed AS (SELECT feature, list_sort(list_distinct(q)) AS e FROM (SELECT 'x1' AS feature, q1 AS q FROM qs UNION ALL SELECT 'x2', q2 FROM qs)), v AS (SELECT 'x1' AS feature, x1 AS x FROM o UNION ALL SELECT 'x2', x2 FROM o),
+b AS (SELECT feature, least(len(list_filter(e, lambda z: z <= x)), len(e) - 1) AS b, e FROM v JOIN ed USING (feature)), d AS (SELECT feature, b - 1 AS bin, e[b] AS lo, e[b + 1] AS hi, CASE feature WHEN 'x1' THEN b1 * (e[b + 1] - e[b]) ELSE b2 * (e[b + 1] * e[b + 1] - e[b] * e[b]) END AS d FROM b, md),
+m AS (SELECT feature, bin, any_value(lo) AS lo, any_value(hi) AS hi, count(*) AS n, avg(d) AS d FROM d GROUP BY feature, bin), c AS (SELECT *, sum(d) OVER (PARTITION BY feature ORDER BY bin) AS acc FROM m) SELECT feature, bin, lo, hi, n, acc - sum(acc * n) OVER (PARTITION BY feature) / sum(n) OVER (PARTITION BY feature) AS effect FROM c"""))
+def ale_bins(t):
+    """Accumulated local effects of a fitted model between quantile edges; tasks hand on sums and counts per bin."""
+    return M.accumulated_effects(order_frame(t), bent(t), ("x1", "x2"), 8)
+
+
+@query("M20_additive_curves", "feature:s k:l x:d response:d")
+def additive_curves(t):
+    """Spline model along 25 quantiles of each column, the other columns at their mean."""
+    df = order_frame(t)
+    return M.response_at_means(df, M.additive_model(df, X, "y"), X, M.quantile_points(df, X, np.linspace(0.05, 0.95, 25)))
+
+
+def forest_model(t):
+    """A small forest of pyspark.ml with its nodes exported into the model table."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import RandomForestRegressor
+    df = order_frame(t).withColumn("x3", F.col("x3").cast("double"))
+    data = VectorAssembler(inputCols=list(X), outputCol="features").transform(df)
+    model = RandomForestRegressor(featuresCol="features", labelCol="y", numTrees=10, maxDepth=4, seed=5).fit(data)
+    return M.model_table(t.spark, [{"model": "forest", "kind": "trees", "intercept": 0.0, "trees": M.exported_trees(model)}])
+
+
+@query("M20_forest_curves", "curve:s feature:s k:l x:d response:d n:l")
+def forest_curves(t):
+    """Partial dependence and accumulated effects of a forest; columns of few values use them as their grid."""
+    df, forest = order_frame(t), forest_model(t)
+    p = M.partial_dependence(df, forest, X, M.quantile_points(df, X, np.linspace(0.05, 0.95, 12), few=12)).select(F.lit("pdp").alias("curve"), "feature", "k", "x", "response", "n")
+    a = M.accumulated_effects(df, forest, X, 8).select(F.lit("ale").alias("curve"), "feature", F.col("bin").alias("k"), ((F.col("lo") + F.col("hi")) / 2).alias("x"), F.col("effect").alias("response"), "n")
+    return p.unionByName(a)
+
+
+IMPORTANCE = 10
+
+
+@query("M19_importance", "feature:s fold:l q2_base:d q2_perm:d importance:d", sql("ord", TR2.replace("10.0::DOUBLE", "1.0::DOUBLE") + f""", rows AS (SELECT fold AS g, id, x1, x2, y, row_number() OVER (PARTITION BY fold ORDER BY id) - 1 AS i, count(*) OVER (PARTITION BY fold) AS n FROM r), {N.duck_partners("rows", 83, IMPORTANCE)},
+mv AS (SELECT b.rep, a.g, a.y, a.x1, a.x2, s.x1 AS z1, s.x2 AS z2 FROM bij b JOIN rows a USING (g, i) JOIN rows s ON s.g = b.g AND s.i = b.v), pr AS (SELECT g, rep, y, my, my + b1 * (x1 - m1) / s1 + b2 * (x2 - m2) / s2 AS p0, my + b1 * (z1 - m1) / s1 + b2 * (x2 - m2) / s2 AS p1, my + b1 * (x1 - m1) / s1 + b2 * (z2 - m2) / s2 AS p2 FROM mv JOIN cf ON cf.k = g),
+q AS (SELECT g, rep, 1 - sum(pow(y - p0, 2)) / sum(pow(y - my, 2)) AS q0, 1 - sum(pow(y - p1, 2)) / sum(pow(y - my, 2)) AS q1, 1 - sum(pow(y - p2, 2)) / sum(pow(y - my, 2)) AS q2 FROM pr GROUP BY g, rep)
+SELECT 'x1' AS feature, g AS fold, avg(q0) AS q2_base, avg(q1) AS q2_perm, avg(q0) - avg(q1) AS importance FROM q GROUP BY g UNION ALL SELECT 'x2', g, avg(q0), avg(q2), avg(q0) - avg(q2) FROM q GROUP BY g""").replace("WITH ", "WITH RECURSIVE ", 1))
+def importance(t):
+    """Ten computed permutations per test fold; one join of rows x replicates serves all columns."""
+    fits = M.linear_models(ridge_fits(t, ("x1", "x2"), (1.0,)), 2)
+    return M.permutation_importance(frame(t), fits, ("x1", "x2"), "y", "fold", "id", IMPORTANCE, 83)
