@@ -9,6 +9,7 @@ from graticule.catalog.fixtures import maps, order_frame, signals, sql
 from graticule.catalog.registry import query
 from graticule.functions import arrays as A
 from graticule.operators import graph as G
+from graticule.plans import cells as C
 from graticule.plans import order_stats as O
 from graticule.plans import tiles as T
 from graticule.plans.scalars import one_row
@@ -68,7 +69,7 @@ GRAPH = KNN + ", ed AS (SELECT src, dst FROM kn UNION SELECT dst, src FROM kn),
 
 
 def knn(t):
-    return T.nearest(vectors(t), "vec_id", "e", 5)
+    return C.nearest(vectors(t), "vec_id", "e", 5)
 
 
 @query("G4_knn", "src:l rk:l dist:d", sql("pair", KNN + " SELECT src, rk, dist FROM kn"))
@@ -265,3 +266,9 @@ def gap_scale(t):
     from graticule.operators.design import anchor_gap_scale
     v = vectors(t).select("vec_id", "e")
     return anchor_gap_scale(v, v.where("vec_id IN (0, 1, 2)"), "vec_id", "e")
+
+
+@query("G4_compared_share", "n:l n_compared:l share:d")
+def compared_share(t):
+    """How many pairs the neighbour search measures, against all of them."""
+    return C.compared(vectors(t), "vec_id", "e", 5)
