@@ -237,7 +237,7 @@ def components(docs: DataFrame, text: str = "text", crowd: int = CROWD, copies:
     told = cut(fingerprints(docs, text))
     nodes = told.groupBy("print").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
     nodes = cut(nodes)
-    reach = connected_components(links(nodes, crowd)).select(F.col("node").alias("print"), "component")
+    reach = connected_components(cut(links(nodes, crowd))).select(F.col("node").alias("print"), "component")
     named = cut(nodes.join(reach, "print", "left").withColumn("component", F.coalesce("component", "print")))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = cut(named.join(smallest, "component").select("print", "component_id", "n"))
