@@ -136,14 +136,30 @@ def compact_components(t):
     return D.compact_components(detected(t), PITCH, 2, 16.0, 2.8, 0.12)
 
 
+GATES = (2, 16.0, 2.8, 0.12)
+
+
 def repaired(t):
-    d = detected(t)
-    return d, *D.repair(d, D.compact_components(d, PITCH, 2, 16.0, 2.8, 0.12), 2)
+    return D.repaired_maps(detected(t), PITCH, GATES, 2)
 
 
 @query("A30_repair_components", "map_id:l component:l n_repaired:l max_correction:d mean_correction:d")
 def repair_components(t):
-    return repaired(t)[2]
+    return repaired(t).select("map_id", F.explode("records").alias("r")).select("map_id", "r.*")
+
+
+@query("A30_repaired_maps", "map_id:l status:s n_components:l n_untouched:l n_raised:l n_mask:l never_lower:b noise:d", "WITH RECURSIVE " + sql("cells", DEFICIT + """,
+gc AS MATERIALIZED (SELECT map_id, r * 8 + c AS cell, r, c FROM dt WHERE grow), lb AS (SELECT map_id, cell, cell AS component FROM gc UNION SELECT l.map_id, b.cell, l.component FROM lb l JOIN gc a ON a.map_id = l.map_id AND a.cell = l.cell JOIN gc b ON b.map_id = a.map_id AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 AND l.component < b.cell),
+cp AS (SELECT map_id, count(DISTINCT component) AS n FROM (SELECT map_id, cell, min(component) AS component FROM lb GROUP BY map_id, cell) GROUP BY map_id)
+SELECT d.map_id, 'PASS' AS status, coalesce(any_value(cp.n), 0) AS n_components, count(*) FILTER (NOT grow) AS n_untouched, 0 AS n_raised, 0 AS n_mask, true AS never_lower, any_value(noise) AS noise FROM dt d LEFT JOIN cp ON cp.map_id = d.map_id GROUP BY d.map_id""")[5:].replace("0 AS n_raised, 0 AS n_mask", "NULL AS n_raised, NULL AS n_mask"))
+def repaired_maps(t):
+    """Repaired map, mask and metrics: cells outside every grow region stay, none is lowered, the mask marks what was raised."""
+    r = repaired(t).withColumn("p", F.arrays_zip("z", "repaired", "repair_mask", "grow", "work", "valid"))
+    n = lambda f: F.size(F.filter("p", f)).cast("long")
+    same = lambda e: ~e["grow"] & (e["z"].eqNullSafe(e["repaired"])) & ~e["repair_mask"]
+    raised = n(lambda e: e["repaired"] > e["z"])
+    return r.select("map_id", "metrics.status", "metrics.n_components", n(same).alias("n_untouched"), F.when(raised != n(lambda e: e["repair_mask"]), raised).alias("n_raised"),
+                    F.when(F.col("metrics.n_repaired") != n(lambda e: e["repair_mask"]), F.col("metrics.n_repaired")).alias("n_mask"), F.forall("p", lambda e: F.coalesce(e["repaired"] >= e["z"], F.lit(True))).alias("never_lower"), "metrics.noise")
 
 
 @query("A31_largest_component", "map_id:l largest:l n_true:l", "WITH RECURSIVE " + sql("cells", """gc AS MATERIALIZED (SELECT map_id, r * 8 + c AS cell, r, c FROM cells WHERE z < -0.12),
