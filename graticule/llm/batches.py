@@ -8,7 +8,7 @@ import pyarrow as pa
 ROWS = 512
 
 
-def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterable[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for start in range(0, batch.num_rows, ROWS):
-            yield batch.slice(start, ROWS)
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)

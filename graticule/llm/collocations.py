@@ -9,9 +9,8 @@ that will not reach ``least``, and never loses one.
 Words are named by 64-bit hashes.  Before they are used, all distinct words of the corpus are checked: if two that
 share a hash could reach ``least`` together, the next seed is taken.
 
-Counting one order is a HAT-trie per task (``BurstTrie``): a shallow trie over word ids whose leaves are hash
-containers from the remaining words to their count, and a container of more than ``BURST`` entries bursts into
-children by its next word.  When a task holds more than ``HELD`` entries it spills whole subtrees, largest first,
+Counting one order is a HAT-trie per task (``BurstTrie``): a shallow trie over hashed word ids whose leaves are
+containers of keys and their counts, and a container of more than ``BURST`` entries bursts.  When a task holds more than ``HELD`` entries it spills whole subtrees, largest first,
 as sorted runs.  Runs are cut by prefix partition, (language, first word, top bits of the second word), so the subtree of a
 frequent word is spread, shuffled as one row per run and partition, and merged there.
 
@@ -41,6 +40,7 @@ FILTER_BITS = 26  # 8 MB whatever the corpus
 HELD = 600_000  # entries of a task's trie
 BURST = 4_096  # entries of a container
 PART_WORDS = 1 << 18  # words of the corpus per prefix partition
+PIECE = 1_024  # documents counted at once
 CACHE = 1 << 18  # word hashes kept by a worker
 _STOPS = bytes.maketrans(b",;:!?\n\x0b\x0c\r", b"." * 9)  # '.' then stands for the end of a piece
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype=np.uint64)
@@ -89,60 +89,104 @@ def phrase_hashes(languages: np.ndarray, words: np.ndarray, m: int) -> list[np.n
 
 
 class BurstTrie:
-    """Counts of keys of whole 8-byte words under a shallow trie; a container maps the rest of a key to its count."""
+    """Counts of keys (rows of word ids) under a shallow trie.
 
-    def __init__(self, burst: int = BURST):
-        self.children: dict[bytes, dict] = {}
-        self.sizes: Counter = Counter()  # entries below each first level
-        self.burst = burst
+    A container holds the keys of a range of ids behind a common prefix: several first words while they are rare, one
+    word's continuations once it is frequent.  New keys wait in a container until ``burst`` of them are merged at
+    once; a container of more than ``burst`` keys bursts at the first id, and in it the first bit, that its keys differ in.
+    Containers stand in key order, so a sorted batch is dealt by their lower bounds.
+    """
 
-    def __len__(self) -> int:
-        return self.sizes.total()
-
-    def add(self, head: bytes, rests: list[bytes], counts: list[int]) -> None:
-        node = self.children.get(head)
-        if node is None:
-            node = self.children[head] = {"": {}}
-        new = 0
-        for rest, n in zip(rests, counts):
-            at = node
-            while "" not in at:  # an inner node: one more word of the key
-                at = at.setdefault(rest[:8], {"": {}})
-                rest = rest[8:]
-            leaf = at[""]
-            if rest in leaf:
-                leaf[rest] += n
-            else:
-                leaf[rest] = n
-                new += 1
-                if len(leaf) > self.burst and len(rest) > 8:
-                    self._burst(at)
-        self.sizes[head] += new
-
-    def _burst(self, node: dict) -> None:
-        leaf = node.pop("")
-        for rest, n in leaf.items():
-            node.setdefault(rest[:8], {"": {}})[""][rest[8:]] = n
-
-    def _entries(self, node: dict, path: bytes) -> Iterator[tuple[bytes, int]]:
-        for step, below in node.items():
-            if step == "":
-                yield from ((path + rest, n) for rest, n in below.items())
-            else:
-                yield from self._entries(below, path + step)
+    def __init__(self, width: int, burst: int = BURST):
+        self.burst, self.width = burst, width
+        self.low = [(0,) * width]
+        self.leaves: list[list] = [self._leaf()]
+        self.entries = 0
 
-    def spill(self, keep: int) -> tuple[list[bytes], list[int]]:
-        """Whole subtrees, largest first, until ``keep`` entries are left."""
-        keys, counts, left = [], [], len(self)
-        for head, n in self.sizes.most_common():
+    def _leaf(self, keys=None, counts=None) -> list:
+        """[merged keys, their counts, waiting, number waiting]"""
+        return [np.empty((0, self.width), np.uint64) if keys is None else keys, np.empty(0, np.int64) if counts is None else counts, [], 0]
+
+    def __len__(self) -> int:
+        return self.entries
+
+    def _place(self, keys: np.ndarray, low: tuple) -> int:
+        """First row of sorted ``keys`` that is not below ``low``."""
+        a, b = 0, len(keys)
+        for d, v in enumerate(low):
+            v = np.uint64(v)
+            column = keys[a:b, d]
+            a, b = a + int(np.searchsorted(column, v)), a + int(np.searchsorted(column, v, side="right"))
+            if a == b:
+                break
+        return a
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        """Sorted distinct keys with their counts."""
+        cuts = [self._place(keys, low) for low in self.low] + [len(keys)]
+        for k in range(len(self.leaves) - 1, -1, -1):
+            a, b = cuts[k], cuts[k + 1]
+            if a == b:
+                continue
+            leaf = self.leaves[k]
+            leaf[2].append((keys[a:b].copy(), counts[a:b].copy()))
+            leaf[3] += b - a
+            self.entries += b - a
+            if leaf[3] > self.burst:
+                self._merge(leaf)
+                if len(leaf[0]) > self.burst:
+                    self._burst(k)
+
+    def _merge(self, leaf: list) -> None:
+        if leaf[2]:
+            before = len(leaf[0]) + leaf[3]
+            leaf[:] = [*_sorted_sums(np.concatenate([leaf[0], *(k for k, _ in leaf[2])]), np.concatenate([leaf[1], *(c for _, c in leaf[2])])), [], 0]
+            self.entries += len(leaf[0]) - before
+
+    def _burst(self, k: int) -> None:
+        made = []
+
+        def cut(low, keys, counts):
+            if len(keys) <= max(self.burst // 2, 1):
+                made.append((low, self._leaf(keys, counts)))
+                return
+            d = int(np.flatnonzero(keys[0] != keys[-1])[0])
+            first, last = int(keys[0, d]), int(keys[-1, d])
+            bit = (first ^ last).bit_length() - 1
+            at = (last >> bit) << bit
+            p = int(np.searchsorted(keys[:, d], np.uint64(at)))
+            cut(low, keys[:p], counts[:p])
+            cut((*map(int, keys[0, :d]), at, *[0] * (self.width - d - 1)), keys[p:], counts[p:])
+
+        cut(self.low[k], *self.leaves[k][:2])
+        self.low[k: k + 1], self.leaves[k: k + 1] = [x for x, _ in made], [x for _, x in made]
+
+    def spill(self, keep: int) -> tuple[np.ndarray, np.ndarray]:
+        """Whole subtrees (a language and the top bits of the first word), largest first, until ``keep`` entries are left."""
+        sizes: Counter = Counter()
+        for low, leaf in zip(self.low, self.leaves):
+            sizes[low[0], low[1] >> 60] += len(leaf[0]) + leaf[3]
+        gone, left = set(), self.entries
+        for subtree, n in sizes.most_common():
             if left <= keep:
                 break
-            for key, c in self._entries(self.children.pop(head), head):
-                keys.append(key)
-                counts.append(c)
-            del self.sizes[head]
+            gone.add(subtree)
             left -= n
-        return keys, counts
+        out, low, leaves = [], [], []
+        for bound, leaf in zip(self.low, self.leaves):
+            if (bound[0], bound[1] >> 60) in gone:
+                self._merge(leaf)
+                out.append(leaf)
+            else:
+                low.append(bound)
+                leaves.append(leaf)
+        if not low or any(low[0]):
+            low.insert(0, (0,) * self.width)
+            leaves.insert(0, self._leaf())
+        self.low, self.leaves = low, leaves
+        self.entries = sum(len(leaf[0]) + leaf[3] for leaf in leaves)
+        empty = self._leaf()
+        return np.concatenate([empty[0], *(leaf[0] for leaf in out)]), np.concatenate([empty[1], *(leaf[1] for leaf in out)])
 
 
 def _sorted_sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -227,25 +271,18 @@ def runs(docs: DataFrame, m: int, seed: int, marks, parts: int, text: str = "tex
         return _sorted_sums(keys, np.ones(len(at), np.int64))
 
     def spilled(trie: BurstTrie, keep: int) -> Iterator[pa.RecordBatch]:
-        found, counts = trie.spill(keep)
-        keys = np.frombuffer(b"".join(found), np.uint64).reshape(-1, m + 1)
-        keys, counts = _sorted_sums(keys, np.array(counts, np.int64))
+        keys, counts = trie.spill(keep)
         part = _partition(keys, parts)
         order = np.argsort(part, kind="stable")
         part, keys, counts = part[order], keys[order], counts[order]
         cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))).tolist() if len(part) else []
         spans = list(zip(cuts, [*cuts[1:], len(part)]))
-        yield pa.RecordBatch.from_arrays([pa.array(part[cuts]), pa.array([keys[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([counts[a:b].tobytes() for a, b in spans], pa.binary())], ["part", "keys", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(part[cuts]), pa.array([np.ascontiguousarray(keys[a:b].T).tobytes() for a, b in spans], pa.binary()), pa.array([counts[a:b].tobytes() for a, b in spans], pa.binary())], ["part", "keys", "counts"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, hashes, bits = BurstTrie(burst), _Hashes(seed), marks.value
-        for batch in pieces(batches):
-            keys, counts = counted(batch, hashes, bits)
-            heads = np.flatnonzero(np.concatenate(([True], (keys[1:, :2] != keys[:-1, :2]).any(axis=1)))).tolist() if len(keys) else []
-            rests = np.ascontiguousarray(keys[:, 2:]).view(f"V{8 * (m - 1)}").ravel().tolist()
-            counts = counts.tolist()
-            for a, b in zip(heads, [*heads[1:], len(rests)]):
-                trie.add(keys[a, :2].tobytes(), rests[a:b], counts[a:b])
+        trie, hashes, bits = BurstTrie(m + 1, burst), _Hashes(seed), marks.value
+        for batch in pieces(batches, PIECE):
+            trie.add(*counted(batch, hashes, bits))
             if len(trie) > held:
                 yield from spilled(trie, held // 2)
         yield from spilled(trie, 0)
@@ -286,7 +323,7 @@ def merged(spills: DataFrame, m: int, least: int, held: int = HELD) -> DataFrame
                     yield finished()
                     waiting, size, limit = [], 0, held
                 now = part
-                waiting.append((np.frombuffer(keys.as_py(), np.uint64).reshape(-1, m + 1), np.frombuffer(counts.as_py(), np.int64)))
+                waiting.append((np.frombuffer(keys.as_py(), np.uint64).reshape(m + 1, -1).T, np.frombuffer(counts.as_py(), np.int64)))
                 size += len(waiting[-1][1])
                 if size > limit:  # several runs hold the same phrases
                     merge()

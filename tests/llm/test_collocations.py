@@ -63,20 +63,20 @@ def test_equals_plain_counting(spark, held, burst):
 
 
 def test_trie_bursts_and_spills_whole_subtrees():
-    r = random.Random(1)
-    trie, want = collocations.BurstTrie(burst=8), collections.Counter()
-    heads = [bytes([k]) * 16 for k in range(6)]
-    for _ in range(300):
-        head = r.choices(heads, [30, 5, 3, 2, 1, 1])[0]
-        rests = [b"".join(bytes([r.randrange(5)]) * 8 for _ in range(3)) for _ in range(10)]
-        trie.add(head, rests, [1] * 10)
-        want.update(head + x for x in rests)
-    assert len(trie) == len(want) and any("" not in n for n in trie.children.values())
+    r = np.random.default_rng(1)
+    trie, want = collocations.BurstTrie(4, burst=8), collections.Counter()
+    for _ in range(200):
+        keys = np.stack([r.integers(0, 2, 40), r.choice([3, 1 << 61, 1 << 62, (1 << 63) - 1], 40), r.integers(0, 9, 40) << 40, r.integers(0, 5, 40)], axis=1).astype(np.uint64)
+        keys, counts = collocations._sorted_sums(keys, np.ones(40, np.int64))
+        trie.add(keys, counts)
+        want.update(dict(zip(map(tuple, keys.tolist()), counts.tolist())))
+        assert trie.low == sorted(trie.low) and not any(trie.low[0])
+    assert len(trie.leaves) > 20 and len(trie) >= len(want)
     got = collections.Counter()
     while len(trie):
         keys, counts = trie.spill(len(trie) // 2)
-        assert not {k[:16] for k in keys} & {k[:16] for k in got}
-        got.update(dict(zip(keys, counts)))
+        assert not set(map(tuple, keys.tolist())) & set(got)  # what is spilled is whole
+        got.update(dict(zip(map(tuple, keys.tolist()), counts.tolist())))
     assert got == want
 
 
