@@ -20,8 +20,10 @@ string.  Rows that repeat, also under one id, are documents of their own; a null
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +46,29 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+#: pre-tokenization of byte-level vocabularies whose JSON file asks for the standard expression (fixed value)
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def ranked_encoder(path: str, vocabulary: list[bytes]):
+    """The file's encoder on tiktoken's engine, or None if its merges are not in the order of ids or it normalises."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    model, before = told["model"], told["pre_tokenizer"] or {}
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    first = len(model["vocab"]) - len(merges)
+    added = {t["content"] for t in told["added_tokens"]}
+    first -= len(added & set(model["vocab"]))
+    ordered = all(model["vocab"][a + b] == first + k for k, (a, b) in enumerate(merges))
+    plain = told["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", False)
+    if not (ordered and plain and model["type"] == "BPE"):
+        return None
+    import tiktoken
+
+    ranks = {vocabulary[k]: k for t, k in model["vocab"].items() if t not in added}
+    return tiktoken.Encoding("ranked", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 class Pair:
     """Both tokenizers of a worker process, their token bytes and the identity map."""
 
@@ -52,13 +77,14 @@ class Pair:
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True
+        whole = Tokenizer.from_file(a_path)
+        whole.encode_special_tokens = True
         self.b = SentencePieceProcessor(model_file=b_path)
-        alphabet, vocabulary = byte_alphabet(), self.a.get_vocab(with_added_tokens=True)
+        alphabet, vocabulary = byte_alphabet(), whole.get_vocab(with_added_tokens=True)
         self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
         for token, k in vocabulary.items():
             self.a_bytes[k] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
+        self.encode_a = ranked_encoder(a_path, self.a_bytes) or (lambda text: whole.encode(text, add_special_tokens=False).ids)
         self.b_bytes = [bytes([int(self.b.id_to_piece(k)[3:5], 16)]) if self.b.is_byte(k) else self.b.id_to_piece(k).replace("▁", " ").encode() for k in range(self.b.get_piece_size())]
         self.a_len, self.b_len = (np.array([len(x) for x in v], np.int64) for v in (self.a_bytes, self.b_bytes))
         self.a_text, self.b_text = ([str(k) for k in range(len(v))] for v in (self.a_bytes, self.b_bytes))
@@ -73,7 +99,7 @@ class Pair:
         some = [k for k, t in enumerate(texts) if t]
         for at in range(0, len(some), TEXTS):
             part = some[at: at + TEXTS]
-            left = [e.ids for e in self.a.encode_batch_fast([" " + texts[k] for k in part], add_special_tokens=False)]
+            left = [self.encode_a(" " + texts[k]) for k in part]
             right = self.b.encode([texts[k] for k in part], num_threads=1)
             for k, x, y in zip(part, left, right):
                 want = (" " + texts[k]).encode()
@@ -93,7 +119,7 @@ def pair_of(a_path: str, b_path: str) -> Pair:
 
 def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     counts = np.array([len(x) for x in lists], np.int64)
-    return np.fromiter((i for x in lists for i in x), np.int64, int(counts.sum())), counts
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(counts.sum())), counts
 
 
 def _lists(of: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:

@@ -88,6 +88,16 @@ def test_strange_texts_both_ways(spark, bound):
     assert sorted(got, key=str) == sorted(((*w, i) for w, i in zip(plain(texts), ids)), key=str)
 
 
+def test_engine_equals_the_files_tokenizer():
+    """The ranked engine against the tokenizer as loaded from the file, over all code points in several neighbourhoods."""
+    pair, whole = token_alignment.Pair(A, B), Tokenizer.from_file(A)
+    whole.encode_special_tokens = True
+    assert token_alignment.ranked_encoder(A, pair.a_bytes) is not None
+    points = [chr(c) for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c} {c}1{c}{c} " for c in points[k: k + 64]) for k in range(0, len(points), 64)]
+    assert [pair.encode_a(t) for t in texts] == [e.ids for e in whole.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 def test_long_text_and_empty_table(spark):
     text = " ".join(random.Random(2).choices(["the", "of", "tion", "zxq", "é", "42"], k=200_000))
     docs = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")
