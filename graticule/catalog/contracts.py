@@ -73,7 +73,7 @@ def forbid_columns(t):
 @query("C10_forbid_transition", "from_n:l to_n:l n:l forbidden:b", sql("traj", """s AS (SELECT lag(n) OVER (PARTITION BY l_suppkey ORDER BY n) AS from_n, n AS to_n FROM traj)
 SELECT from_n, to_n, count(*) AS n, from_n = 4 AND to_n = 5 AS forbidden FROM s WHERE from_n IS NOT NULL GROUP BY from_n, to_n"""))
 def forbid_transition(t):
-    steps = with_previous(trajectories(t), ["l_suppkey"], "n", F.col("n"), "from_n", 1000).where("from_n IS NOT NULL")
+    steps = with_previous(trajectories(t), ["l_suppkey"], "n", F.col("n"), "from_n").where("from_n IS NOT NULL")
     return steps.groupBy("from_n", F.col("n").alias("to_n")).agg(F.count(F.lit(1)).alias("n")).withColumn("forbidden", (F.col("from_n") == 4) & (F.col("to_n") == 5))
 
 

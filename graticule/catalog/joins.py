@@ -43,7 +43,7 @@ def asof_nearest(t):
     e = event_series(t)
     left = e.where("event_type = 'purchase'").select("event_id", "user_id", "s")
     right = e.where("event_type = 'view'").select("user_id", "s", "value")
-    return J.asof_nearest(left, right, ["user_id"], "s", "value", 10.0, 48.0)
+    return J.asof_nearest(left, right, ["user_id"], "s", "value", 10.0)
 
 
 @query("J5_nearest_key", "o_orderkey:l nearest:d", "WITH k AS (SELECT DISTINCT p_size * 10000.0 AS k FROM part) SELECT o_orderkey, arg_min(k, struct_pack(d := abs(k - o_totalprice), k := k)) AS nearest FROM orders, k GROUP BY o_orderkey")
@@ -110,7 +110,7 @@ def best_shift(t):
     e = event_series(t)
     mine = e.where("event_type = 'click'").select("user_id", "event_id", "s", "flag", "value")
     pilot = e.where("event_type = 'view'").select("user_id", "s", "flag")
-    return J.best_shift(mine, pilot, ["user_id"], "s", "flag", "value", [-12.0, -6.0, 0.0, 6.0, 12.0], 24.0, 48.0, 0.7, 0.6)
+    return J.best_shift(mine, pilot, ["user_id"], "s", "flag", "value", [-12.0, -6.0, 0.0, 6.0, 12.0], 24.0, 0.7, 0.6)
 
 
 @query("J13_exact_repeat_pairs", "l_partkey:l l_linenumber:l n_pairs:l mean_sq_dist:d", """SELECT a.l_partkey, a.l_linenumber, count(*) AS n_pairs, avg(pow(a.l_quantity - b.l_quantity, 2)) AS mean_sq_dist

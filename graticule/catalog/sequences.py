@@ -12,8 +12,6 @@ from graticule.plans import order_stats as O
 from graticule.plans import series as S
 from graticule.plans.scalars import one_row
 
-DAY = 24.0
-
 
 @query("W1_avg_rank", "l_quantity:d r:d", "SELECT DISTINCT l_quantity, rank() OVER (ORDER BY l_quantity DESC) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2 AS r FROM lineitem")
 def avg_rank(t):
@@ -46,7 +44,7 @@ def selection_pool(t):
 
 @query("W4_step_deltas", "l_suppkey:l n:l dy:d dd:d", sql("traj", "SELECT l_suppkey, n, dy, dd FROM (SELECT *, y - lag(y) OVER w AS dy, d - lag(d) OVER w AS dd, lag(n) OVER w AS p FROM traj WINDOW w AS (PARTITION BY l_suppkey ORDER BY n)) WHERE p = n - 1"))
 def step_deltas(t):
-    s = S.with_previous(trajectories(t), ["l_suppkey"], "n", F.struct("n", "y", "d"), "p", 1000)
+    s = S.with_previous(trajectories(t), ["l_suppkey"], "n", F.struct("n", "y", "d"), "p")
     return s.where("p.n = n - 1").select("l_suppkey", "n", (F.col("y") - F.col("p.y")).alias("dy"), (F.col("d") - F.col("p.d")).alias("dd"))
 
 
@@ -55,9 +53,9 @@ v AS (SELECT label, sig_id, i, y - lag(y) OVER (PARTITION BY label, i ORDER BY s
 SELECT sig_id, sum(d * p) / sqrt(sum(d * d) * sum(p * p)) AS cosine, sqrt(avg(d * d)) AS step_rms FROM w WHERE p IS NOT NULL GROUP BY sig_id"""))
 def turning_cosine(t):
     """Cosine of consecutive step vectors along each label's trajectory."""
-    s = S.with_previous(signals(t), ["label"], "sig_id", F.col("y"), "p", 100)
+    s = S.with_previous(signals(t), ["label"], "sig_id", F.col("y"), "p")
     s = s.where("p IS NOT NULL").select("label", "sig_id", F.zip_with("y", "p", lambda a, b: a - b).alias("d"))
-    s = S.with_previous(s, ["label"], "sig_id", F.col("d"), "q", 100).where("q IS NOT NULL")
+    s = S.with_previous(s, ["label"], "sig_id", F.col("d"), "q").where("q IS NOT NULL")
     d, q = F.col("d"), F.col("q")
     return s.select("sig_id", (A.dot(d, q) / F.sqrt(A.dot(d, d) * A.dot(q, q))).alias("cosine"), F.sqrt(A.mean_of(d, lambda v: v * v)).alias("step_rms"))
 
@@ -68,8 +66,8 @@ MERGED = RUNS + """, g AS (SELECT *, CASE WHEN lag(s1) OVER (PARTITION BY user_i
 m AS (SELECT user_id, min(s0) AS s0, max(s1) AS s1, sum(n) AS n, count(*) AS n_runs FROM (SELECT *, sum(st2) OVER (PARTITION BY user_id ORDER BY s0) AS k FROM g) GROUP BY user_id, k)"""
 
 
-def runs(t):
-    return Q.threshold_runs(event_series(t), ["user_id"], "s", F.col("flag"), DAY)
+def runs(t, keep=False):
+    return Q.threshold_runs(event_series(t), ["user_id"], "s", F.col("flag"), keep=keep)
 
 
 @query("W6_threshold_runs", "user_id:l s0:d s1:d n:l", sql("evt", RUNS + " SELECT * FROM runs"))
@@ -79,7 +77,7 @@ def threshold_runs(t):
 
 @query("W7_merge_runs", "user_id:l s0:d s1:d n:l n_runs:l", sql("evt", MERGED + " SELECT * FROM m"))
 def merge_runs(t):
-    return Q.merge_runs(runs(t), ["user_id"], 12.0, DAY)
+    return Q.merge_runs(runs(t, keep=True), ["user_id"], 12.0)
 
 
 @query("W7_longest_run", "user_id:l s0:d s1:d long_enough:b", sql("evt", MERGED + " SELECT user_id, s0, s1, s1 - s0 >= 24 AS long_enough FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s1 - s0 DESC, s0) AS k FROM m) WHERE k = 1"))
@@ -92,7 +90,7 @@ e2 AS (SELECT e.user_id, e.s, e.value, e.flag AND e.value >= 0.7 * p90 AS flag,
 b AS (SELECT user_id, s0, s1 FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s1 - s0 DESC, s0) AS k FROM m) WHERE k = 1)
 SELECT u.user_id, s0 AS lo, s1 AS hi, count(*) FILTER (e2.flag AND e2.s BETWEEN s0 AND s1) AS n_members, CASE WHEN s0 IS NULL THEN 'no_plateau' WHEN s1 - s0 < greatest(12, 0.05 * any_value(span)) THEN 'fragmented' ELSE 'stable' END AS state FROM (SELECT DISTINCT user_id FROM evt) u LEFT JOIN b USING (user_id) LEFT JOIN e2 USING (user_id) GROUP BY u.user_id, s0, s1"""))
 def plateau_run(t):
-    return Q.plateau_run(event_series(t), ["user_id"], "s", F.col("flag"), "value", depth_frac=0.7, gap=12.0, min_len=12.0, min_frac=0.05, width=DAY)
+    return Q.plateau_run(event_series(t), ["user_id"], "s", F.col("flag"), "value", depth_frac=0.7, gap=12.0, min_len=12.0, min_frac=0.05)
 
 
 @query("W9_online_flags", "sig_id:l online:b", sql("sig", "SELECT sig_id, count(*) FILTER (y > 0.12) >= 10 AS online FROM sig GROUP BY sig_id"))

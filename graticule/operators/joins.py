@@ -16,7 +16,7 @@ def lookup_states(df: DataFrame, lookup: DataFrame, keys: Sequence[str], value:
     return j.withColumn("state", state).drop("_present")
 
 
-def asof_nearest(left: DataFrame, right: DataFrame, by: Sequence[str], order: str, value: str, tolerance: float, width: float, ties: str = "before") -> DataFrame:
+def asof_nearest(left: DataFrame, right: DataFrame, by: Sequence[str], order: str, value: str, tolerance: float, rows: float = S.SLICE_ROWS, ties: str = "before") -> DataFrame:
     """Nearest right row within ``tolerance`` per left row; linear work, no pair is ever built.
 
     Both sides are merged into one series and the last/next right row is carried to each left row.  A left
@@ -27,7 +27,7 @@ def asof_nearest(left: DataFrame, right: DataFrame, by: Sequence[str], order: st
     payload = F.struct(F.col(order).alias("at"), F.col(value).alias("val"))
     merged = left.withColumns({"_payload": F.lit(None).cast(right.select(payload.alias("p")).schema["p"].dataType), "_side": F.lit(1)}).unionByName(
         right.select(*by, order, payload.alias("_payload"), F.lit(0).alias("_side")), allowMissingColumns=True)
-    both = S.with_seen(merged, by, order, F.col("_payload"), "_back", "_next", width).where("_side = 1")
+    both = S.with_seen(merged, by, order, F.col("_payload"), "_back", "_next", rows).where("_side = 1")
     db, dn = F.col(order) - F.col("_back.at"), F.col("_next.at") - F.col(order)
     prefer_next = F.col("_back").isNull() | ((dn < db) if ties == "before" else (dn <= db))
     hit = F.when(F.col("_next").isNotNull() & prefer_next, F.col("_next")).otherwise(F.col("_back"))
@@ -38,20 +38,19 @@ def asof_nearest(left: DataFrame, right: DataFrame, by: Sequence[str], order: st
 def nearest_key(df: DataFrame, x: str, keys: DataFrame, key: str) -> DataFrame:
     """Closest key (ties to the smaller one), matched as a series; NULL finds nothing."""
     distinct = keys.select(F.col(key).cast("double").alias("k")).where("k IS NOT NULL").distinct()
-    span = distinct.agg((F.max("k") - F.min("k")).alias("w")).first()["w"] or 0.0
     right = distinct.select(F.col("k").alias(x), F.col("k").alias("v"))
-    return asof_nearest(df, right, [], x, "v", float("inf"), max(span / 4096, 1e-12)).withColumnRenamed("match_value", "nearest").drop("match_at")
+    return asof_nearest(df, right, [], x, "v", float("inf")).withColumnRenamed("match_value", "nearest").drop("match_at")
 
 
 def best_shift(mine: DataFrame, pilot: DataFrame, by: Sequence[str], order: str, flag: str, depth: str, shifts: Sequence[float], tolerance: float,
-               width: float, shallow_frac: float, hard_ratio: float) -> DataFrame:
+               shallow_frac: float, hard_ratio: float) -> DataFrame:
     """Align two flag series by the shift of best agreement and grade the disagreement there."""
     by = list(by)
     keys = [*by, "shift"]
     grid = F.explode(F.array(*[F.lit(float(s)) for s in shifts])).alias("shift")
     left = mine.select("*", grid).withColumn(order, F.col(order) - F.col("shift"))
     right = pilot.select(*by, order, flag, grid)
-    m = asof_nearest(left, right, keys, order, flag, tolerance, width, ties="after").where("match_value IS NOT NULL")
+    m = asof_nearest(left, right, keys, order, flag, tolerance, ties="after").where("match_value IS NOT NULL")
     m = m.select(*keys, flag, depth, "match_value")
     agree = m.groupBy(*keys).agg(F.avg((F.col(flag) == F.col("match_value")).cast("double")).alias("agreement"), F.count(F.lit(1)).alias("n_matched"))
     best = agree.groupBy(*by).agg(F.max_by(F.struct("shift", "agreement", "n_matched"), F.struct("agreement", (-F.col("shift")).alias("o"))).alias("b")).select(*by, "b.*")

@@ -11,17 +11,21 @@ from graticule.plans import series as S
 from graticule.plans.lineage import cut, shared
 
 
-def threshold_runs(df: DataFrame, by: Sequence[str], order: str, flag: Column, width: float) -> DataFrame:
-    """Contiguous runs of true flags: start, end, rows.  Runs are reduced map-side."""
-    numbered = S.islands(df, by, order, flag, width)
-    return numbered.groupBy(*by, "island").agg(F.min(order).alias("s0"), F.max(order).alias("s1"), F.count(F.lit(1)).alias("n")).drop("island")
+def threshold_runs(df: DataFrame, by: Sequence[str], order: str, flag: Column, rows: float = S.SLICE_ROWS, keep: bool = False) -> DataFrame:
+    """Contiguous runs of true flags: start, end, rows.  Runs are reduced map-side.
+
+    ``keep`` adds the slice of each start, so that a following step along ``s0`` need not cut the runs anew.
+    """
+    numbered = S.islands(S.sliced(df.where(F.col(order).isNotNull()), by, order, rows), by, order, flag)
+    found = numbered.groupBy(*by, "island").agg(F.min(order).alias("s0"), F.max(order).alias("s1"), F.count(F.lit(1)).alias("n"), *([F.min(S.SLICE).alias(S.SLICE)] if keep else [])).drop("island")
+    return found.withColumn(S.KEY, F.struct(*[F.col(c) for c in by], F.col(S.SLICE))) if keep else found
 
 
-def merge_runs(runs: DataFrame, by: Sequence[str], gap: float, width: float) -> DataFrame:
+def merge_runs(runs: DataFrame, by: Sequence[str], gap: float, rows: float = S.SLICE_ROWS) -> DataFrame:
     """Bridge gaps up to ``gap`` between neighbouring runs."""
-    prev = S.with_previous(S.sliced(runs, by, "s0", width), by, "s0", F.col("s1"), "_end", width)
+    prev = S.with_previous(S.sliced(runs, by, "s0", rows), by, "s0", F.col("s1"), "_end")
     start = F.when(F.col("s0") - F.col("_end") <= gap, 0).otherwise(1).cast("long")
-    numbered = S.with_running_sum(prev, by, "s0", start, "_k", width)
+    numbered = S.with_running_sum(prev, by, "s0", start, "_k")
     return numbered.groupBy(*by, "_k").agg(F.min("s0").alias("s0"), F.max("s1").alias("s1"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_runs")).drop("_k")
 
 
@@ -31,18 +35,19 @@ def longest_run(runs: DataFrame, by: Sequence[str], min_len: float) -> DataFrame
 
 
 def plateau_run(df: DataFrame, by: Sequence[str], order: str, online: Column, depth: str, depth_frac: float, gap: float,
-                min_len: float, min_frac: float, width: float, ref_quantile: float = 0.9) -> DataFrame:
+                min_len: float, min_frac: float, rows: float = S.SLICE_ROWS, ref_quantile: float = 0.9) -> DataFrame:
     """Longest bridged run of on-line positions with plateau depth; bridged dips are not members.
 
     Every series is returned; one without a qualifying position has the state ``no_plateau``.
     """
     by = list(by)
-    rows = df.select(*by, order, depth, online.alias("_on"))
-    on = rows.where("_on")
-    spans = rows.groupBy(*by).agg((F.max(F.when(F.col("_on"), F.col(order))) - F.min(F.when(F.col("_on"), F.col(order)))).alias("_span"))
+    frame = df.select(*by, order, depth, online.alias("_on"))
+    on = frame.where("_on")
+    spans = frame.groupBy(*by).agg((F.max(F.when(F.col("_on"), F.col(order))) - F.min(F.when(F.col("_on"), F.col(order)))).alias("_span"))
     ref = shared(spans.join(O.quantiles(on, by, depth, {"_ref": ref_quantile}), by, "left"))  # one row per series, read by every branch below
-    marked = rows.join(ref, by).withColumn("_ok", F.col("_on") & (F.col(depth) >= depth_frac * F.col("_ref")))
-    merged = merge_runs(threshold_runs(marked, by, order, F.col("_ok"), width), by, gap, width)
+    marked = frame.join(ref, by).withColumn("_ok", F.col("_on") & (F.col(depth) >= depth_frac * F.col("_ref")))
+    marked = cut(S.sliced(marked.where(F.col(order).isNotNull()).select(*by, order, "_ok"), by, order, rows))  # narrow, read several times below
+    merged = merge_runs(threshold_runs(marked, by, order, F.col("_ok"), keep=True), by, gap)
     best = F.max_by(F.struct("s0", "s1", "n"), F.struct((F.col("s1") - F.col("s0")).alias("l"), (-F.col("s0")).alias("o")))
     best = merged.groupBy(*by).agg(best.alias("b"))
     lo, hi = F.col("b.s0"), F.col("b.s1")
@@ -62,9 +67,9 @@ def min_spacing(df: DataFrame, by: Sequence[str], order: str, step: float) -> Da
     # next(s) = smallest value >= s + step: look forward from shifted probes through the same series
     probes = base.select(*by, (F.col("s") + step).alias("p"), F.col("s").alias("src"), F.lit(None).cast("double").alias("v"), F.lit(0).alias("kind"))
     values = base.select(*by, F.col("s").alias("p"), F.lit(None).cast("double").alias("src"), F.col("s").alias("v"), F.lit(1).alias("kind"))
-    seen = S.with_last_seen(probes.unionByName(values), by, "p", F.col("v"), "nxt", 4 * step, forward=True)
+    seen = S.with_last_seen(probes.unionByName(values), by, "p", F.col("v"), "nxt", forward=True)
     jump = seen.where("kind = 0").select(*by, "src", F.col("nxt").alias("dst"))
-    prev = S.with_previous(base, by, "s", F.col("s"), "before", 4 * step)
+    prev = S.with_previous(base, by, "s", F.col("s"), "before")
     kept = cut(prev.where(F.col("before").isNull() | (F.col("s") - F.col("before") >= step)).select(*by, "s"))
     jump = cut(jump.where("dst IS NOT NULL"))
     n = kept.count()

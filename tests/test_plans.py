@@ -45,7 +45,19 @@ def walk():
     return pd.DataFrame({"k": np.where(rng.random(n) < 0.5, 0, rng.integers(1, 5, n)), "s": np.cumsum(rng.exponential(1.0, n)), "f": rng.random(n) < 0.6, "v": np.where(rng.random(n) < 0.5, np.nan, rng.normal(size=n))})
 
 
-@pytest.mark.parametrize("width", [2.0, 50.0, 1e6])
+def test_a_dense_hour_is_cut_like_any_stretch(spark):
+    """A third of all rows lie in one hour of one series; rows at one position stay in one slice."""
+    rng = np.random.default_rng(3)
+    hot = np.concatenate([rng.uniform(100, 101, 20_000), rng.uniform(0, 5000, 2000), np.full(300, 100.5)])
+    other = rng.uniform(0, 5000, 40_000)
+    df = spark.createDataFrame(pd.DataFrame({"k": [1] * len(hot) + (2 + np.arange(len(other)) % 50).tolist(), "s": np.concatenate([hot, other])}))
+    out = S.sliced(df, ["k"], "s", 1000).groupBy("k", S.SLICE).agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("lo"), F.max("s").alias("hi")).toPandas()
+    one = out[out["k"] == 1].sort_values(S.SLICE)
+    assert len(one) > 18 and one["n"].max() < 2000 and out[out["k"] != 1][S.SLICE].eq(0).all()
+    assert (one["hi"].to_numpy()[:-1] < one["lo"].to_numpy()[1:]).all()  # slices follow each other, equal positions together
+
+
+@pytest.mark.parametrize("width", [2, 50, S.SLICE_ROWS])
 def test_series_primitives(spark, walk, width):
     df = spark.createDataFrame(walk).withColumn("v", F.when(~F.isnan("v"), F.col("v")))
     p = walk.sort_values("s")
