@@ -31,7 +31,7 @@ def main() -> None:
     from graticule.catalog import REGISTRY, resampling
     from graticule.catalog.registry import Tables
 
-    full = {f"{n}_{PERMUTATIONS}": fn for n, fn in (("B6_perm_p", resampling.perm_p_keyed), ("B7_tv_perm_p", resampling.tv_perm_p_keyed), ("B9_moran_perm_p", resampling.moran_perm_p_keyed), ("B10_auroc_perm_p", resampling.auroc_perm_p_keyed))}
+    full = {f"{n}_{PERMUTATIONS}": fn for n, fn in (("B6_perm_p", resampling.perm_p_keyed), ("B7_tv_perm_p", resampling.tv_perm_p_keyed), ("B9_moran_perm_p", resampling.moran_perm_p_keyed), ("B10_auroc_perm_p", resampling.auroc_perm_p_keyed))} | {"B14_logistic_perm_2000": lambda t, _: resampling.logistic_perm(t, 2000)}
     spark.range(1000).selectExpr("sum(id)").collect()  # start the executor before timing
     only = sys.argv[1:]
     seconds = {}

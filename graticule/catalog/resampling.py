@@ -307,3 +307,13 @@ def auroc_perm_p_keyed(t, reps=KEYED):
     p, q = F.sum("quality").cast("double"), (F.count(F.lit(1)) - F.sum("quality")).cast("double")
     obs = ranks.agg(((F.sum(F.col("rk") * F.col("quality")) - p * (p + 1) / 2) / (p * q)).alias("o")).scalar()
     return B.two_sided_p(N.rank_auroc(d, "n_chars", F.col("quality") == 1, reps, 41), obs, 0.5)
+
+
+@query("B14_logistic_perm", "slope:d p_lower:d p_upper:d n_null:l")
+def logistic_perm(t, reps=200):
+    """Slope of a rare event on a factor, and its place among slopes with the factor shuffled inside blocks."""
+    rows = t.lineitem.select("l_quantity", "l_linenumber", (F.col("l_extendedprice") > 60000).alias("hit"))
+    out = cut(N.logistic_null(rows, "l_quantity", F.col("hit"), "l_linenumber", reps, 61))
+    observed = out.where("rep < 0").select("slope").scalar()
+    p = B.permutation_p(out.where("rep >= 0").withColumnRenamed("slope", "stat"), observed)
+    return p.select(F.col("observed").alias("slope"), "p_lower", "p_upper", "n_null")

@@ -195,6 +195,75 @@ def class_counts(df: DataFrame, group: str, klass: str, classes: Sequence[str],
     return counted.groupBy(group, "rep").agg(*[F.sum(c).alias(c) for c in names])
 
 
+LEVELS = 10_000  # distinct factor values of a logistic model
+
+
+def newton_slopes(hits: np.ndarray, n: np.ndarray, x: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """Unpenalised logistic slope of every row of ``hits`` (successes per level of x, out of n); NaN where it does not settle."""
+    mean = (n @ x) / n.sum()
+    scale = np.sqrt((n @ (x - mean) ** 2) / n.sum()) or 1.0
+    u = (x - mean) / scale
+    total = hits.sum(axis=1)
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        b0, b1 = np.log(total / (n.sum() - total)), np.zeros(len(hits))
+        for _ in range(rounds):
+            p = 1 / (1 + np.exp(-(b0[:, None] + b1[:, None] * u)))
+            off, w = hits - n * p, n * p * (1 - p)
+            g0, g1 = off.sum(axis=1), off @ u
+            h00, h01, h11 = w.sum(axis=1), w @ u, w @ (u * u)
+            det = h00 * h11 - h01 * h01
+            d0, d1 = (h11 * g0 - h01 * g1) / det, (h00 * g1 - h01 * g0) / det
+            b0, b1 = b0 + d0, b1 + d1
+            if not (np.maximum(np.abs(d0), np.abs(d1)) > 1e-12).any():
+                break
+        return np.where(np.isfinite(b1) & (np.abs(d1) < 1e-6), b1 / scale, np.nan)
+
+
+def logistic_null(df: DataFrame, x: str, hit: Column, block: str, reps: int, seed) -> DataFrame:
+    """(rep, slope): logistic slope of ``hit`` on x, rep -1 as observed, the others with x reassigned inside each block.
+
+    The rows of a block that are hits hold its first indices, the levels of x ranges of indices; a replicate is the table of
+    hits per level, and Newton steps run for many replicates at once on these tables.  Rows without x, hit or block take no part.
+    """
+    rows = df.select(F.col(block).alias("b"), F.col(x).cast("double").alias("x"), hit.cast("boolean").alias("hit")).where("b IS NOT NULL AND x IS NOT NULL AND NOT isnan(x) AND hit IS NOT NULL")
+    counts = rows.groupBy("b", "x").agg(F.count(F.lit(1)).alias("n"), F.count_if("hit").alias("k"))
+    levels = counts.groupBy("x").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).orderBy("x").limit(LEVELS + 1).toPandas()
+    if len(levels) > LEVELS:
+        raise ValueError(f"more than {LEVELS} distinct factor values")
+    value, n, seen = (levels[c].to_numpy(float) for c in ("x", "n", "k"))
+    starts, values, sizes = count_table(rows, "b", "x")
+    place = {b: np.searchsorted(value, v) for b, v in values.items()}
+    ranges = counts.groupBy("b").agg(F.lit(0).cast("long").alias("a"), F.sum("k").alias("b1"), F.sum("n").alias("n")).where("b1 > 0").select(F.col("b").alias("block"), "a", F.col("b1").alias("b"), "n")
+    shared = df.sparkSession.sparkContext.broadcast((starts, place))
+
+    def run(batches):
+        first, of = shared.value
+        total, keys = np.zeros((reps, len(value)), np.int64), None
+        for pdf in batches:
+            keys = round_keys(seed, 0, reps) if keys is None else keys
+            for b, size, start, stop in zip(pdf["block"], pdf["n"], pdf["start"], pdf["stop"]):
+                index = np.arange(start, stop)
+                for r in range(0, reps, BLOCK):
+                    moved = partners(index, np.full(len(index), size), keys[r: r + BLOCK])
+                    level = of[b][np.searchsorted(first[b], moved, side="right") - 1]
+                    m = moved.shape[1]
+                    total[r: r + m] += np.bincount((level + np.arange(m) * len(value)).ravel(), minlength=m * len(value)).reshape(m, -1)
+        if keys is not None:
+            yield pd.DataFrame({"rep": np.arange(reps), "hits": list(total)})
+
+    parts = spread(pieces(ranges, ["block", "n"])).mapInPandas(run, "rep long, hits array<long>")
+    # one array per task and replicate; added up level by level
+    tables = parts.select("rep", F.posexplode("hits").alias("at", "k")).groupBy("rep", "at").agg(F.sum("k").alias("k")).groupBy("rep").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "k"))), lambda e: e["k"]).alias("hits"))
+    observed = df.sparkSession.createDataFrame([(-1, [int(k) for k in seen])], "rep long, hits array<long>")
+
+    def slopes(batches):
+        for pdf in batches:
+            if len(pdf):
+                yield pd.DataFrame({"rep": pdf["rep"], "slope": newton_slopes(np.stack(pdf["hits"].to_numpy()).astype(float), n, value)})
+
+    return tables.unionByName(observed).mapInPandas(slopes, "rep long, slope double")
+
+
 def moran_null(values: DataFrame, weights: DataFrame, key: str, z: str, reps: int, seed) -> DataFrame:
     """(rep, stat): Moran's I when values are reassigned over all nodes; edges are the rows, the graph stays."""
     one = values.withColumn("_all", F.lit(0))

@@ -1,6 +1,7 @@
 """The keyed bijection and the statistics built on it."""
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,3 +51,38 @@ def test_auroc_null_is_centred(spark):
     df = spark.range(3000).select((F.col("id") % 7).alias("s"), (F.col("id") % 3 == 0).alias("y"))
     stat = np.array([r["stat"] for r in N.rank_auroc(df, "s", F.col("y"), 400, 1).collect()])
     assert abs(stat.mean() - 0.5) < 0.003 and 0.008 < stat.std() < 0.017
+
+
+def test_logistic_slopes_under_a_shuffled_factor(spark):
+    """Every replicate against Newton steps on its own rows; the observed slope against ``pyspark.ml``."""
+    from graticule.operators import resampling as B
+    r = np.random.default_rng(3)
+    n = 900
+    pdf = pd.DataFrame({"b": r.integers(0, 3, n), "x": r.choice([0.5, 1.0, 2.0, 4.0], n)})
+    pdf["hit"] = r.random(n) < 1 / (1 + np.exp(1 - 0.4 * pdf["x"]))
+    df = spark.createDataFrame(pdf).repartition(4)
+    got = {x["rep"]: x["slope"] for x in N.logistic_null(df, "x", F.col("hit"), "b", 12, 5).collect()}
+    assert len(got) == 13
+    want = B.logistic_slope(df.withColumn("y", F.col("hit").cast("int")), "x", "y").first()["slope"]
+    assert abs(got[-1] - want) < 1e-5
+    keys = N.round_keys(5, 0, 12)
+    for rep in range(12):
+        x, y = [], []
+        for b, part in pdf.groupby("b"):
+            values, hits = np.sort(part["x"].to_numpy()), int(part["hit"].sum())
+            p = N.partners(np.arange(len(part)), np.full(len(part), len(part)), keys[rep: rep + 1])[:, 0]
+            x.append(values[p])
+            y.append(np.arange(len(part)) < hits)
+        x, y = np.concatenate(x), np.concatenate(y).astype(float)
+        beta = np.zeros(2)
+        design = np.column_stack([np.ones(len(x)), x])
+        for _ in range(40):
+            q = 1 / (1 + np.exp(-design @ beta))
+            beta += np.linalg.solve((design * (q * (1 - q))[:, None]).T @ design, design.T @ (y - q))
+        assert abs(beta[1] - got[rep]) < 1e-8
+
+
+def test_slopes_that_do_not_exist():
+    n, x = np.array([5.0, 5.0]), np.array([0.0, 1.0])
+    s = N.newton_slopes(np.array([[0.0, 0.0], [0.0, 5.0], [1.0, 3.0]]), n, x)
+    assert np.isnan(s[0]) and np.isnan(s[1]) and abs(s[2] - (np.log(3 / 2) - np.log(1 / 4))) < 1e-9
