@@ -11,10 +11,12 @@ from graticule.functions import arrays as A
 from graticule.functions.hashing import draw_key
 from graticule.operators import fitted as M
 from graticule.operators import folds as K
+from graticule.operators import forests as T
 from graticule.operators import linear as L
 from graticule.operators import permutations as N
 from graticule.operators import resampling as B
 from graticule.plans import order_stats as O
+from graticule.plans.lineage import shared
 
 X = ("x1", "x2", "x3")
 
@@ -181,6 +183,41 @@ def tree_regressor_cv(t):
     return _ml_cv(t, make).groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"))
 
 
+DESIGNS = {"U": ["x1", "x3"], "P": ["x2"], "M": ["x2", "x4"], "U+P": ["x1", "x3", "x2"], "U+M": ["x1", "x3", "x2", "x4"]}
+
+
+def tree_errors(t, trees: int):
+    """id, grp, fold, design, observed, predicted, train_null of component-weighted trees of every design, held out by fold."""
+    w = weighted(t).withColumns({"x3": F.col("x3").cast("double"), "x4": F.ascii("prio").cast("double"), "w": 1.0 / F.col("nc")})
+    forest = T.grow(w, ["x1", "x2", "x3", "x4"], "y", "fold", DESIGNS, trees, depth=5, least=3, seed=12, weight=F.col("w"))
+    told = T.held_out(w, forest, "fold", ["id", "grp", "nc", "fold", "y"]).withColumnRenamed("y", "observed")
+    null = L.leave_out(L.moments(w, ["fold"], [], F.col("y"), F.col("w")), [], "fold").select("fold", (F.get("m_train", F.lit(1)) / F.get("m_train", F.lit(0))).alias("train_null"))
+    return told.join(null, "fold")
+
+
+@query("M12_matched_trees", "design:s n:l components:l mae:d rmse:d q2:d")
+def matched_trees(t, trees: int = 20):
+    """The same budget of extremely randomised trees on five designs; component-balanced errors of held-out predictions."""
+    e, w = F.col("observed") - F.col("predicted"), 1.0 / F.col("nc")
+    null = F.col("observed") - F.col("train_null")
+    per = tree_errors(t, trees).groupBy("design", "grp").agg(F.count(F.lit(1)).alias("n"), *[F.sum(v * w).alias(a) for a, v in (("w", F.lit(1.0)), ("mae", F.abs(e)), ("se", e * e), ("s0", null * null))])
+    share = lambda c: F.sum(c) / F.sum("w")
+    return per.groupBy("design").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("components"), share("mae").alias("mae"), F.sqrt(share("se")).alias("rmse"), (1 - F.sum("se") / F.sum("s0")).alias("q2"))
+
+
+@query("M12_matched_trees_delta", "design:s mean:d low:d high:d components:l")
+def matched_trees_delta(t):
+    """Per component, squared error of each design less that of the widest; bootstrap over components."""
+    e2 = F.pow(F.col("observed") - F.col("predicted"), 2)
+    per = shared(tree_errors(t, 10).groupBy("grp", "design").agg(F.avg(e2).alias("e")))
+    widest = per.where("design = 'U+M'").select("grp", F.col("e").alias("base"))
+    d = shared(per.where("design <> 'U+M'").join(widest, "grp").select("design", "grp", (F.col("e") - F.col("base")).alias("d"), F.lit(1.0).alias("one")))
+    bank = B.bootstrap_counts(d, "grp", 100, 12)
+    stats = B.weighted_means(bank, d, ["grp"], "d", "one", by=["design"])
+    mean = d.groupBy("design").agg(F.avg("d").alias("mean"), F.count(F.lit(1)).alias("components"))
+    return B.interval(stats, ["design"], 0.95).join(mean, "design")
+
+
 @query("M13_tabular_cv", "model:s n:l mae_mean:d mae_std:d r2:d")
 def tabular_cv(t):
     """Two repeats of hashed three-fold CV with median imputation; mean prediction over repeats."""

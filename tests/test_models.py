@@ -91,7 +91,7 @@ def test_fold_pca(spark):
         assert got.loc[k, "evr"] == pytest.approx(np.sort(w)[::-1][:3].sum() / w.sum(), abs=1e-5)
 
 
-@pytest.mark.parametrize("name, rows", [("M9_gam", 5), ("M12_tree_regressor_cv", 5), ("M19_permutation_importance", 3), ("M23_conditional_subset_stability", 3), ("S7_verify_seal", 14), ("S11_latest_run", 1)])
+@pytest.mark.parametrize("name, rows", [("M9_gam", 5), ("M12_tree_regressor_cv", 5), ("M12_matched_trees", 5), ("M12_matched_trees_delta", 4), ("M19_permutation_importance", 3), ("M23_conditional_subset_stability", 3), ("S7_verify_seal", 14), ("S11_latest_run", 1)])
 def test_runs_whole(spark, name, rows):
     got = run(spark, name)
     assert len(got) == rows and not got.isna().any().any()
