@@ -38,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from graticule.llm.batches import pieces
 from graticule.llm.ordering import same
@@ -124,15 +124,19 @@ def _strings(batch: pa.RecordBatch, name: str) -> list[str | None]:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
+def text_key() -> Column:
+    return F.xxhash64("text")
+
+
 def members(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, node (null without shingles)."""
+    """doc_id, text_key (tells texts of one doc_id apart), n_shingles, node (null without shingles)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
             sets = [shingles(t, k) for t in _strings(b, "text")]
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "n_shingles", "node"])
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")).cast(pa.int64()), b.column(b.schema.get_field_index("text_key")), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "text_key", "n_shingles", "node"])
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, n_shingles long, node long")
+    return docs.select("doc_id", "text", text_key().alias("text_key")).mapInArrow(scan, "doc_id long, text_key long, n_shingles long, node long")
 
 
 def postings(docs: DataFrame, k: int, similarity: Similarity) -> DataFrame:
@@ -187,21 +191,27 @@ def shared_leaves(posted: DataFrame) -> DataFrame:
 
 
 def _of_wanted(docs: DataFrame, wanted: DataFrame, k: int, column: str, kind: str, value) -> DataFrame:
-    """node and ``value`` of its shingles, for one document per wanted node (doc_id).  A task gives a node once."""
+    """node and ``value`` of its shingles, for one document per wanted node (doc_id).  A task gives a node once.
+
+    A null doc_id names no single document: if one is wanted, all texts without an id are read, where they lie.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in pieces(batches):
             nodes, values = [], []
             for s in (shingles(t, k) for t in _strings(b, "text")):
-                if (d := digest(s)) not in seen:
+                if len(s) and (d := digest(s)) not in seen:
                     seen.add(d)
                     nodes.append(d)
                     values.append(value(s))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(values, pa.list_(pa.int64()))], names=["node", column])
 
     wanted = cut(wanted)  # ids only; beyond the bound the texts are shuffled to them instead
-    texts = docs.select("doc_id", "text").join(F.broadcast(wanted) if wanted.count() <= COPIED else wanted, "doc_id", "left_semi")
+    named = wanted.where("doc_id IS NOT NULL")
+    texts = docs.select("doc_id", "text").join(F.broadcast(named) if named.count() <= COPIED else named, "doc_id", "left_semi")
+    if not wanted.where("doc_id IS NULL").limit(1).isEmpty():
+        texts = texts.unionByName(docs.select("doc_id", "text").where("doc_id IS NULL AND text IS NOT NULL"))
     found = cut(texts.mapInArrow(scan, f"node long, {column} array<long>")).withColumn(column, F.col(column).cast(kind))
     # only rows that repeat a doc_id can bring a node twice
     return found if found.count() == found.select("node").distinct().count() else cut(found.dropDuplicates(["node"]))
@@ -319,8 +329,8 @@ def _open(posted: DataFrame, label: DataFrame) -> DataFrame:
     return at.join(leaves_, "leaf", "left_semi")
 
 
-def components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id: classes of documents reachable by links of similarity num/den."""
+def classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, text_key, n_shingles, node) and, per node, its smallest doc_id and its component."""
     similarity = Similarity(num, den)
     found = cut(members(docs, k))
     shared = cut(shared_leaves(postings(docs, k, similarity)))
@@ -342,7 +352,22 @@ def components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> Da
     more = verified(rest, docs, ids, k, similarity)
     whole = connected_components(links.unionByName(cut(more)))
 
-    classes = ids.join(whole, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    names = classes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = classes.join(names, "component").select(F.col("node").alias("_node"), "component_id")
+    return found, ids.join(whole, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id: classes of documents reachable by links of similarity num/den."""
+    found, nodes = classes(docs, k, num, den)
+    names = nodes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = nodes.join(names, "component").select(F.col("node").alias("_node"), "component_id")
     return found.join(named, same(F.col("node"), F.col("_node")), "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each class the smallest doc_id stays (null last), of texts under one
+    doc_id that with the smaller hash, of equal rows (doc_id, text) one.  Rows without shingles are no duplicates of others."""
+    found, nodes = classes(docs, k, num, den)
+    at = found.join(nodes.select("node", "component"), "node")
+    first = at.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("f")).select("f.doc_id", "f.text_key")
+    kept = first.unionByName(found.where("node IS NULL").select("doc_id", "text_key")).select(F.col("doc_id").alias("_kept_doc_id"), F.col("text_key").alias("_kept_text_key")).distinct()
+    return docs.join(kept, same(F.col("doc_id"), F.col("_kept_doc_id")) & (text_key() == F.col("_kept_text_key")), "left_semi").dropDuplicates(["doc_id", "text"])

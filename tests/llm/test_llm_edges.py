@@ -69,6 +69,34 @@ def test_language(docs, nothing):
     assert {r["lang_pred"] for r in language.identified(docs, {}).collect()} == {"und"}
 
 
+def chained(spark, ids, more=()):
+    """a ~ b ~ c, where a and c do not link at 85 of 100, under these ids."""
+    w = [f"w{k}" for k in range(200)]
+    a, b = w, w[:-10] + [f"y{k}" for k in range(10)]
+    c = [f"z{k}" for k in range(10)] + b[10:]
+    return spark.createDataFrame([(i, " ".join(t)) for i, t in zip(ids, (a, b, c))] + list(more), "doc_id long, text string")
+
+
+@pytest.mark.parametrize("ids, want", [((1, None, 2), {1}), ((None, None, None), {None}), ((9, 3, 9), {3})])
+def test_null_and_repeated_ids_carry_links(spark, ids, want):
+    """The middle document links the outer ones whatever its id is."""
+    df = chained(spark, ids)
+    got = count_tree.components(df).collect()
+    assert len(got) == 3 and {r["component_id"] for r in got} == want
+
+
+def test_one_of_each_class_stays(spark):
+    """Null ids are no class of their own, an id's other text does not stay with it, rows without words stay, columns are kept."""
+    other = " ".join(f"q{k}" for k in range(50))
+    df = chained(spark, (1, None, 2), [(2, other), (None, other), (3, other), (None, "alone and without an id"), (None, "alone and without an id"), (5, None), (6, ""), (5, None)])
+    df = df.selectExpr("*", "1 AS text_key", "2 AS node", "3 AS component")
+    got = count_tree.one_of_each(df, 4, 85, 100)
+    assert got.columns == df.columns
+    told = sorted(((r["doc_id"], (r["text"] or "")[:5]) for r in got.collect()), key=str)
+    assert told == sorted([(1, "w0 w1"), (2, "q0 q1"), (None, "alone"), (5, ""), (6, "")], key=str)
+    assert count_tree.one_of_each(df.where("false"), 4, 85, 100).count() == 0
+
+
 def test_count_tree(docs, nothing):
     got = count_tree.components(docs).collect()
     assert len(got) == len(ROWS)

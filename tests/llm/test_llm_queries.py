@@ -121,7 +121,11 @@ def test_word_ids_equal_whole_texts(texts):
     r = random.Random(3)
     odd = ["", " ", "\n", "a\n", " a", "a  b", "a\n\nb", "a \nb", "a\tb\t", "can't, won't!", "<|endoftext|> x", "a\x1c b", "x \n"] + ["".join(r.choice("ab é.,!\n\t '1😀-") for _ in range(r.randint(1, 30))) for _ in range(500)]
     some = odd + list(texts.values())[:50]
-    assert known.ids(some) == [known.whole(t) if t else b"" for t in some]
+    from tokenizers import Tokenizer
+    plain = Tokenizer.from_file(BPE)  # as loaded: an added token inside a text is one id
+    assert plain.encode("a <|endoftext|> b", add_special_tokens=False).ids.count(50256) == 1
+    some += ["<|endoftext|>", "a <|endoftext|> b", "a\nb <|endoftext|>c", "x<|endoftext|><|endoftext|>", "<|endoftext"]
+    assert known.ids(some) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u2").tobytes() if t else b"" for t in some]
 
 
 def test_bm25_scores():
