@@ -11,7 +11,6 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from graticule.llm import count_tree, language, mixture, retrieval_packing, site_lines
-from graticule.llm.ordering import same
 from graticule.plans.lineage import ensure_checkpoint_dir
 
 WORDS, SIMILAR = 5, (80, 100)  # shingles and similarity of near duplicates
@@ -30,8 +29,7 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of every near-duplicate group; of rows that repeat, one."""
-    kept = count_tree.components(docs, WORDS, *SIMILAR).where(same(F.col("doc_id"), F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
-    return docs.join(kept, same(F.col("doc_id"), F.col("kept")), "left_semi").dropDuplicates(["doc_id", "text"])
+    return count_tree.one_of_each(docs, WORDS, *SIMILAR)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
