@@ -242,6 +242,27 @@ def test_html_of_the_fixture(spark):
         assert (r["text"], r["n_chars"]) == (want, len(want))
 
 
+LONG = "The harbour was rebuilt in stone after the flood and opened to ships of every size. "
+
+
+@pytest.mark.parametrize("page, want", [
+    (f'<body><div class="content has-sidebar"><h1>Harbour</h1><p>{LONG}</p></div></body>', f"Harbour {LONG}"),
+    (f'<article class="no-comments"><h1>Harbour</h1><div class="post comments-open"><p>{LONG}</p></div></article>', f"Harbour {LONG}"),
+    (f'<article><p>{LONG}</p><section id="search-theory"><p>Search</p></section><div class="notice-board">Board</div></article>', f"{LONG} Search Board"),
+    (f'<article><p>{LONG}</p><div class="share-buttons">Share</div><div class="ad-slot left">Buy</div><p id="related-posts">More</p></article>', LONG),
+    (f'<body><div class=content><h1>Title</h1><p>{LONG * 2}</p><section class=a>{LONG * 12}</section><section class=b>{LONG * 7}</section></div><div>Imprint</div></body>', f"Title {LONG * 2} {LONG * 12} {LONG * 7}"),
+    (f'<body><div class=post><p>{LONG * 4}</p><blockquote>{LONG * 10}</blockquote></div><div><a href=x>{LONG * 3}</a></div></body>', f"{LONG * 4} {LONG * 10}"),
+    (f'<body><div class="notice-board"><p>{LONG * 5}</p></div><p class=ad>{LONG}</p></body>', LONG * 5),
+    (f'<body><div class="layout-sidebar"><article><p>{LONG}</p></article></div></body>', LONG),
+    (f'<body><article><p>{LONG}</p></article><div class="comments"><p>{LONG * 9}</p></div><div class="newsletter">{LONG * 9}</div></body>', LONG),
+    (f'<body><div class=story><h1>Title</h1><p>{LONG}</p></div><div id="comments"><p>{LONG * 9}</p></div></body>', f"Title {LONG}"),
+    (f'<body><h1>Title</h1><div class=text><p>{LONG * 9}</p></div></body>', f"Title {LONG * 9}"),
+])
+def test_html_names_and_sections(page, want):
+    blocks = consensus_html.parsed(page)
+    assert consensus_html.text_at(blocks, consensus_html.best(blocks).path()) == " ".join(want.split())
+
+
 def test_html_furniture_and_consensus(spark):
     body = lambda k, n: f"""<!doctype html><body><div id=top-nav><a href=x>Home</a></div><div class="notice cookie">We use cookies. {'Please agree. ' * 40}</div>
         <div class="page{k} body-text"><h1>Title &amp; {k}</h1><p>Para<b>gr</b>aph{' word' * n}<p>two<br>lines<form>Name <input></form><ul><li>a<li>b</ul><!-- <p>no --><script>"</p>"</script>
