@@ -7,6 +7,7 @@ from graticule.catalog.fixtures import event_series, fold_facts, order_frame, sq
 from graticule.catalog.registry import query
 from graticule.catalog.resampling import u_sql
 from graticule.functions.hashing import uniform
+from graticule.operators import coverage as C
 from graticule.operators import design as D
 from graticule.operators import linear as L
 from graticule.plans import order_stats as O
@@ -45,7 +46,7 @@ p2 AS (SELECT c.p_partkey, least(c.d, abs(c.x - p1.x)) + CASE WHEN k OR c.p_type
 SELECT 1 AS pick, p_partkey, score FROM p1 UNION ALL SELECT 2, p_partkey, score FROM p2""")
 def greedy_novelty(t):
     seen = t.part.where("p_size <= 10").select("p_type", (F.col("p_size") * 20.0).alias("p_retailprice"))
-    return D.greedy_novelty(t.part.where("p_size > 10").select("p_partkey", "p_type", "p_retailprice"), seen, "p_partkey", "p_type", "p_retailprice", 2, 50.0)
+    return C.greedy_novelty(t.part.where("p_size > 10").select("p_partkey", "p_type", "p_retailprice"), seen, "p_partkey", "p_type", "p_retailprice", 2, 50.0)
 
 
 REGRET = "pr AS (SELECT o_orderkey // 2 AS pair_id, o_totalprice AS j, o_orderkey % 2 = (o_orderkey // 2) % 2 AS chosen, (o_orderkey // 2) % 5 AS fold FROM orders), rg AS (SELECT pair_id, any_value(fold) AS fold, count(*) = 2 AND count(*) FILTER (chosen) = 1 AS ok, max(j) FILTER (chosen) - min(j) AS regret FROM pr GROUP BY pair_id)"

@@ -234,7 +234,7 @@ p2 AS (SELECT a.vec_id, least(list_distance(a.e, b.e), list_distance(a.e, c.e))
 p3 AS (SELECT a.vec_id, least(list_distance(a.e, b.e), list_distance(a.e, c.e), list_distance(a.e, f.e)) AS d FROM emb a, emb b, emb c, emb f WHERE b.vec_id = 0 AND c.vec_id = (SELECT vec_id FROM p1) AND f.vec_id = (SELECT vec_id FROM p2) ORDER BY d DESC, a.vec_id LIMIT 1)
 SELECT 1 AS pick, vec_id, d AS dist FROM p1 UNION ALL SELECT 2, vec_id, d FROM p2 UNION ALL SELECT 3, vec_id, d FROM p3"""))
 def farthest_point(t):
-    from graticule.operators.design import farthest_points
+    from graticule.operators.coverage import farthest_points
     v = vectors(t).select("vec_id", "e")
     return farthest_points(v.where("vec_id = 0"), v, "vec_id", "e", 3)
 

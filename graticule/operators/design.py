@@ -10,7 +10,6 @@ from graticule.functions import arrays as A
 from graticule.functions.hashing import draw_key, hex_prefix, uniform
 from graticule.plans import order_stats as O
 from graticule.plans import tiles as T
-from graticule.plans.lineage import cut
 
 ANCHOR_LIMIT = 1024
 
@@ -22,19 +21,6 @@ def _bounded_rows(df: DataFrame, what: str) -> list:
     return rows
 
 
-def farthest_points(reference: DataFrame, candidates: DataFrame, key: str, vector: str, n: int) -> DataFrame:
-    """Greedy max-min coverage: every pick is one distributed argmax, only the pick itself returns."""
-    chosen = [list(r[vector]) for r in _bounded_rows(reference.select(vector), "reference points")]
-    to = lambda p: A.squared_distance(F.col(vector), A.literal_array(p))
-    pool = candidates.select(key, vector, F.least(*[to(p) for p in chosen], F.lit(float("inf"))).alias("d2"))
-    picks = []
-    for k in range(1, n + 1):
-        top = pool.agg(F.max_by(F.struct(key, vector, "d2"), F.struct("d2", (-F.col(key)).alias("o"))).alias("p")).first()["p"]
-        picks.append((k, int(top[key]), float(np.sqrt(top["d2"]))))
-        pool = pool.withColumn("d2", F.least("d2", to(list(top[vector]))))
-    return candidates.sparkSession.createDataFrame(picks, f"pick long, {key} long, dist double")
-
-
 def anchor_gap_scale(points: DataFrame, anchors: DataFrame, key: str, vector: str) -> DataFrame:
     """1.4826 * median |J_i - J_k| per anchor with J the squared distance to the anchor."""
     out = None
@@ -73,20 +59,3 @@ def blind_codes(df: DataFrame, key: str, seed: int, prefix: str = "AUDIT") -> Da
     rows = df.withColumn("_h", draw_key(seed, F.col(key)))
     rows = O.ordinal(rows, [], [F.col("_h"), F.col(key)], [hex_prefix(F.col("_h"))], "_pos")
     return rows.withColumn("code", F.format_string(f"{prefix}-%02d", "_pos")).drop("_h", "_pos")
-
-
-def greedy_novelty(candidates: DataFrame, seen: DataFrame, key: str, signature: str, x: str, n: int, bonus: float) -> DataFrame:
-    """Repeated argmax of (bonus for an unseen signature) + (distance to the nearest seen or picked value)."""
-    known = [r["s"] for r in _bounded_rows(seen.select(F.col(signature).alias("s")).distinct(), "seen signatures")]
-    values = [float(r["v"]) for r in _bounded_rows(seen.select(F.col(x).alias("v")).distinct(), "seen values")]
-    pool = candidates.select(key, signature, x, F.array_min(F.transform(A.literal_array(values), lambda v: F.abs(v - F.col(x)))).alias("d"))
-    picks = []
-    for k in range(1, n + 1):
-        score = F.col("d") + F.when(F.col(signature).isin(known), 0.0).otherwise(bonus)
-        taken = [p[1] for p in picks]
-        rest = pool.where(~F.col(key).isin(taken)) if taken else pool
-        top = rest.select(F.struct(score.alias("score"), (-F.col(key)).alias("o"), F.col(key).alias("k"), F.col(signature).alias("s"), F.col(x).alias("v")).alias("t")).agg(F.max("t").alias("t")).first()["t"]
-        picks.append((k, int(top["k"]), float(top["score"])))
-        known.append(top["s"])
-        pool = pool.withColumn("d", F.least("d", F.abs(F.col(x) - float(top["v"]))))
-    return candidates.sparkSession.createDataFrame(picks, f"pick long, {key} long, score double")

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -33,3 +34,27 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` once in the checkpoint folder and forget its history."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+class Rounds:
+    """Tables of an iterative job in the checkpoint folder: each round is written whole, then the one before is removed."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.last = spark, None
+
+    def _remove(self, path: str | None) -> None:
+        if path is not None:
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        ensure_checkpoint_dir(self.spark)
+        path = f"{self.spark.sparkContext.getCheckpointDir()}/round-{uuid.uuid4()}"
+        df.write.parquet(path)
+        self._remove(self.last)
+        self.last = path
+        return self.spark.read.parquet(path)
+
+    def end(self) -> None:
+        self._remove(self.last)
+        self.last = None
