@@ -247,6 +247,14 @@ def leave_one_cluster_out(t):
     return s.select("l_suppkey", full.alias("full_mean"), without.alias("without"), (full - without).alias("influence"))
 
 
+@query("G11_leave_one_out_angles", "label:l n:l angle_deg:d")
+def leave_one_out_angles(t):
+    """How far the plane of the three strongest directions turns when a label is left out."""
+    from graticule.operators.matched import leave_one_out_angles as angles
+    from graticule.operators.resampling import cluster_moments
+    return angles(cluster_moments(vectors(t), "label", "e", 64), "label", 64, 3)
+
+
 @query("J11_theta_top_gap", "i:l j:l d_proc:d d_morph:d", sql("pair", "SELECT i, j, d_proc, d_morph FROM pair WHERE d_proc <= 0.2 ORDER BY d_morph DESC, i, j LIMIT 20"))
 def theta_top_gap(t):
     """Pairs close in the observable block and far in the hidden block, top 20 by hidden distance."""

@@ -14,6 +14,7 @@ from graticule.functions import process as P
 from graticule.functions.hashing import pick, uniform
 from graticule.operators import graph as G
 from graticule.operators import permutations as N
+from graticule.operators import matched
 from graticule.operators import resampling as B
 from graticule.operators import summaries as R
 from graticule.plans import order_stats as O
@@ -237,6 +238,15 @@ def matched_subset_draw(t):
     return B.matched_subset(df, "grp", "id", F.col("role") == "P", 5, 53).groupBy("rep", "grp").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("B13_matched_subset_signature", "rep:l session:l size:l n_clusters:l n_rows:l", """WITH c AS (SELECT l_linenumber % 3 AS session, l_suppkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' AND l_suppkey % 4 = 1 GROUP BY ALL)
+SELECT rep, session, n AS size, count(*) AS n_clusters, n * count(*) AS n_rows FROM c, range(6) AS g(rep) GROUP BY rep, session, n""")
+def matched_subset_signature(t):
+    """Random subsets of all lines: whatever is drawn, every session keeps the cluster sizes of the given subset."""
+    rows = t.lineitem.select((F.col("l_linenumber") % 3).alias("session"), "l_suppkey", F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), ((F.col("l_returnflag") == "R") & (F.col("l_suppkey") % 4 == 1)).alias("given"))
+    draws = matched.matched_draws(rows, "l_suppkey", "id", F.col("given"), 6, 57, "session")
+    return matched.signature(draws, "l_suppkey", ["rep", "session"]).withColumn("n_rows", F.col("size") * F.col("n_clusters"))
+
+
 @query("B14_logistic_slope", "slope:d intercept:d")
 def logistic_slope(t):
     return B.logistic_slope(t.lineitem.select("l_quantity", (F.col("l_extendedprice") > 30000).cast("int").alias("hit")), "l_quantity", "hit")
