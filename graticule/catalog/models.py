@@ -15,6 +15,7 @@ from graticule.operators import forests as T
 from graticule.operators import linear as L
 from graticule.operators import permutations as N
 from graticule.operators import resampling as B
+from graticule.operators import targets as Y
 from graticule.plans import order_stats as O
 from graticule.plans.lineage import shared
 
@@ -106,6 +107,43 @@ def select_alpha_inner(t):
     return s.join(best, ["fold", "alpha"]).select("fold", "alpha", "mse")
 
 
+def nested_sql(targets: dict[str, str], scorer: str) -> str:
+    """Nested choice of the penalty for x1, x2 and two targets, with the closed form of two standardised features."""
+    def stats(where, by):
+        pairs = ", ".join(f"avg({t}) AS m{t}, covar_pop(x1, {t}) / stddev_pop(x1) AS p{t}, covar_pop(x2, {t}) / stddev_pop(x2) AS q{t}" for t in targets)
+        return f"SELECT {by}, count(*) AS n, avg(x1) AS m1, stddev_pop(x1) AS s1, avg(x2) AS m2, stddev_pop(x2) AS s2, corr(x1, x2) AS r12, {pairs} FROM {where} GROUP BY {by}"
+    error = lambda t: f"pow({t} - m{t} - ((p{t} * (1 + a / n) - r12 * q{t}) * (x1 - m1) / s1 + (q{t} * (1 + a / n) - r12 * p{t}) * (x2 - m2) / s2) / (pow(1 + a / n, 2) - r12 * r12), 2)"
+    sse, ss0 = " + ".join(error(t) for t in targets), " + ".join(f"pow({t} - m{t}, 2)" for t in targets)
+    q2, mse = f"1 - sum({sse}) / sum({ss0})", f"avg({sse}) / {len(targets)}"
+    names = ", ".join(f"{c} AS {t}" for t, c in targets.items())
+    return sql("ord", FS + f""", al AS (SELECT pow(10, -3 + g * 0.5) AS a FROM range(13) AS s(g)), z AS (SELECT fold, inn, x1, x2, {names} FROM r), ii AS (SELECT DISTINCT inn AS j FROM z),
+tr AS ({stats('fd, ii JOIN z ON z.fold <> k AND z.inn <> j', 'k, j')}), sc AS (SELECT tr.k, tr.j, a, {q2 if scorer == 'log_ratio_q2' else mse} AS s FROM tr JOIN z ON z.fold <> tr.k AND z.inn = tr.j, al GROUP BY tr.k, tr.j, a),
+av AS (SELECT k, a, avg(s) AS s FROM sc GROUP BY k, a), best AS (SELECT k, a, s FROM av QUALIFY row_number() OVER (PARTITION BY k ORDER BY {'-s' if scorer == 'log_ratio_q2' else 's'}, a) = 1), ow AS ({stats('fd JOIN z ON z.fold <> k', 'k')})
+SELECT k AS fold, a AS alpha, any_value(s) AS inner_score, {mse} AS test_mse, {q2} AS test_q2 FROM ow JOIN best USING (k) JOIN z ON z.fold = k GROUP BY k, a""")
+
+
+def nested(t, targets, scorer, weight=None):
+    return Y.nested(frame(t), "fold", "inner", cols(("x1", "x2")), targets, {"both": [0, 1]}, 5, scorer, weight=weight)
+
+
+NESTED = "fold:l alpha:d inner_score:d test_mse:d test_q2:d"
+
+
+@query("M8_nested_two_targets", NESTED, nested_sql({"ya": "y / 100", "yb": "x3"}, "multi_mse"))
+def nested_two_targets(t):
+    """One penalty per outer fold for two targets, by their mean squared error over inner folds."""
+    return nested(t, [F.col("y") / 100, F.col("x3")], "multi_mse")
+
+
+LOG_RATIOS = {"za": "(ln(1 + x3) - ln(1 + x2)) / sqrt(2)", "zb": "(ln(1 + x3) + ln(1 + x2) - 2 * ln(y)) / sqrt(6)"}
+
+
+@query("M8_nested_log_ratio", NESTED, nested_sql(LOG_RATIOS, "log_ratio_q2"))
+def nested_log_ratio(t):
+    """Targets are the two log-ratio coordinates of a three-part composition; the inner score is their joint Q2."""
+    return nested(t, [F.expr(e) for e in LOG_RATIOS.values()], "log_ratio_q2")
+
+
 @query("M8_select_alpha_q2", "fold:l alpha:d")
 def select_alpha_q2(t):
     return L.select_alpha(inner(t, X), ["fold"], "q2")

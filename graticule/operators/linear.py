@@ -95,16 +95,24 @@ def predict(x: Sequence[Column], coef: str = "coef", intercept: str = "intercept
     return F.col(intercept) + A.dot(F.col(coef), F.array(*[c.cast("double") for c in x]))
 
 
-def inner_scores(stats: DataFrame, outer: str, inner: str, designs: dict[str, Sequence[int]], alphas: Sequence[float], k: int) -> DataFrame:
-    """Mean inner MSE per outer fold, design and penalty, from statistics keyed (fold, inner fold).
+def summed(stats: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, m, n): statistics added up over the other keys."""
+    long = stats.select(*by, "n", F.posexplode("m").alias("_k", "v")).groupBy(*by, "_k").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
+    return long.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "v"))), lambda e: e["v"]).alias("m"), F.max("n").alias("n"))
+
+
+def inner_splits(stats: DataFrame, outer: str, inner: str, k: int) -> DataFrame:
+    """Inner training and test parts (``_o``, inner, m_train, ...) of every outer fold 0 .. k - 1, from statistics keyed (fold, inner fold).
 
     The inner test part of outer fold o is the sum over the other folds of the same inner key.
     """
     other = stats.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))).where(F.col(outer) != F.col("_o"))
-    size = F.posexplode("m").alias("_k", "v")
-    summed = other.select("_o", inner, "n", size).groupBy("_o", inner, "_k").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
-    packed = summed.groupBy("_o", inner).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "v"))), lambda e: e["v"]).alias("m"), F.max("n").alias("n"))
-    fits = fit(leave_out(packed, ["_o"], inner), designs, alphas)
+    return leave_out(summed(other, ["_o", inner]), ["_o"], inner)
+
+
+def inner_scores(stats: DataFrame, outer: str, inner: str, designs: dict[str, Sequence[int]], alphas: Sequence[float], k: int) -> DataFrame:
+    """Mean inner MSE per outer fold, design and penalty."""
+    fits = fit(inner_splits(stats, outer, inner, k), designs, alphas)
     return fits.groupBy(F.col("_o").alias(outer), "design", "alpha").agg(F.avg(F.col("sse") / F.col("n_test")).alias("mse"), F.avg(1 - F.col("sse") / F.col("ss0")).alias("q2"))
 
 
