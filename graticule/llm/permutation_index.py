@@ -4,6 +4,8 @@ Pivots are vectors of the data.  A vector is represented by its nearest pivots i
 inverted file of each of its first POSTED pivots.  A query visits the files of its own first pivots.  In
 each file it ranks the posted vectors by the footrule distance between the two orders, the sum over pivots of
 the difference of their places, and the best are ranked again by Euclidean distance on the original vectors.  A vector that meets the query in several files is ranked in the first of them only.
+How far the best reach is one footrule per query, for all its files: that within which a RERANKED share of a sample of the vectors lies.
+All vectors within it are ranked, however many copies there are.
 
 Files are dealt to blocks of BLOCK postings, because copies of one vector or a dense region may put a third
 of all rows into one file.  Queries that meet fewer vectors than asked for get the exact answer from all
@@ -21,16 +23,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from graticule.plans.lineage import cut
 
 PIVOTS = 128  # fitted on so many vectors; up to 256, as places are kept in a byte
-POSTED = 16  # files that hold a vector, and that a query visits
+POSTED = 12  # files that hold a vector, and that a query visits
 BLOCK = 8192  # postings ranked in one task
 QUERIES = 1024  # queries meeting a block in one task
-RERANKED = 0.25  # share of a block, by footrule, that is ranked by distance, at least LEAST vectors
-LEAST = 256
+RERANKED = 0.045  # share of all vectors, by footrule, that is ranked by distance, or as many as make LEAST
+LEAST = 1024
+SAMPLE = 4096  # distinct vectors that tell a query's reach
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -104,6 +108,18 @@ def blocks_of(rows: DataFrame, file: str, size: int) -> DataFrame:
     return rows.groupBy(file).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("blocks"))
 
 
+def reaching(asked: DataFrame, sample: np.ndarray, share: float) -> DataFrame:
+    """Adds ``reach``: the footrule within which ``share`` of the sampled orders lie."""
+    at = min(len(sample) - 1, int(np.ceil(share * len(sample))))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(reach=[int(np.partition(footrule(mine, sample), at)[at]) for mine in _places(pdf["places"])] if len(pdf) else [])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in asked.schema)
+    return asked.mapInPandas(scan, f"{fields}, reach long")
+
+
 def _block(key: Column, blocks: Column) -> Column:
     return F.pmod(F.xxhash64(key), blocks).cast("int")
 
@@ -115,38 +131,47 @@ def _meet(queries: DataFrame, rows: DataFrame, ranked) -> DataFrame:
     q = queries.join(deal, "file").withColumn("qb", _block(F.col("id"), F.col("qs"))).withColumn("rb", F.explode(F.sequence(F.lit(0), F.col("rs") - 1)))
     r = rows.join(deal, "file").withColumn("rb", _block(F.struct("id", "v"), F.col("rs"))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qs") - 1)))
     cols = ["file", "qb", "rb", "id", "v", "places"]
-    q = q.select(*[F.col(c).alias(c) for c in cols])  # both sides come from one table: columns of their own
+    q = q.select(*[F.col(c).alias(c) for c in [*cols, *({"reach"} & set(q.columns))]])  # both sides come from one table: columns of their own
     return q.groupBy("file", "qb", "rb").cogroup(r.select(*cols).groupBy("file", "qb", "rb")).applyInPandas(ranked, FOUND)
 
 
-def search(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 10) -> DataFrame:
-    """query_id, rank, vec_id, score: for each query the ``k`` nearest of all other rows that were found."""
+def search(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 10, work: Accumulator | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score: for each query the ``k`` nearest of all other rows that were found.
+
+    ``work`` counts the vectors ranked by distance.
+    """
     spark = vectors.sparkSession
     rows = usable(vectors, key, vector)
-    pivots = pivots_of(rows, PIVOTS)
+    sample = pivots_of(rows, SAMPLE)
+    pivots = sample[:PIVOTS]
     if not len(pivots):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     posted = min(POSTED, len(pivots))
     placed = cut(ordered(rows, pivots))
+    near = np.argsort((pivots ** 2).sum(axis=1) - 2 * (sample @ pivots.T), axis=1, kind="stable")
+    orders = np.empty(near.shape, np.int16)
+    np.put_along_axis(orders, near, np.arange(near.shape[1], dtype=np.int16)[None, :], axis=1)
     asked = placed.where(is_query)
-    filed = lambda df: df.select(F.explode("files").alias("file"), "id", "v", "places")
+    within = reaching(asked, orders, max(RERANKED, max(LEAST, 3 * k) / max(placed.count(), 1)))
+    filed = lambda df: df.select(F.explode("files").alias("file"), *[c for c in df.columns if c != "files"])
 
     def ranked(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return _frame([])
         file = left["file"].iloc[0]
         ids, have, places = right["id"].to_numpy(), _vectors(right["v"]), _places(right["places"])
-        wanted = max(LEAST, int(RERANKED * len(ids)))
         found = []
-        for query_id, v, mine in zip(left["id"], _vectors(left["v"]), _places(left["places"])):
+        for query_id, v, mine, reach in zip(left["id"], _vectors(left["v"]), _places(left["places"]), left["reach"]):
             # what a file visited earlier holds is ranked there
             earlier = np.flatnonzero(mine < mine[file])
             new = np.flatnonzero(~(places[:, earlier] < posted).any(axis=1))
-            best = new[np.lexsort((ids[new], footrule(mine, places[new])))[:wanted]]
+            best = new[footrule(mine, places[new]) <= reach]
+            if work is not None:
+                work.add(len(best))
             found += nearest(query_id, v, ids[best], have[best], k)
         return _frame(found)
 
-    first = _meet(filed(asked), filed(placed), ranked)
+    first = _meet(filed(within), filed(placed), ranked)
     top = cut(_top(first, k))
 
     def exact(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

@@ -1,11 +1,13 @@
 """The registered queries against DuckDB, brute force, exact round trips and held-out labels."""
 import collections
 import hashlib
+import os
 import random
 import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 import oracle
 import public_tokenizers
-from graticule.llm import chat, consensus_html, count_tree, language, order_minhash, queries, retrieval_packing, shingles, url_trees
+from graticule.llm import chat, consensus_html, count_tree, language, order_minhash, permutation_index, queries, retrieval_packing, shingles, url_trees
 
 FOLDER = "/root/testdata/sf0.001"
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -242,6 +244,46 @@ def test_html_of_the_fixture(spark):
         assert (r["text"], r["n_chars"]) == (want, len(want))
 
 
+def test_permutation_index_prunes(spark):
+    """50,000 vectors of 24 hidden dimensions: at least 0.9 of the true neighbours from under 5 % of the vectors."""
+    rng = np.random.default_rng(11)
+    x = (rng.normal(size=(50_000, 24)) @ rng.normal(size=(24, 64)) + rng.normal(size=(50_000, 64))).astype(np.float32)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": list(x)})).repartition(8)
+    work = spark.sparkContext.accumulator(0)
+    got = collections.defaultdict(set)
+    for r in permutation_index.search(df, F.col("id") % 500 == 0, work=work).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hits = 0
+    for q in range(0, len(x), 500):
+        d = ((x - x[q]).astype(float) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(got[q] & set(np.argsort(d)[:10].tolist()))
+    recall, share = hits / 1000, work.value / (100 * len(x))
+    print(f"recall {recall:.3f}, ranked by distance {share:.4f}")
+    assert recall >= 0.9 and share < 0.05
+
+
+@pytest.mark.parametrize("sf", ["sf0.1", "check_s"])
+def test_permutation_index_recall_on_tables(spark, sf):
+    """Against brute force on the given vectors, which are near-unstructured; where the folder is not there, nothing is tested."""
+    folder = f"/root/testdata/{sf}"
+    if not os.path.exists(folder):
+        pytest.skip(folder)
+    rows = [(i, v) for i, v in spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding").collect() if i is not None and v and len(v) == 64 and None not in v and np.isfinite(v).all() and any(v)]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], float)
+    got = collections.defaultdict(list)
+    for r in queries.QUERIES["op7_permutation_index"](spark, folder).collect():
+        got[r["query_id"]].append(r["score"])
+    kept = total = 0
+    for q in ids[ids % 100 == 0]:
+        d = np.sqrt(((x[ids != q] - x[ids == q][0]) ** 2).sum(1))
+        far = np.sort(d)[:10][-1]
+        kept += sum(s <= far + 1e-9 for s in got[q])
+        total += min(10, len(d))
+    print(f"recall {kept / total:.3f}")
+    assert kept / total >= 0.9
+
+
 LONG = "The harbour was rebuilt in stone after the flood and opened to ships of every size. "
 
 
