@@ -35,6 +35,9 @@ SQL = {
         FROM emb a JOIN emb b ON a.vec_id < b.vec_id)""",
 }
 
+# as "ord", with means that depend on no order of summation: equal discounts tie
+SQL["ord_exact"] = SQL["ord"].replace("avg(l_discount)", "CAST(sum(CAST(l_discount AS DECIMAL(18, 6))) AS DOUBLE) / count(l_discount)")
+
 
 def sql(names: str, body: str) -> str:
     """Prefix ``body`` with the named fixture CTEs; body may open with further CTEs."""
@@ -81,9 +84,11 @@ def event_series(t: Tables) -> DataFrame:
                            (micros / F.lit(3600000000.0)).alias("s"))
 
 
-def order_frame(t: Tables) -> DataFrame:
+def order_frame(t: Tables, exact: bool = False) -> DataFrame:
+    """``exact`` means are the same in every order of summation, for ranks and edges that must keep ties."""
+    mean = F.sum(F.col("l_discount").cast("decimal(18,6)")).cast("double") / F.count("l_discount") if exact else F.avg("l_discount")
     lines = t.lineitem.groupBy("l_orderkey").agg(
-        F.sum("l_quantity").alias("q"), F.avg("l_discount").alias("disc"), F.count(F.lit(1)).alias("n"))
+        F.sum("l_quantity").alias("q"), mean.alias("disc"), F.count(F.lit(1)).alias("n"))
     return t.orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
         F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("grp"), F.col("o_orderstatus").alias("role"),
         F.col("o_orderpriority").alias("prio"), F.log(1 + F.coalesce("q", F.lit(0.0))).alias("x1"),

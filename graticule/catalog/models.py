@@ -500,13 +500,13 @@ def pdp_over_rows(t):
     return M.partial_dependence(df, bent(t), ("x1", "x2"), M.quantile_points(df, ("x1", "x2"), [0.05 + 0.1 * k for k in range(10)]))
 
 
-@query("M21_ale_bins", "feature:s bin:l lo:d hi:d n:l effect:d", sql("ord", BENT + """, qs AS (SELECT quantile_cont(x1, [0.0, 0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875, 1.0]) AS q1, quantile_cont(x2, [0.0, 0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875, 1.0]) AS q2 FROM o),
+@query("M21_ale_bins", "feature:s bin:l lo:d hi:d n:l effect:d", sql("ord_exact", BENT + """, qs AS (SELECT quantile_cont(x1, [0.0, 0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875, 1.0]) AS q1, quantile_cont(x2, [0.0, 0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875, 1.0]) AS q2 FROM o),
 ed AS (SELECT feature, list_sort(list_distinct(q)) AS e FROM (SELECT 'x1' AS feature, q1 AS q FROM qs UNION ALL SELECT 'x2', q2 FROM qs)), v AS (SELECT 'x1' AS feature, x1 AS x FROM o UNION ALL SELECT 'x2', x2 FROM o),
 b AS (SELECT feature, least(len(list_filter(e, lambda z: z <= x)), len(e) - 1) AS b, e FROM v JOIN ed USING (feature)), d AS (SELECT feature, b - 1 AS bin, e[b] AS lo, e[b + 1] AS hi, CASE feature WHEN 'x1' THEN b1 * (e[b + 1] - e[b]) ELSE b2 * (e[b + 1] * e[b + 1] - e[b] * e[b]) END AS d FROM b, md),
 m AS (SELECT feature, bin, any_value(lo) AS lo, any_value(hi) AS hi, count(*) AS n, avg(d) AS d FROM d GROUP BY feature, bin), c AS (SELECT *, sum(d) OVER (PARTITION BY feature ORDER BY bin) AS acc FROM m) SELECT feature, bin, lo, hi, n, acc - sum(acc * n) OVER (PARTITION BY feature) / sum(n) OVER (PARTITION BY feature) AS effect FROM c"""))
 def ale_bins(t):
     """Accumulated local effects of a fitted model between quantile edges; tasks hand on sums and counts per bin."""
-    return M.accumulated_effects(order_frame(t), bent(t), ("x1", "x2"), 8)
+    return M.accumulated_effects(order_frame(t, exact=True), bent(t), ("x1", "x2"), 8)
 
 
 @query("M20_additive_curves", "feature:s k:l x:d response:d")

@@ -18,10 +18,10 @@ def avg_rank(t):
     return O.average_ranks(t.lineitem, [], "l_quantity", "r", descending=True)
 
 
-@query("W2_consensus_rank", "id:l consensus:d", sql("ord", """r AS (SELECT id, rank() OVER (ORDER BY x1) + (count(*) OVER (PARTITION BY x1) - 1) / 2 AS a, rank() OVER (ORDER BY x2) + (count(*) OVER (PARTITION BY x2) - 1) / 2 AS b, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS c FROM ord)
+@query("W2_consensus_rank", "id:l consensus:d", sql("ord_exact", """r AS (SELECT id, rank() OVER (ORDER BY x1) + (count(*) OVER (PARTITION BY x1) - 1) / 2 AS a, rank() OVER (ORDER BY x2) + (count(*) OVER (PARTITION BY x2) - 1) / 2 AS b, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS c FROM ord)
 SELECT id, list_sort([a, b, c])[2] AS consensus FROM r"""))
 def consensus_rank(t):
-    df = order_frame(t)
+    df = order_frame(t, exact=True)
     for c, n in (("x1", "a"), ("x2", "b"), ("y", "c")):
         df = O.with_average_rank(df, [], c, n)
     return df.select("id", A.array_median(F.array("a", "b", "c")).alias("consensus"))
