@@ -1,16 +1,14 @@
 """Exact ranks, running totals and quantiles without sorting one group in one task.
 
-Values are first reduced to (group, value, count).  A mergeable quantile sketch over the
-distinct values cuts every group into ordered buckets, bucket totals are accumulated (a few
-dozen rows per group), and the fine ordering happens inside (group, bucket) only.  The result
-is exact for any sketch error; the sketch only balances the work.
+Values are first reduced to (group, value, count).  A code of the value alone cuts every group
+into ordered buckets, bucket totals are accumulated (at most ``STEPS`` per doubling of the
+value), and the fine ordering happens inside (group, bucket) only.
 """
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
-
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def value_counts(df: DataFrame, by: Sequence[str], value: str, amount: str | Column | None = None) -> DataFrame:
@@ -19,40 +17,31 @@ def value_counts(df: DataFrame, by: Sequence[str], value: str, amount: str | Col
     return df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(n.alias("_n"))
 
 
-def _buckets(spark: SparkSession) -> int:
-    """As many buckets as shuffle partitions, so that ordering one group can use the whole cluster."""
-    return min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 32), 4096)
+STEPS = 4096  # buckets between a value and its double
 
 
-def _bucketed(counts: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Adds the bucket and the group total.
+def _bucket(value: Column) -> Column:
+    """Order-preserving coarse code of a numeric value: sign and logarithm.
 
-    Edges are deduplicated, so a small group carries few.  The bucket is found in two short steps
-    (every 64th edge, then the 64 edges behind it) instead of a walk over all edges.
+    It depends on the value alone, so every evaluation of a plan puts a value into the same bucket (edges taken from a
+    sketch differ from one evaluation to the next, as its merge order does).
     """
-    n = _buckets(counts.sparkSession)
-    probs = F.array(*[F.lit(i / n) for i in range(1, n)])
-    edges = counts.groupBy(*by).agg(F.array_distinct(F.percentile_approx(value, probs, 4 * n)).alias("_edges"), F.sum("_n").alias("_total"))
-    edges = edges.withColumn("_coarse", F.filter("_edges", lambda _, i: i % 64 == 63))
-    if by:
-        joined = counts.join(edges, list(by))
-    else:
-        row = edges.select(F.struct("_edges", "_coarse", "_total")).scalar()
-        joined = counts.withColumn("_e", row).withColumns({c: F.col(f"_e.{c}") for c in ("_edges", "_coarse", "_total")}).drop("_e")
-    below = lambda array: F.size(F.filter(array, lambda e: e < F.col(value)))
-    joined = joined.withColumn("_jump", below(F.col("_coarse")) * 64)
-    return joined.withColumn("_bucket", F.col("_jump") + below(F.slice("_edges", F.col("_jump") + 1, F.lit(64)))).drop("_edges", "_coarse", "_jump")
+    v = value.cast("double")
+    size = F.greatest(F.least(F.floor(F.log2(F.abs(v)) * STEPS), F.lit(1100 * STEPS)), F.lit(-1100 * STEPS)) + F.lit(1200 * STEPS)
+    # NaN sorts last
+    return F.when(F.isnan(v), F.lit(2400 * STEPS)).when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0)).cast("int")
 
 
 def running_totals(counts: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Adds ``_before`` (total of smaller values), ``_upto`` and ``_total`` per group."""
     by = list(by)
-    fine = _bucketed(counts, by, value)
-    within_group = Window.partitionBy(*by).orderBy("_bucket")
+    fine = counts.withColumn("_bucket", _bucket(F.col(value)))
+    group = Window.partitionBy(*by)
     offsets = (
         fine.groupBy(*by, "_bucket")
         .agg(F.sum("_n").alias("_size"))
-        .withColumn("_offset", F.sum("_size").over(within_group) - F.col("_size"))
+        .withColumn("_offset", F.sum("_size").over(group.orderBy("_bucket")) - F.col("_size"))
+        .withColumn("_total", F.sum("_size").over(group))
         .drop("_size")
     )
     inside = Window.partitionBy(*by, "_bucket").orderBy(value)

@@ -150,3 +150,23 @@ def test_tiles_cover_every_pair_once(spark, monkeypatch):
     assert np.allclose(near["dist"].to_numpy().reshape(90, 4), np.sort(full, axis=1)[:, :4])
     tot = T.pair_totals(df, "id", ["grp_col", "e"], measure).toPandas()
     assert tot["n"].sum() == 90 * 89 // 2 and np.isclose(tot["s"].sum(), d[iu].sum())
+
+
+def test_quantiles_of_many_values_do_not_depend_on_the_evaluation(spark):
+    """Far more distinct values than a sketch keeps, merged in any order: offsets and rows must use the same buckets."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(scale=200, size=200_000), 1e9 + rng.random(100_000), np.zeros(50)])
+    pdf = pd.DataFrame({"g": np.arange(len(x)) % 3, "x": rng.permutation(x)})
+    df = spark.createDataFrame(pdf).repartition(24)
+    got = O.quantiles(df, ["g"], "x", {"a": 0.1, "b": 0.5, "c": 0.9}).toPandas().set_index("g")
+    for g, part in pdf.groupby("g"):
+        assert np.allclose(got.loc[g, ["a", "b", "c"]].astype(float), np.quantile(part["x"], [0.1, 0.5, 0.9]), rtol=1e-12, atol=1e-12)
+
+
+def test_buckets_follow_the_order_of_values(spark):
+    values = [float("-inf"), -1e300, -2.0, -1.0, -1e-300, 0.0, 5e-324, 1e-9, 1.0, 1.001, 2.0, 1e300, float("inf"), float("nan")]
+    rows = spark.createDataFrame([(float(v),) for v in values], "x double").select("x", O._bucket(F.col("x")).alias("b")).collect()
+    codes = [r["b"] for r in rows]
+    assert codes == sorted(codes) and len(set(codes)) == len(codes)
+    total = O.running_totals(O.value_counts(spark.createDataFrame([(float(v),) for v in values], "x double"), [], "x"), [], "x").orderBy("x").collect()
+    assert [r["_before"] for r in total] == list(range(len(values)))
