@@ -24,6 +24,7 @@ CELL_ROWS = 512
 PIVOTS = 4096
 SLACK = 1e-6  # rounding of distances from inner products, relative to the size of the data
 PAIRS = 1 << 16  # pairs measured component by component at once
+VISITS = 1 << 13  # visiting rows, vectors included, of one frame
 FOUND = "src long, dst long, dist double, compared long"
 
 
@@ -81,10 +82,11 @@ def search(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if len(pdf):
-                d = distances(_stack(pdf["v"]), pivots)
+            for start in range(0, len(pdf), CELL_ROWS):
+                g = pdf.iloc[start: start + CELL_ROWS]
+                d = distances(_stack(g["v"]), pivots)
                 at = d.argmin(axis=1)
-                yield pdf.assign(cell=at.astype(np.int32), d0=d[np.arange(len(d)), at])
+                yield g.assign(cell=at.astype(np.int32), d0=d[np.arange(len(d)), at])
 
     dealt = rows.mapInPandas(assign, "id long, v array<double>, cell int, d0 double")
     stats = dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("d0").alias("r")).collect()  # at most one row per pivot
@@ -120,8 +122,11 @@ def search(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:
                 row, cell, d = np.repeat(row, n), np.repeat(cell, n), np.repeat(d[row, cell], n)
                 block = first[cell] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 other = block != g["block"].to_numpy()[row]
-                at = row[other]
-                yield pd.DataFrame({"block": block[other].astype(np.int32), "member": False, "id": g["id"].to_numpy()[at], "v": g["v"].to_numpy()[at], "d0": d[other], "bound": bound[at]})
+                row, block, d = row[other], block[other].astype(np.int32), d[other]
+                ids, v = g["id"].to_numpy(), g["v"].to_numpy()
+                for k in range(0, len(row), VISITS):  # a row may visit every block: its copies are not held at once
+                    at = row[k: k + VISITS]
+                    yield pd.DataFrame({"block": block[k: k + VISITS], "member": False, "id": ids[at], "v": v[at], "d0": d[k: k + VISITS], "bound": bound[at]})
 
     kinds = "block int, member boolean, id long, v array<double>, d0 double, bound double"
     visits = told.select("id", "v", "block", "bound").mapInPandas(expand, kinds)

@@ -48,3 +48,25 @@ def test_equals_tiles_on_the_table(spark):
 
 def test_empty(spark):
     assert C.nearest(spark.createDataFrame([], "id long, v array<double>"), "id", "v", 3).count() == 0
+
+
+def test_frames_of_visits_are_bounded(spark, monkeypatch):
+    """Data without structure: every row visits every block, the vectors of a frame stay few."""
+    monkeypatch.setattr(C, "CELL_ROWS", 16)
+    monkeypatch.setattr(C, "VISITS", 50)
+    frames, long = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    class Watched:
+        def __getattr__(self, name):
+            return getattr(pd, name)
+
+        def DataFrame(self, data):  # noqa: N802
+            if "member" in data:
+                frames.add(1)
+                long.add(int(len(data["id"]) > 50))
+            return pd.DataFrame(data)
+    monkeypatch.setattr(C, "pd", Watched())
+    x = np.random.default_rng(5).normal(size=(600, 12))
+    got = {(a["src"], a["rk"]): a["dst"] for a in C.nearest(frame(spark, x), "id", "v", 3).collect()}
+    assert got == {k: v[0] for k, v in plain(x, 3).items()}
+    assert frames.value > 0 and long.value == 0
