@@ -116,9 +116,11 @@ def nested_sql(targets: dict[str, str], scorer: str) -> str:
     sse, ss0 = " + ".join(error(t) for t in targets), " + ".join(f"pow({t} - m{t}, 2)" for t in targets)
     q2, mse = f"1 - sum({sse}) / sum({ss0})", f"avg({sse}) / {len(targets)}"
     names = ", ".join(f"{c} AS {t}" for t, c in targets.items())
+    # scores that agree to TIE are a tie, which the smallest penalty wins
+    near = f"s >= max(s) OVER (PARTITION BY k) - {Y.TIE}" if scorer == "log_ratio_q2" else f"s <= min(s) OVER (PARTITION BY k) * (1 + {Y.TIE})"
     return sql("ord", FS + f""", al AS (SELECT pow(10, -3 + g * 0.5) AS a FROM range(13) AS s(g)), z AS (SELECT fold, inn, x1, x2, {names} FROM r), ii AS (SELECT DISTINCT inn AS j FROM z),
 tr AS ({stats('fd, ii JOIN z ON z.fold <> k AND z.inn <> j', 'k, j')}), sc AS (SELECT tr.k, tr.j, a, {q2 if scorer == 'log_ratio_q2' else mse} AS s FROM tr JOIN z ON z.fold <> tr.k AND z.inn = tr.j, al GROUP BY tr.k, tr.j, a),
-av AS (SELECT k, a, avg(s) AS s FROM sc GROUP BY k, a), best AS (SELECT k, a, s FROM av QUALIFY row_number() OVER (PARTITION BY k ORDER BY {'-s' if scorer == 'log_ratio_q2' else 's'}, a) = 1), ow AS ({stats('fd JOIN z ON z.fold <> k', 'k')})
+av AS (SELECT k, a, avg(s) AS s FROM sc GROUP BY k, a), near AS (SELECT k, a, s FROM av QUALIFY {near}), best AS (SELECT k, a, s FROM near QUALIFY row_number() OVER (PARTITION BY k ORDER BY a) = 1), ow AS ({stats('fd JOIN z ON z.fold <> k', 'k')})
 SELECT k AS fold, a AS alpha, any_value(s) AS inner_score, {mse} AS test_mse, {q2} AS test_q2 FROM ow JOIN best USING (k) JOIN z ON z.fold = k GROUP BY k, a""")
 
 

@@ -7,7 +7,8 @@ targets together.  Outer folds, inner folds, designs and penalties never touch t
 Scores of an inner fold: ``mse`` and ``multi_mse`` are the mean squared error over rows and targets (minimised), ``log_ratio_q2``
 is one minus the squared error over that of the training mean, both summed over targets (maximised), as log-ratio coordinates
 of compositions ask for.  Inner folds whose score is undefined are skipped; a penalty without any is never preferred to one
-with; ties go to the smaller penalty.  With a weight column (say one over the rows of a component) fits and errors are weighted;
+with; ties go to the smaller penalty.  Scores that agree to ``TIE`` are a tie: on many rows small penalties differ by less than
+the rounding of the sums behind their scores.  With a weight column (say one over the rows of a component) fits and errors are weighted;
 the penalty weighs against as many rows as there are.  Rows with a null in a feature, target or weight take no part.
 """
 from __future__ import annotations
@@ -16,12 +17,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from graticule.operators import linear as L
 
 FIT_COLUMNS = "design string, alpha double, intercepts array<double>, coefs array<array<double>>, sse array<double>, ss0 array<double>, mass double, n_train double, n_test double"
 SCORERS = ("mse", "multi_mse", "log_ratio_q2")
+TIE = 1e-9  # share of a mean squared error, or of a Q2's full scale of one, below which two scores are the same
 
 
 def moments(df: DataFrame, by: Sequence[str], x: Sequence[Column], y: Sequence[Column], weight: Column | None = None) -> DataFrame:
@@ -96,6 +98,15 @@ def score(scorer: str) -> Column:
     return F.when(F.col("mass") > 0, _total("sse") / F.col("mass") / F.size("sse"))
 
 
+def preferred(tried: DataFrame, by: Sequence[str], scorer: str) -> DataFrame:
+    """(by, alpha, inner_score): the smallest penalty whose score ties with the best one, NULL scores last."""
+    s = -F.col("inner_score") if scorer == "log_ratio_q2" else F.col("inner_score")
+    best = F.min(s).over(Window.partitionBy(*by))  # one row per penalty
+    reach = best + TIE * (F.lit(1.0) if scorer == "log_ratio_q2" else F.abs(best))
+    near = tried.withColumn("_near", F.coalesce(s <= reach, best.isNull()))
+    return near.where("_near").groupBy(*by).agg(F.min_by(F.struct("alpha", "inner_score"), "alpha").alias("b")).select(*by, "b.*")
+
+
 def nested(df: DataFrame, outer: str, inner: str, x: Sequence[Column], y: Sequence[Column], designs: dict[str, Sequence[int]], k: int,
            scorer: str = "multi_mse", alphas: Sequence[float] = L.ALPHA_GRID, weight: Column | None = None) -> DataFrame:
     """(outer, design, alpha, inner_score, test_mse, test_q2, q2_by_target, intercepts, coefs): per outer fold 0 .. k - 1 and design the penalty that the inner folds of
@@ -103,8 +114,7 @@ def nested(df: DataFrame, outer: str, inner: str, x: Sequence[Column], y: Sequen
     stats = moments(df, [outer, inner], x, y, weight)
     worth = score(scorer)
     tried = fit(L.inner_splits(stats, outer, inner, k), len(y), designs, alphas).groupBy(F.col("_o").alias(outer), "design", "alpha").agg(F.avg(worth).alias("inner_score"))
-    sign = -1.0 if scorer == "log_ratio_q2" else 1.0
-    best = tried.groupBy(outer, "design").agg(F.min_by(F.struct("alpha", "inner_score"), F.struct(F.col("inner_score").isNull(), (sign * F.col("inner_score")).alias("s"), "alpha")).alias("b")).select(outer, "design", "b.*")
+    best = preferred(tried, [outer, "design"], scorer)
     whole = fit(L.leave_out(L.summed(stats, [outer]), [], outer), len(y), designs, alphas)
     each = F.zip_with("sse", "ss0", lambda s, z: F.when(z > 0, 1 - s / z))
     return whole.join(best, [outer, "design", "alpha"]).select(outer, "design", "alpha", "inner_score", score("multi_mse").alias("test_mse"), score("log_ratio_q2").alias("test_q2"), each.alias("q2_by_target"), "intercepts", "coefs")

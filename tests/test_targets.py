@@ -67,3 +67,11 @@ def test_nested_edges(spark):
     assert all(abs(r["test_q2"]) < 1e-9 and r["alpha"] == ALPHAS[0] for r in flat.values())
     with pytest.raises(ValueError, match="scorer"):
         Y.score("r2")
+
+
+@pytest.mark.parametrize("scorer, sign", [("multi_mse", 1.0), ("log_ratio_q2", -1.0)])
+def test_scores_that_agree_to_rounding_go_to_the_smaller_penalty(spark, scorer, sign):
+    rows = [("a", 0.01, 0.5 + 1e-14), ("a", 1.0, 0.5 + 2e-14), ("a", 30.0, 0.5), ("a", 1000.0, 0.6), ("b", 0.01, 0.5 + 1e-7), ("b", 1.0, 0.5), ("c", 0.01, None), ("c", 1.0, 0.7), ("d", 1.0, None), ("d", 0.01, None)]
+    tried = spark.createDataFrame([(d, a, None if s is None else sign * s) for d, a, s in rows], "design string, alpha double, inner_score double")
+    got = {r["design"]: r["alpha"] for r in Y.preferred(tried, ["design"], scorer).collect()}
+    assert got == {"a": 0.01, "b": 1.0, "c": 1.0, "d": 0.01}
