@@ -38,12 +38,15 @@ SQL = {
 # as "ord", with means that depend on no order of summation: equal discounts tie
 SQL["ord_exact"] = SQL["ord"].replace("avg(l_discount)", "CAST(sum(CAST(l_discount AS DECIMAL(18, 6))) AS DOUBLE) / count(l_discount)")
 
+# as "fact", with a training mean that depends on no order of summation
+SQL["fact_exact"] = SQL["fact"].replace("avg(o.y)", "CAST(sum(CAST(o.y AS DECIMAL(18, 6))) AS DOUBLE) / count(o.y)")
+
 
 def sql(names: str, body: str) -> str:
     """Prefix ``body`` with the named fixture CTEs; body may open with further CTEs."""
     order = []
     for n in names.split():
-        for dep in ({"fact": ["ord"]}.get(n, []) + [n]):
+        for dep in ({"fact": ["ord"], "fact_exact": ["ord"]}.get(n, []) + [n]):
             if dep not in order:
                 order.append(dep)
     ctes = ",\n".join(SQL[n] for n in order)
@@ -103,11 +106,12 @@ def trajectories(t: Tables) -> DataFrame:
 
 def fold_facts(t: Tables) -> DataFrame:
     rows = order_frame(t).withColumn("fold", F.col("grp") % 5)
-    sums = rows.groupBy("fold").agg(F.sum("y").alias("sy"), F.count(F.lit(1)).alias("n"))
-    total = rows.agg(F.sum("y").alias("sy"), F.count(F.lit(1)).alias("n"))
+    exact = F.sum(F.col("y").cast("decimal(18,6)")).alias("sy")  # the same in every order of summation
+    sums = rows.groupBy("fold").agg(exact, F.count(F.lit(1)).alias("n"))
+    total = rows.agg(exact, F.count(F.lit(1)).alias("n"))
     ty = total.select("sy").scalar()
     tn = total.select("n").scalar()
-    null = sums.select("fold", ((ty - F.col("sy")) / (tn - F.col("n"))).alias("train_null"))
+    null = sums.select("fold", ((ty - F.col("sy")).cast("double") / (tn - F.col("n"))).alias("train_null"))
     both = rows.join(null, "fold").withColumn("model", F.explode(F.array(F.lit("full"), F.lit("minus"))))
     return both.select(F.col("prio").alias("target"), "model", "fold", "id", "grp", F.col("y").alias("observed"),
                        F.when(F.col("model") == "full", F.col("y") * 0.9 + F.col("x3")).otherwise(F.col("train_null")).alias("predicted"),

@@ -34,7 +34,7 @@ def errors(t):
     return fold_facts(t).withColumn("err", F.col("predicted") - F.col("observed"))
 
 
-@query("R1_fold_summary", f"target:s model:s {Q5C}", sql("fact", f"e AS (SELECT *, predicted - observed AS err FROM fact) SELECT target, model, {Q5.format('err')} FROM e GROUP BY ALL"))
+@query("R1_fold_summary", f"target:s model:s {Q5C}", sql("fact_exact", f"e AS (SELECT *, predicted - observed AS err FROM fact) SELECT target, model, {Q5.format('err')} FROM e GROUP BY ALL"))
 def fold_summary(t):
     return R.fold_summary(errors(t), ["target", "model"], "err")
 
@@ -233,7 +233,7 @@ def atlas(t):
     return fold_facts(t).join(iqr, "fold").withColumn("norm_err", F.abs(F.col("observed") - F.col("predicted")) / F.col("iqr"))
 
 
-@query("R25_error_atlas", "id:l model:s target:s norm_err:d", sql("fact", IQR + " SELECT id, model, target, abs(observed - predicted) / iqr AS norm_err FROM fact JOIN tq USING (fold)"))
+@query("R25_error_atlas", "id:l model:s target:s norm_err:d", sql("fact_exact", IQR + " SELECT id, model, target, abs(observed - predicted) / iqr AS norm_err FROM fact JOIN tq USING (fold)"))
 def error_atlas(t):
     return atlas(t)
 
