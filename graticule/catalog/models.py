@@ -252,8 +252,7 @@ def matched_trees_delta(t):
     per = shared(tree_errors(t, 10).groupBy("grp", "design").agg(F.avg(e2).alias("e")))
     widest = per.where("design = 'U+M'").select("grp", F.col("e").alias("base"))
     d = shared(per.where("design <> 'U+M'").join(widest, "grp").select("design", "grp", (F.col("e") - F.col("base")).alias("d"), F.lit(1.0).alias("one")))
-    bank = B.bootstrap_counts(d, "grp", 100, 12)
-    stats = B.weighted_means(bank, d, ["grp"], "d", "one", by=["design"])
+    stats = B.resampled_means(d, "grp", 100, 12, "d", "one", by=["design"])
     mean = d.groupBy("design").agg(F.avg("d").alias("mean"), F.count(F.lit(1)).alias("components"))
     return B.interval(stats, ["design"], 0.95).join(mean, "design")
 

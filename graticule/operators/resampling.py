@@ -45,6 +45,21 @@ def weighted_means(bank: DataFrame, sums: DataFrame, keys: Sequence[str], total:
     return j.groupBy(*by, "rep").agg((F.sum(F.col("w") * F.col(total)) / F.sum(F.col("w") * F.col(weight))).alias("stat"))
 
 
+def resampled_means(sums: DataFrame, key: str, reps: int, seed: int, total: str, weight: str, strata: Sequence[str] = (), by: Sequence[str] = ()) -> DataFrame:
+    """(by, rep, stat): ``weighted_means`` over the bank of ``bootstrap_counts``, without writing the bank.
+
+    Every draw meets its unit's sums once and is added up where it lies: rows x replicates cross the network once, as a
+    stratum, a replicate and an index, and the hashed side of the join is the units, not the draws.
+    """
+    strata = list(strata)
+    ix = shared(indexed(shared(sums.select(*strata, key).distinct()), key, strata))
+    draws = ix.select(*strata, "_i", "_k", replicates(reps).alias("rep"))
+    draws = draws.select(*strata, "rep", pick(F.col("_k"), seed, *[F.col(s) for s in strata], F.col("rep"), F.col("_i")).alias("_i"))
+    of = ix.join(sums, [*strata, key]).select(*dict.fromkeys([*strata, "_i", *by, total, weight]))
+    j = draws.join(of.hint("shuffle_hash"), [*strata, "_i"])
+    return j.groupBy(*by, "rep").agg((F.sum(total) / F.sum(weight)).alias("stat"))
+
+
 def interval(stats: DataFrame, by: Sequence[str], level: float) -> DataFrame:
     a = (1 - level) / 2
     return O.quantiles(stats, by, "stat", {"low": a, "high": 1 - a})

@@ -395,3 +395,15 @@ def test_compare_tables(spark):
     assert SE.compare_tables(a, a.limit(1)).first()["state"] == "SHAPE_DIFF"
     assert SE.compare_tables(a, a.drop("v")).first()["state"] == "SHAPE_DIFF"
     assert SE.compare_tables(a, a.withColumn("v", F.col("v").cast("string"))).first()["state"] == "SHAPE_DIFF"
+
+
+def test_resampled_means_equal_the_bank_and_shuffle_rows_once(spark):
+    rows = [(d, int(k), int(k) % 3, float(k * k % 17) if k % 11 else None, 1.0 + k % 2) for k in range(60) for d in ("a", "b")]
+    df = spark.createDataFrame(rows, "design string, cl long, fold long, s double, n double")
+    for strata, by in (([], []), (["fold"], ["fold"]), ([], ["design"])):
+        bank = B.weighted_means(B.bootstrap_counts(df, "cl", 8, 5, strata), df, [*strata, "cl"], "s", "n", by).toPandas()
+        got = B.resampled_means(df, "cl", 8, 5, "s", "n", strata, by)
+        both = got.toPandas().merge(bank, on=[*by, "rep"], suffixes=("", "_bank"))
+        assert len(both) == len(bank) == got.count() and (abs(both["stat"] - both["stat_bank"]) < 1e-12).all()
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "count(1) AS w" not in plan  # no bank
