@@ -65,10 +65,10 @@ def interval(stats: DataFrame, by: Sequence[str], level: float) -> DataFrame:
     return O.quantiles(stats, by, "stat", {"low": a, "high": 1 - a})
 
 
-def hashed_order(df: DataFrame, by: Sequence[str], key: str, seed, name: str, *parts: Column) -> DataFrame:
+def hashed_order(df: DataFrame, by: Sequence[str], key: str, seed, name: str, *parts: Column, tasks: int | None = None) -> DataFrame:
     """Random order of ``key`` inside ``by`` (rank of the md5 digest, key as tie-break)."""
     rows = df.withColumn("_h", draw_key(seed, *parts, F.col(key)))
-    return O.ordinal(rows, by, [F.col("_h"), F.col(key)], [hex_prefix(F.col("_h"))], name).drop("_h")
+    return O.ordinal(rows, by, [F.col("_h"), F.col(key)], [hex_prefix(F.col("_h"))], name, tasks).drop("_h")
 
 
 def natural_order(df: DataFrame, by: Sequence[str], key: str, name: str) -> DataFrame:
@@ -77,13 +77,18 @@ def natural_order(df: DataFrame, by: Sequence[str], key: str, name: str) -> Data
     return df.join(r.select(*by, key, (F.col("_before") + 1).alias(name)), [*by, key])
 
 
-def permuted(units: DataFrame, blocks: Sequence[str], key: str, value: str, reps: int, seed: int) -> DataFrame:
-    """(block, rep, key, value): values reassigned to keys inside each block, once per replicate."""
+def permuted(units: DataFrame, blocks: Sequence[str], key: str, value: str, reps: int, seed: int, keep: Sequence[str] = ()) -> DataFrame:
+    """(block, rep, key, value, keep): values reassigned to keys inside each block, once per replicate.
+
+    Columns in ``keep`` stay with their key.  Rows x replicates are ordered by as many tasks as keep each at ``O.TASK_ROWS``.
+    """
     blocks = list(blocks)
-    base = shared(natural_order(units.select(*blocks, key, value), blocks, key, "_r"))
-    spread = base.select(*blocks, key, replicates(reps).alias("rep"))
-    shuffled = hashed_order(spread, [*blocks, "rep"], key, seed, "_r", F.col("rep"))
-    return shuffled.join(base.select(*blocks, "_r", value), [*blocks, "_r"]).select(*blocks, "rep", key, value)
+    base = shared(natural_order(units.select(*blocks, key, value, *keep), blocks, key, "_r"))
+    tasks = O.partitions(units, base.count() * reps)
+    spread = base.select(*blocks, key, *keep, replicates(reps).alias("rep"))
+    shuffled = hashed_order(spread, [*blocks, "rep"], key, seed, "_r", F.col("rep"), tasks=tasks)
+    taken = O.dealt(base.select(*blocks, "_r", value), tasks, *blocks, "_r")
+    return O.dealt(shuffled, tasks, *blocks, "_r").join(taken, [*blocks, "_r"]).select(*blocks, "rep", key, value, *keep)
 
 
 def permutation_p(null: DataFrame, observed: Column, stat: str = "stat") -> DataFrame:

@@ -87,11 +87,29 @@ def with_average_rank(df: DataFrame, by: Sequence[str], value: str, name: str, d
     return df.join(average_ranks(df, by, value, name, descending), [*by, value], "left")
 
 
-def ordinal(df: DataFrame, by: Sequence[str], order: Sequence[Column], bucket: Sequence[Column], name: str) -> DataFrame:
+TASK_ROWS = 500_000  # rows that one task orders
+
+
+def partitions(df: DataFrame, rows: int) -> int | None:
+    """Partitions that keep a task of ``rows`` rows at ``TASK_ROWS``, not fewer than the session's; None where one task is enough.
+
+    A small table can sit in one partition, and all its replicates would be ordered there.
+    """
+    n = -(-rows // TASK_ROWS)
+    return max(n, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))) if n > 1 else None
+
+
+def dealt(df: DataFrame, parts: int | None, *keys: str) -> DataFrame:
+    """Rows dealt by their keys over that many partitions; None leaves it to the planner."""
+    return df if parts is None else df.repartition(parts, *keys)
+
+
+def ordinal(df: DataFrame, by: Sequence[str], order: Sequence[Column], bucket: Sequence[Column], name: str, parts: int | None = None) -> DataFrame:
     """1-based position in a total order, counted bucket by bucket.
 
     ``bucket`` must be a coarse prefix of ``order`` (for hashed orders: the first hex digits),
-    so that one task only sorts one bucket while bucket totals stay a small table.
+    so that one task only sorts one bucket while bucket totals stay a small table.  Of a table that is known to be
+    large, ``parts`` deals the buckets over more tasks than the session's.
     """
     by = list(by)
     keys = [f"_b{i}" for i in range(len(bucket))]
@@ -104,7 +122,7 @@ def ordinal(df: DataFrame, by: Sequence[str], order: Sequence[Column], bucket: S
     )
     inside = Window.partitionBy(*by, *keys).orderBy(*order)
     return (
-        rows.withColumn("_in_bucket", F.row_number().over(inside))
+        dealt(rows, parts, *by, *keys).withColumn("_in_bucket", F.row_number().over(inside))
         .join(offsets, [*by, *keys])
         .withColumn(name, (F.col("_offset") + F.col("_in_bucket")).cast("long"))
         .drop("_offset", "_in_bucket", *keys)

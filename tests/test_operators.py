@@ -407,3 +407,15 @@ def test_resampled_means_equal_the_bank_and_shuffle_rows_once(spark):
         assert len(both) == len(bank) == got.count() and (abs(both["stat"] - both["stat_bank"]) < 1e-12).all()
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "count(1) AS w" not in plan  # no bank
+
+
+def test_replicates_of_a_small_table_are_ordered_by_many_tasks(spark, monkeypatch):
+    from graticule.plans import order_stats as O
+    df = spark.range(300).select("id", (F.col("id") % 7).alias("z"), (F.col("id") * 2).alias("twice")).coalesce(1)
+    want = {(r["rep"], r["id"]): r["z"] for r in B.permuted(df, [], "id", "z", 10, 3).collect()}
+    monkeypatch.setattr(O, "TASK_ROWS", 100)
+    got = B.permuted(df, [], "id", "z", 10, 3, ["twice"])
+    rows = got.withColumn("task", F.spark_partition_id()).collect()
+    assert {(r["rep"], r["id"]): r["z"] for r in rows} == want and all(r["twice"] == 2 * r["id"] for r in rows)
+    per = pd.Series([r["task"] for r in rows]).value_counts()
+    assert len(per) > 15 and per.max() < 400
