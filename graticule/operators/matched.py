@@ -19,7 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from graticule.operators.resampling import _eigen, hashed_order, largest_angle, replicates
-from graticule.plans.lineage import shared
+from graticule.plans import order_stats as O
+from graticule.plans.lineage import cut, shared
 
 
 def deal(wanted: list[tuple[int, int]], sizes: list[tuple[int, int]], key: str) -> list[tuple[int, int, int]]:
@@ -58,9 +59,13 @@ def matched_draws(df: DataFrame, cluster: str, row: str, in_subset: Column, reps
     pool = sizes.select("_s", "_c", "_have").join(plan, ["_s", "_have"])
     order = hashed_order(pool, ["rep", "_s", "_have"], "_c", seed, "_p", F.col("rep"))
     step = F.size(F.filter("_upto", lambda u: u < F.col("_p")))
-    chosen = order.select("rep", "_s", "_c", F.get("_takes", step).alias("_take")).where("_take IS NOT NULL")
-    members = rows.select("_s", "_c", "_r").join(chosen, ["_s", "_c"])
-    placed = hashed_order(members, ["rep", "_s", "_c"], "_r", seed + 1, "_p", F.col("rep"))
+    chosen = cut(order.select("rep", "_s", "_c", "_have", F.get("_takes", step).alias("_take")).where("_take IS NOT NULL"))
+    # rows of all clusters, and of the chosen ones once per replicate, over as many tasks as keep each at O.TASK_ROWS
+    n = sizes.agg(F.sum("_have").alias("n")).first()["n"] or 0
+    drawn = chosen.agg(F.sum("_have").alias("n")).first()["n"] or 0
+    tasks = O.partitions(df, max(n, drawn))
+    members = O.dealt(rows.select("_s", "_c", "_r"), tasks, "_s", "_c").join(O.dealt(chosen.drop("_have"), tasks, "_s", "_c"), ["_s", "_c"])
+    placed = hashed_order(members, ["rep", "_s", "_c"], "_r", seed + 1, "_p", F.col("rep"), tasks=tasks)
     return placed.where("_p <= _take").select("rep", *([] if session is None else [F.col("_s").alias(session)]), F.col("_c").alias(cluster), F.col("_r").alias(row))
 
 
