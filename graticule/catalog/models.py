@@ -17,7 +17,7 @@ from graticule.operators import permutations as N
 from graticule.operators import resampling as B
 from graticule.operators import targets as Y
 from graticule.plans import order_stats as O
-from graticule.plans.lineage import shared
+from graticule.plans.lineage import cut, shared
 
 X = ("x1", "x2", "x3")
 
@@ -264,6 +264,7 @@ def tabular_cv(t):
     from pyspark.ml.feature import Imputer, VectorAssembler
     from pyspark.ml.regression import GBTRegressor, LinearRegression
     f = order_frame(t).withColumn("x1", F.when(F.col("id") % 17 != 0, F.col("x1"))).withColumn("x3", F.col("x3").cast("double"))
+    f = cut(f.select("id", "grp", *X, "y"))  # one row per order, read by every fit and prediction
     makers = {"linear": lambda: LinearRegression(featuresCol="features", labelCol="y", regParam=0.01), "gbt": lambda: GBTRegressor(featuresCol="features", labelCol="y", maxIter=5, maxDepth=3, seed=3)}
     out = None
     for rep in range(2):

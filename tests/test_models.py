@@ -108,3 +108,10 @@ def test_ridge_on_columns_as_they_are():
     mean, my = (w @ x) / 80, (w @ y) / 80
     want = np.linalg.solve(((x - mean) * w[:, None]).T @ (x - mean) + 2.0 * np.eye(3), ((x - mean) * w[:, None]).T @ (y - my))
     assert np.allclose(b, want) and np.isclose(b0, my - mean @ want)
+
+
+def test_tabular_cv_reads_the_joined_tables_once(spark):
+    import __spark_entry__ as entry
+    got = entry.queries()["M13_tabular_cv"](spark, "/root/testdata/sf0.001")
+    assert "lineitem" not in got._jdf.queryExecution().executedPlan().toString() and "l_orderkey" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["model"]: r["n"] for r in got.collect()} == {"gbt": spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()} | {"linear": spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()}
