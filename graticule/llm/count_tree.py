@@ -23,7 +23,8 @@ documents would have more than ``spare`` empty blocks and post them.
 Groups of copies: equal sets are one node from the first scan on.  Near copies meet their leaf's smallest node
 first, so a group is linked along stars instead of all its pairs.  Afterwards only leaves that still hold several
 components are searched: boxes around the components first, then the points of boxes that can reach the
-overlap.  A leaf of many documents is searched in tiles.
+overlap.  Documents connected by such reach meet and are compared on their shingles, which gives links between
+parts not yet joined: pairs never leave a task.  Many documents are compared in tiles.
 
 Defined cases: null text, text without words: n_shingles 0, linked with nothing; fewer words than a shingle
 has: the whole sequence is the one shingle; equal sets always link; rows that repeat a doc_id are documents
@@ -38,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from graticule.llm.batches import pieces
 from graticule.llm.ordering import same
@@ -50,6 +51,8 @@ GROUPS = 64  # coordinates of the coarse vector
 STEP = 1.35  # ratio of a size interval
 POSTED = 1e-3  # wanted share of documents that post their empty leaves
 TILE = 1024  # documents of a leaf compared in one task
+GRAMS = 1 << 19  # shingles of a leaf compared in one task
+MEETING = 4 * TILE  # documents within reach of each other that meet once instead of in each of their leaves
 COPIED = 1_000_000  # up to this many ids of wanted documents are copied to all tasks
 
 
@@ -253,7 +256,7 @@ def _boxes(order: np.ndarray, group: np.ndarray) -> list[np.ndarray]:
 
 
 def search(node: np.ndarray, component: np.ndarray, size: np.ndarray, points: np.ndarray, similarity: Similarity) -> np.ndarray:
-    """Pairs (2 x n, smaller node first) of different components that the summed minima of their points let link.
+    """Pairs (2 x n) that connect all rows of different components that the summed minima of their points let link; fewer than the rows.
 
     Boxes first: the largest counts of a component bound what any of its points shares with another's.  The
     points of all boxes within reach are then compared at once.
@@ -262,44 +265,60 @@ def search(node: np.ndarray, component: np.ndarray, size: np.ndarray, points: np
     boxes = _boxes(np.argsort(component, kind="stable"), component)
     top = np.array([points[b].max(axis=0) for b in boxes])
     least = np.array([size[b].min() for b in boxes])
-    out = [np.empty((2, 0), np.int64)]
+    root, out = np.arange(len(node)), []
     for x in range(len(boxes) - 1):
         reach = (num + den) * np.minimum(top[x], top[x + 1:]).sum(axis=1) >= num * (least[x] + least[x + 1:])
         if not reach.any():
             continue
         others = np.concatenate([boxes[y] for y in np.flatnonzero(reach) + x + 1])
         for i in boxes[x]:
-            near = others[(num + den) * np.minimum(points[i], points[others]).sum(axis=1) >= num * (size[i] + size[others])]
-            out.append(np.sort([np.full(len(near), node[i]), node[near]], axis=0))
-    return np.concatenate(out, axis=1)
+            apart = others[root[others] != root[i]]
+            near = apart[(num + den) * np.minimum(points[i], points[apart]).sum(axis=1) >= num * (size[i] + size[apart])]
+            out += _united(root, i, near)
+    return node[np.array(out, np.int64).reshape(-1, 2).T]
 
 
-def _in_groups(b: pa.RecordBatch, ends: np.ndarray, found) -> pa.RecordBatch:
-    """What ``found`` finds, once each, on the stretches of rows that end at ``ends``."""
-    node, c, n = (b.column(k).to_numpy() for k in range(3, 6))
-    offsets, values = b.column(6).offsets.to_numpy(), b.column(6).values.to_numpy()
-    out, start = [np.empty((2, 0), np.int64)], 0
-    for end in ends:
-        if end - start > 1:
-            out.append(found(node[start:end], c[start:end], n[start:end], offsets[start: end + 1], values))
-        start = end
-    pairs = np.unique(np.concatenate(out, axis=1), axis=1)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+def _united(root: np.ndarray, i: int, linked: np.ndarray) -> list[tuple[int, int]]:
+    """Unite row i with rows of other roots; one pair for each of these roots."""
+    others, first = np.unique(root[linked], return_index=True)
+    if len(others):
+        root[np.isin(root, others)] = root[i]
+    return [(i, j) for j in linked[first]]
 
 
-def candidates(at: DataFrame, points: DataFrame, similarity: Similarity) -> DataFrame:
-    """Distinct pairs (a, b) of nodes that share a leaf, lie in different components and may link."""
-    tiles = at.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
-    rows = at.join(tiles, "leaf").withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.select("leaf", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "node", "c")
-    size = F.aggregate("counts", F.lit(0).cast("long"), lambda t, v: t + v)
-    rows = rows.join(points.select("node", size.alias("n"), "counts"), "node")
-
-    def found(node: np.ndarray, c: np.ndarray, n: np.ndarray, offsets: np.ndarray, values: np.ndarray) -> np.ndarray:
-        groups = int(np.diff(offsets).min())
-        points = np.array([folded(values[x:y], groups) for x, y in zip(offsets[:-1], offsets[1:])])
-        return search(node, c, n, points, similarity)
+def spanning(node: np.ndarray, component: np.ndarray, offsets: np.ndarray, values: np.ndarray, similarity: Similarity) -> np.ndarray:
+    """Links (2 x n, smaller node first) that join the components of these rows as all their links do; the shingles of row i are ``values[offsets[i]: offsets[i + 1]]``."""
+    num, den = similarity.num, similarity.den
+    code = np.unique(values[offsets[0]: offsets[-1]], return_inverse=True)[1]
+    ends, size, root = offsets - offsets[0], np.diff(offsets).astype(np.int64), component.copy()
+    held, out = np.zeros(len(code), bool), []
+    for i in range(len(node) - 1):
+        own = code[ends[i]: ends[i + 1]]
+        held[own] = True
+        shared = np.add.reduceat(held[code[ends[i + 1]:]], ends[i + 1: -1] - ends[i + 1], dtype=np.int64)
+        held[own] = False
+        out += _united(root, i, np.flatnonzero((root[i + 1:] != root[i]) & (den * shared >= num * (size[i] + size[i + 1:] - shared))) + i + 1)
+    return np.sort(node[np.array(out, np.int64).reshape(-1, 2).T], axis=0)
+
+
+def _leaf_by_leaf(rows: DataFrame, tiles: Column, found, schema: str) -> DataFrame:
+    """Distinct rows that ``found`` gives for the rows of a leaf, or of any two tiles of one that has several.  ``rows`` begins with leaf and node and ends with an array."""
+    columns = rows.columns
+    tiles = rows.groupBy("leaf").agg(F.ceil(tiles).cast("int").alias("tiles"))
+    dealt = rows.join(tiles, "leaf").withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.select(F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), *columns)
+
+    def of_groups(b: pa.RecordBatch, ends: list[int]) -> pa.RecordBatch:
+        columns = [b.column(k).to_numpy() for k in range(2, b.num_columns - 1)]
+        offsets, values = b.column(b.num_columns - 1).offsets.to_numpy(), b.column(b.num_columns - 1).values.to_numpy()
+        out, start = [], 0
+        for end in ends:
+            if end - start > 1:
+                out.append(found(*(c[start:end] for c in columns), offsets[start: end + 1], values))
+            start = end
+        names = [f.split()[0] for f in schema.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in out] or [np.empty(0, np.int64)])) for k in range(len(names))], names=names)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # rows of the last key of earlier batches
@@ -307,15 +326,53 @@ def candidates(at: DataFrame, points: DataFrame, similarity: Similarity) -> Data
             b = pa.concat_batches([held, b]) if held is not None else b
             if not b.num_rows:
                 continue
-            leaf, p, q = (b.column(k).to_numpy() for k in range(3))
-            ends = np.flatnonzero((leaf[1:] != leaf[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1
-            held = b.slice(ends[-1]) if len(ends) else b
-            yield _in_groups(b, ends, found)
+            p, q, leaf = (b.column(k).to_numpy() for k in range(3))
+            ends = (np.flatnonzero((leaf[1:] != leaf[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1).tolist()
+            held = b.slice(ends[-1]) if ends else b
+            yield of_groups(b, ends)
         if held is not None:
-            yield _in_groups(held, np.array([held.num_rows]), found)
+            yield of_groups(held, [held.num_rows])
+
+    return dealt.repartition("leaf", "p", "q").sortWithinPartitions("leaf", "p", "q").mapInArrow(scan, schema).distinct()
+
+
+def candidates(at: DataFrame, points: DataFrame, similarity: Similarity) -> DataFrame:
+    """leaf, a, b: connects the nodes of a leaf that lie in different components and may link."""
+    size = F.aggregate("counts", F.lit(0).cast("long"), lambda t, v: t + v)
+
+    def found(leaf: np.ndarray, node: np.ndarray, c: np.ndarray, n: np.ndarray, offsets: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, ...]:
+        groups = int(np.diff(offsets).min())
+        pairs = search(node, c, n, np.array([folded(values[x:y], groups) for x, y in zip(offsets[:-1], offsets[1:])]), similarity)
+        return leaf[: pairs.shape[1]], pairs[0], pairs[1]
+
+    rows = at.join(points.select("node", size.alias("n"), "counts"), "node").select("leaf", "node", "c", "n", "counts")
+    return _leaf_by_leaf(rows, F.count(F.lit(1)) / TILE, found, "leaf long, a long, b long")
+
+
+def joining(pairs: DataFrame, at: DataFrame, docs: DataFrame, ids: DataFrame, k: int, similarity: Similarity) -> DataFrame:
+    """Links (a, b) that join the components of all nodes connected by ``pairs`` (leaf, a, b) as all links among them do.
+
+    Connected nodes meet once, whatever the number of leaves they share, unless they are too many: those meet
+    leaf by leaf.  Few nodes all meet at once.  They are compared on their shingles where they meet, and only
+    links between parts not yet joined are given: fewer than the rows, however many pairs are near.  ``ids``: node, doc_id.
+    """
+    pairs = cut(pairs)
+    nodes = cut(pairs.select("leaf", F.explode(F.array("a", "b")).alias("node")).distinct().join(at, ["leaf", "node"]).select("leaf", "node", "c"))
+    once = nodes.select("node", "c").distinct()
+    if once.limit(MEETING + 1).count() <= MEETING:
+        rows = once.select(F.lit(0).cast("long").alias("leaf"), "node", "c")
+    else:
+        told = connected_components(pairs.select("a", "b"))
+        many = told.groupBy("component").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > MEETING).select("component")
+        few = told.join(many, "component", "left_anti").select(F.col("component").alias("leaf"), "node")
+        rows = few.join(once, "node").select("leaf", "node", "c").unionByName(nodes.join(few.select("node"), "node", "left_anti"))
+    grams = _of_wanted(docs, ids.join(once.select("node"), "node", "left_semi").select("doc_id"), k, "grams", "array<long>", lambda s: s.astype(np.int64))
+
+    def found(leaf: np.ndarray, node: np.ndarray, c: np.ndarray, offsets: np.ndarray, values: np.ndarray) -> np.ndarray:
+        return spanning(node, c, offsets, values, similarity)
 
-    laid = rows.select("leaf", "p", "q", "node", "c", "n", "counts").repartition("leaf", "p", "q").sortWithinPartitions("leaf", "p", "q")
-    return laid.mapInArrow(scan, "a long, b long").distinct()
+    tiles = F.greatest(F.count(F.lit(1)) / TILE, F.sum(F.size("grams")) / GRAMS)
+    return _leaf_by_leaf(rows.join(grams, "node").select("leaf", "node", "c", "grams"), tiles, found, "a long, b long")
 
 
 def _open(posted: DataFrame, label: DataFrame) -> DataFrame:
@@ -341,15 +398,8 @@ def classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> tuple
 
     stars = shared.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     links = cut(verified(near(stars, points, similarity), docs, ids, k, similarity))
-    at = _open(posted, connected_components(links))
-    # neighbours in a random order of each open leaf: near copies that miss their leaf's first node link with others
-    order = Window.partitionBy("leaf").orderBy(F.xxhash64("node", "leaf"), "node")
-    beside = at.select("node", "c", F.lag("node").over(order).alias("n2"), F.lag("c").over(order).alias("c2")).where("c <> c2")
-    beside = beside.select(F.least("node", "n2").alias("a"), F.greatest("node", "n2").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    links = links.unionByName(cut(verified(near(beside, points, similarity), docs, ids, k, similarity)))
     at = cut(_open(posted, connected_components(links)))
-    rest = candidates(at, points, similarity).join(stars, ["a", "b"], "left_anti")
-    more = verified(rest, docs, ids, k, similarity)
+    more = joining(candidates(at, points, similarity), at, docs, ids, k, similarity)
     whole = connected_components(links.unionByName(cut(more)))
 
     return found, ids.join(whole, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -102,6 +102,54 @@ def test_every_linked_pair_shares_a_leaf():
                     assert set(count_tree.leaves(x, intervals)) & set(count_tree.leaves(y, intervals)), n
 
 
+@pytest.mark.parametrize("meeting", [count_tree.TILE, 60, 5])
+def test_near_copies_that_mostly_miss_the_similarity(spark, monkeypatch, meeting):
+    """Members of a large group meet at once, by connected part or leaf by leaf."""
+    monkeypatch.setattr(count_tree, "MEETING", meeting)
+    r = random.Random(11)
+    some = {}
+    for i in range(140):
+        words = [f"{'abc'[i % 3]}{k}" for k in range(300)]
+        for at in r.sample(range(300), 3 if i < 30 else 4):
+            words[at] = f"x{r.randrange(10**9)}"
+        some[i] = " ".join(words)
+    df = spark.createDataFrame(list(some.items()), "doc_id long, text string").repartition(5)
+    got = {x["doc_id"]: x["component_id"] for x in count_tree.components(df, 4, 85, 100).collect()}
+    want = {i: c for i, (_, c) in jaccard_classes(some, 4, 85, 100).items()}
+    assert got == want and 3 < len(set(want.values())) < 140
+
+
+def test_rows_within_reach_cost_no_pairs():
+    """A leaf of 200 components that are all within reach of each other: fewer pairs than rows, which still connect them all."""
+    node, points = np.arange(200) * 7, np.full((200, 64), 3, np.int32)
+    points[np.arange(200), np.arange(200) % 64] += 1
+    pairs = count_tree.search(node, np.arange(200), points.sum(axis=1), points, count_tree.Similarity(85, 100))
+    assert pairs.shape[1] < 200
+    part = {int(n): int(n) for n in node}
+    for a, b in pairs.T.tolist():
+        part = {n: part[a] if x == part[b] else x for n, x in part.items()}
+    assert len(set(part.values())) == 1
+
+
+def test_spanning_links_join_what_all_links_join():
+    r = np.random.default_rng(4)
+    for _ in range(50):
+        sets = [np.sort(r.choice(12, r.integers(4, 12), replace=False)) for _ in range(30)]
+        node, component = r.permutation(1000)[:30].astype(np.int64), r.integers(0, 12, 30)
+        offsets = np.cumsum([5, *map(len, sets)])
+        got = count_tree.spanning(node, component, offsets, np.concatenate([np.zeros(5, np.int64), *sets]), count_tree.Similarity(70, 100))
+        linked = {(min(node[i], node[j]), max(node[i], node[j])) for i in range(30) for j in range(i) if 100 * len(set(sets[i]) & set(sets[j])) >= 70 * len(set(sets[i]) | set(sets[j]))}
+        assert set(zip(*got.tolist())) <= linked and len(got[0]) < len(set(component))
+
+        def joined(links):
+            root = {int(n): f"c{c}" for n, c in zip(node, component)}
+            for a, b in links:
+                root = {n: root[a] if c == root[b] else c for n, c in root.items()}
+            return {frozenset(n for n in root if root[n] == c) for c in root.values()}
+
+        assert joined(zip(*got.tolist())) == joined(linked)
+
+
 def test_packing_round_trip(spark, texts):
     got = queries.QUERIES["op2_retrieval_packing"](spark, FOLDER).toPandas()
     tokenizer = Tokenizer.from_file(BPE)
