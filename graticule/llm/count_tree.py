@@ -301,12 +301,12 @@ def spanning(node: np.ndarray, component: np.ndarray, offsets: np.ndarray, value
     return np.sort(node[np.array(out, np.int64).reshape(-1, 2).T], axis=0)
 
 
-def _leaf_by_leaf(rows: DataFrame, tiles: Column, found, schema: str) -> DataFrame:
-    """Distinct rows that ``found`` gives for the rows of a leaf, or of any two tiles of one that has several.  ``rows`` begins with leaf and node and ends with an array."""
-    columns = rows.columns
+def _leaf_by_leaf(rows: DataFrame, tiles: Column, arrays: DataFrame, found, schema: str) -> DataFrame:
+    """What ``found`` gives for the rows (leaf, node, ...) of a leaf, or of any two tiles of one that has several, with their ``arrays`` (node, array)."""
+    columns = [*rows.columns, arrays.columns[1]]
     tiles = rows.groupBy("leaf").agg(F.ceil(tiles).cast("int").alias("tiles"))
     dealt = rows.join(tiles, "leaf").withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).join(arrays, "node")
     dealt = dealt.select(F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), *columns)
 
     def of_groups(b: pa.RecordBatch, ends: list[int]) -> pa.RecordBatch:
@@ -333,46 +333,47 @@ def _leaf_by_leaf(rows: DataFrame, tiles: Column, found, schema: str) -> DataFra
         if held is not None:
             yield of_groups(held, [held.num_rows])
 
-    return dealt.repartition("leaf", "p", "q").sortWithinPartitions("leaf", "p", "q").mapInArrow(scan, schema).distinct()
+    return dealt.repartition("leaf", "p", "q").sortWithinPartitions("leaf", "p", "q").mapInArrow(scan, schema)
 
 
 def candidates(at: DataFrame, points: DataFrame, similarity: Similarity) -> DataFrame:
-    """leaf, a, b: connects the nodes of a leaf that lie in different components and may link."""
-    size = F.aggregate("counts", F.lit(0).cast("long"), lambda t, v: t + v)
+    """leaf, a, b: connects the nodes of a leaf that lie in different components and may link; with the component and size of either node."""
 
-    def found(leaf: np.ndarray, node: np.ndarray, c: np.ndarray, n: np.ndarray, offsets: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, ...]:
+    def found(leaf: np.ndarray, node: np.ndarray, c: np.ndarray, offsets: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, ...]:
         groups = int(np.diff(offsets).min())
-        pairs = search(node, c, n, np.array([folded(values[x:y], groups) for x, y in zip(offsets[:-1], offsets[1:])]), similarity)
-        return leaf[: pairs.shape[1]], pairs[0], pairs[1]
+        counts = np.array([folded(values[x:y], groups) for x, y in zip(offsets[:-1], offsets[1:])])
+        n = counts.sum(axis=1).astype(np.int64)
+        a, b = search(np.arange(len(node)), c, n, counts, similarity)
+        return leaf[a], node[a], node[b], c[a], c[b], n[a], n[b]
 
-    rows = at.join(points.select("node", size.alias("n"), "counts"), "node").select("leaf", "node", "c", "n", "counts")
-    return _leaf_by_leaf(rows, F.count(F.lit(1)) / TILE, found, "leaf long, a long, b long")
+    return _leaf_by_leaf(at, F.count(F.lit(1)) / TILE, points.select("node", "counts"), found, "leaf long, a long, b long, a_c long, b_c long, a_n long, b_n long")
 
 
-def joining(pairs: DataFrame, at: DataFrame, docs: DataFrame, ids: DataFrame, k: int, similarity: Similarity) -> DataFrame:
-    """Links (a, b) that join the components of all nodes connected by ``pairs`` (leaf, a, b) as all links among them do.
+def joining(pairs: DataFrame, docs: DataFrame, ids: DataFrame, k: int, similarity: Similarity) -> DataFrame:
+    """Links (a, b) that join the components of all nodes connected by ``pairs`` (of ``candidates``) as all links among them do.
 
     Connected nodes meet once, whatever the number of leaves they share, unless they are too many: those meet
     leaf by leaf.  Few nodes all meet at once.  They are compared on their shingles where they meet, and only
     links between parts not yet joined are given: fewer than the rows, however many pairs are near.  ``ids``: node, doc_id.
     """
     pairs = cut(pairs)
-    nodes = cut(pairs.select("leaf", F.explode(F.array("a", "b")).alias("node")).distinct().join(at, ["leaf", "node"]).select("leaf", "node", "c"))
-    once = nodes.select("node", "c").distinct()
+    side = lambda x: F.struct(F.col(x).alias("node"), F.col(f"{x}_c").alias("c"), F.col(f"{x}_n").alias("n"))
+    nodes = cut(pairs.select("leaf", F.explode(F.array(side("a"), side("b"))).alias("s")).select("leaf", "s.*").distinct())
+    once = cut(nodes.select("node", "c", "n").distinct())
     if once.limit(MEETING + 1).count() <= MEETING:
-        rows = once.select(F.lit(0).cast("long").alias("leaf"), "node", "c")
+        rows = once.select(F.lit(0).cast("long").alias("leaf"), "node", "c", "n")
     else:
         told = connected_components(pairs.select("a", "b"))
         many = told.groupBy("component").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > MEETING).select("component")
         few = told.join(many, "component", "left_anti").select(F.col("component").alias("leaf"), "node")
-        rows = few.join(once, "node").select("leaf", "node", "c").unionByName(nodes.join(few.select("node"), "node", "left_anti"))
+        rows = few.join(once, "node").select("leaf", "node", "c", "n").unionByName(nodes.join(few.select("node"), "node", "left_anti"))
     grams = _of_wanted(docs, ids.join(once.select("node"), "node", "left_semi").select("doc_id"), k, "grams", "array<long>", lambda s: s.astype(np.int64))
 
-    def found(leaf: np.ndarray, node: np.ndarray, c: np.ndarray, offsets: np.ndarray, values: np.ndarray) -> np.ndarray:
+    def found(leaf: np.ndarray, node: np.ndarray, c: np.ndarray, n: np.ndarray, offsets: np.ndarray, values: np.ndarray) -> np.ndarray:
         return spanning(node, c, offsets, values, similarity)
 
-    tiles = F.greatest(F.count(F.lit(1)) / TILE, F.sum(F.size("grams")) / GRAMS)
-    return _leaf_by_leaf(rows.join(grams, "node").select("leaf", "node", "c", "grams"), tiles, found, "a long, b long")
+    tiles = F.greatest(F.count(F.lit(1)) / TILE, F.sum("n") / GRAMS)
+    return _leaf_by_leaf(rows, tiles, grams, found, "a long, b long")
 
 
 def _open(posted: DataFrame, label: DataFrame) -> DataFrame:
@@ -399,7 +400,7 @@ def classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> tuple
     stars = shared.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     links = cut(verified(near(stars, points, similarity), docs, ids, k, similarity))
     at = cut(_open(posted, connected_components(links)))
-    more = joining(candidates(at, points, similarity), at, docs, ids, k, similarity)
+    more = joining(candidates(at, points, similarity), docs, ids, k, similarity)
     whole = connected_components(links.unionByName(cut(more)))
 
     return found, ids.join(whole, "node", "left").withColumn("component", F.coalesce("component", "node"))
