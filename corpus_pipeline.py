@@ -18,7 +18,9 @@ WORDS, SIMILAR = 5, (80, 100)  # shingles and similarity of near duplicates
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the compressors tell; rejected ones go."""
-    return language.identified(docs.select(F.struct("*").alias("row"), "text"), language.learned(docs)).where(~F.col("rejected")).select("row.*")
+    rest = F.struct(*[c for c in docs.columns if c != "text"]).alias("row")
+    known = language.identified(docs.select(rest, "text"), language.learned(docs)).where(~F.col("rejected"))
+    return known.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

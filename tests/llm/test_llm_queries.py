@@ -481,6 +481,16 @@ def test_pipeline_against_replay(spark, texts):
     assert set(packed.doc_id) == set(mixed.doc_id)
 
 
+def test_pipeline_sends_texts_once(spark, monkeypatch):
+    """The language stage hands each text to Python once, and its rows come back whole."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    asked, identified = [], language.identified
+    monkeypatch.setattr(language, "identified", lambda rows, known: asked.append(rows.schema.simpleString()) or identified(rows, known))
+    got = dict(corpus_pipeline.STAGES)["language"](spark, docs, FOLDER)
+    assert got.dtypes == docs.dtypes and got.count() and got.exceptAll(docs).isEmpty()
+    assert asked[0].count("text:") == 1
+
+
 def test_url_statistics_of_all_rows(spark, monkeypatch):
     """Suffixes are counted over all labelled urls, however few the trees are fitted on; a heavy url keeps its share of those."""
     monkeypatch.setattr(url_trees, "BOUND", 300)
