@@ -70,3 +70,54 @@ def test_frames_of_visits_are_bounded(spark, monkeypatch):
     got = {(a["src"], a["rk"]): a["dst"] for a in C.nearest(frame(spark, x), "id", "v", 3).collect()}
     assert got == {k: v[0] for k, v in plain(x, 3).items()}
     assert frames.value > 0 and long.value == 0
+
+
+def test_rows_travel_once_per_area(spark, monkeypatch):
+    """Data without structure: a row is sent to every other area, not to every block."""
+    monkeypatch.setattr(C, "CELL_ROWS", 16)
+    monkeypatch.setattr(C, "AREAS", 4, raising=False)
+    sent = spark.sparkContext.accumulator(0)
+
+    class Watched:
+        def __getattr__(self, name):
+            return getattr(pd, name)
+
+        def DataFrame(self, data):  # noqa: N802
+            if "member" in data:
+                sent.add(len(data["id"]))
+            return pd.DataFrame(data)
+    monkeypatch.setattr(C, "pd", Watched())
+    x = np.random.default_rng(6).normal(size=(800, 12))
+    got = {(a["src"], a["rk"]): a["dst"] for a in C.nearest(frame(spark, x), "id", "v", 3).collect()}
+    assert got == {k: v[0] for k, v in plain(x, 3).items()}
+    assert 0 < sent.value <= 3 * 800
+
+
+def test_areas_held_by_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(C, "CELL_ROWS", 4)
+    monkeypatch.setattr(C, "AREAS", 3)
+    monkeypatch.setattr(C, "TASKS", 9)
+    monkeypatch.setattr(C, "CHUNK", 20)
+    monkeypatch.setattr(C, "RUN_ROWS", 32)
+    x = np.random.default_rng(7).normal(size=(500, 5)).round(1)  # ties; not exact in single precision
+    got = {(a["src"], a["rk"]): (a["dst"], a["dist"]) for a in C.nearest(frame(spark, x), "id", "v", 4).collect()}
+    want = plain(x, 4)
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-12 for k in want)
+
+
+def test_equal_rows_are_measured_once(spark, monkeypatch):
+    monkeypatch.setattr(C, "CELL_ROWS", 16)
+    x = np.random.default_rng(8).normal(size=(90, 4))
+    x = np.concatenate([x] * 9)
+    row = C.compared(frame(spark, x), "id", "v", 5).first()
+    assert row["n"] == 810 and row["n_compared"] <= 90 * 89
+    got = {(a["src"], a["rk"]): a["dst"] for a in C.nearest(frame(spark, x[:270]), "id", "v", 5).collect()}  # two copies, then others
+    want = plain(x[:270], 5)
+    assert got == {k: v[0] for k, v in want.items()}
+
+
+@pytest.mark.parametrize("scale", [1e-25, 1e18, 1e40])
+def test_huge_and_tiny_vectors(spark, scale):
+    x = np.random.default_rng(9).normal(size=(120, 4)) * scale
+    got = {(a["src"], a["rk"]): a["dst"] for a in C.nearest(frame(spark, x), "id", "v", 3).collect()}
+    assert got == {k: v[0] for k, v in plain(x, 3).items()}
