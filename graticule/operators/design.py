@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from graticule.functions import arrays as A
 from graticule.functions.hashing import draw_key, hex_prefix, uniform
 from graticule.plans import order_stats as O
-from graticule.plans import tiles as T
+from graticule.plans.gaps import gap_quantiles
 
 ANCHOR_LIMIT = 1024
+ANCHORS_AT_ONCE = 16  # rows are read once for so many
 
 
 def _bounded_rows(df: DataFrame, what: str) -> list:
@@ -23,16 +24,14 @@ def _bounded_rows(df: DataFrame, what: str) -> list:
 
 def anchor_gap_scale(points: DataFrame, anchors: DataFrame, key: str, vector: str) -> DataFrame:
     """1.4826 * median |J_i - J_k| per anchor with J the squared distance to the anchor."""
-    out = None
-    for r in _bounded_rows(anchors.orderBy(key), "anchors"):
-        obj = points.select(key, A.squared_distance(F.col(vector), A.literal_array(list(r[vector]))).alias("j"))
-
-        def gaps(a, b):
-            g = np.abs(a["j"].to_numpy()[:, None] - b["j"].to_numpy()[None, :])
-            return np.zeros(g.shape, dtype=int), g
-        one = T.pair_quantiles(obj, key, ["j"], gaps, {"m": 0.5}).select(F.lit(int(r[key])).alias("anchor"), "n_pairs", (1.4826 * F.col("m")).alias("scale"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    n = points.count()
+    rows = _bounded_rows(anchors.orderBy(key), "anchors") if n > 1 else []
+    out = []
+    for k in range(0, len(rows), ANCHORS_AT_ONCE):
+        objectives = [F.struct(F.lit(int(r[key])).cast("long").alias("anchor"), A.squared_distance(F.col(vector), A.literal_array(list(r[vector]))).alias("j")) for r in rows[k: k + ANCHORS_AT_ONCE]]
+        medians = gap_quantiles(points.select(F.explode(F.array(*objectives)).alias("e")).select("e.anchor", "e.j"), "anchor", "j", 0.5)
+        out += [(int(r[key]), n * (n - 1) // 2, 1.4826 * medians[r[key]] if r[key] in medians else None) for r in rows[k: k + ANCHORS_AT_ONCE]]
+    return points.sparkSession.createDataFrame(out, "anchor long, n_pairs long, scale double")
 
 
 def latin_hypercube(points: DataFrame, key: str, dims: Sequence[str], seed: int) -> DataFrame:
