@@ -192,3 +192,34 @@ def test_equal_rows_travel_once_and_blocks_hold_many_matrices(spark, monkeypatch
     monkeypatch.setattr(T.F, "explode", lambda c, real=F.explode: (sent.append(c), real(c))[1])
     seen = T.scan(df, "id", ["e"], lambda a, b, m: pd.DataFrame({"n": [int(m.sum())]}), "n long").toPandas()
     assert seen["n"].sum() == len(d) and len(seen) > 6 and "2" in str(sent[0])
+
+
+def test_pair_quantiles_add_up_a_third_matrix(spark):
+    """Groups, sums and quantiles of one pass; equal rows, zeros and ignored pairs among them."""
+    r = np.random.default_rng(11)
+    x = r.normal(size=(300, 3))
+    x[200:260] = x[0]
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(300), "e": list(x)}), "id long, e array<double>").repartition(3)
+
+    def measure(a, b):
+        d = T.distances(T.matrix(a, "e"), T.matrix(b, "e"))
+        return [((d > 1).view(np.int8) + (d > 2), d, d * d), (np.where(d < 1.5, np.int8(7), np.int8(-1)), d, d)]
+    got = T.pair_quantiles(df, "id", ["e"], measure, {"m": 0.5}).toPandas().set_index("grp")
+    i, j = np.triu_indices(300, 1)
+    d = np.sqrt(((x[i] - x[j]) ** 2).sum(1))
+    for g, v, s in [(0, d[d <= 1], d[d <= 1] ** 2), (1, d[(d > 1) & (d <= 2)], d[(d > 1) & (d <= 2)] ** 2), (2, d[d > 2], d[d > 2] ** 2), (7, d[d < 1.5], d[d < 1.5])]:
+        row = got.loc[g]
+        assert row["n_pairs"] == len(v) and abs(row["m"] - np.median(v)) < 1e-9 and abs(row["sum"] - s.sum()) < 1e-7 * (1 + s.sum())
+
+
+def test_distances_keep_no_further_matrix():
+    """Beside its result a call holds a few rows of distances."""
+    import tracemalloc
+    x = np.random.default_rng(12).normal(size=(1024, 16))
+    x[5] = x[900]
+    tracemalloc.start()
+    d = T.distances(x, x[:1000])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert d[5, 900] == 0 and np.allclose(d, np.sqrt(((x[:, None, :] - x[None, :1000, :]) ** 2).sum(axis=2)), atol=1e-9)
+    assert peak < 1.15 * d.nbytes
